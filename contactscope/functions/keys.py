@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The text forms an integer literal in base 36 may take (either
-# letter case, a sign, single underscores between digits, blanks around it),
-# and the largest 64-bit number written in that base.
-LEGAL_BASE36 = r"^[+-]?[0-9A-Za-z]+(_[0-9A-Za-z]+)*$"
-BLANKS = " \t\n\r\x0b\x0c"
-LARGEST_BASE36 = "1Y2P0IJ32E8E7"
+# Fixed value: the texts that are an integer in base 36. Either letter case, a sign,
+# single underscores between digits and blanks around are allowed; twelve digits
+# after leading zeros are the most that surely fit 64 bits.
+LEGAL_BASE36 = r"^\s*[+-]?(0_?)*[0-9A-Za-z](_?[0-9A-Za-z]){0,11}\s*$"
 
 HASH_BITS = 60
 
@@ -18,22 +16,17 @@ HASH_BITS = 60
 def decode_base36(col: Column, strict: bool = False) -> Column:
     """Base-36 text to bigint, as one native expression.
 
-    Text that is not a base-36 integer, or does not fit 64 bits, gives NULL, or
+    Text that is not a base-36 integer, or is too long for 64 bits, gives NULL, or
     stops the job when ``strict``. A missing key stays NULL in both modes.
     """
-    text = F.btrim(col.cast("string"), F.lit(BLANKS))
-    digits = F.ltrim(F.upper(F.translate(text, "+-_", "")), F.lit("0"))
-    digits = F.when(digits == "", "0").otherwise(digits)
-    size = F.length(digits)
-    widest = len(LARGEST_BASE36)
-    fits = (size < widest) | ((size == widest) & (digits <= LARGEST_BASE36))
-    # conv() wraps or raises on text it cannot hold, so bad text is masked first.
-    magnitude = F.conv(F.when(text.rlike(LEGAL_BASE36) & fits, digits), 36, 10).cast("bigint")
-    value = F.when(text.startswith("-"), -magnitude).otherwise(magnitude)
+    text = col.cast("string")
+    # conv() reads a bad text up to its first bad letter, so bad texts are masked first.
+    digits = F.when(text.rlike(LEGAL_BASE36), F.translate(text, "+_ \t\n\r\x0b\x0c", ""))
+    value = F.conv(digits, 36, -10).cast("bigint")  # a negative base reads the sign
     if not strict:
         return value
     message = F.concat(F.lit("not a base-36 key: "), text)
-    return F.when(col.isNotNull() & value.isNull(), F.raise_error(message)).otherwise(value)
+    return F.when(text.isNotNull() & value.isNull(), F.raise_error(message)).otherwise(value)
 
 
 def encode_base36(col: Column) -> Column:

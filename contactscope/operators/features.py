@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactscope.functions.numeric import is_missing, log_amount
@@ -97,13 +97,12 @@ def standardise(df: DataFrame, cols: Sequence[str], suffix: str = "_std") -> Dat
             *[F.stddev_pop(F.col(c).cast("double")).alias(f"s_{c}") for c in cols],
         )
     ).scalar()
-    scaled = df.withColumn("__m", moments)
-    for c in cols:
+    def scaled(c: str) -> Column:
         centred = F.col(c).cast("double") - F.col(f"__m.m_{c}")
-        scaled = scaled.withColumn(
-            f"{c}{suffix}", F.when(F.col(f"__m.s_{c}") > 0, centred / F.col(f"__m.s_{c}")).otherwise(centred)
-        )
-    return scaled.drop("__m")
+        spread = F.col(f"__m.s_{c}")
+        return F.when(spread > 0, centred / spread).otherwise(centred).alias(f"{c}{suffix}")
+
+    return df.withColumn("__m", moments).select(*df.columns, *[scaled(c) for c in cols])
 
 
 def cluster_features(orders: DataFrame, key: str = "order_id") -> tuple[DataFrame, list[str]]:

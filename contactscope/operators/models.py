@@ -56,8 +56,11 @@ def training_table(
     """
     base = booking_features(orders)
     if rows is not None:
-        base = sample_n(base, rows, seed, [key])
-    coded = label_encode(base, CATEGORICAL)
+        # A sample is small on disk; spread it so that every core works on it.
+        cores = orders.sparkSession.sparkContext.defaultParallelism
+        base = sample_n(base, rows, seed, [key]).repartition(cores, key)
+    # Coding, splitting and weighting each count the rows again: read a table, not the links.
+    coded = label_encode(materialise(base, "features"), CATEGORICAL)
     split = stratified_split(coded, "contacted", test_share, seed, [key])
     table = assemble(split, FEATURES).select(
         key, F.col("contacted").cast("double").alias("label"), "features", "is_test"

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactscope.functions.numeric import clip, log_amount
-from contactscope.operators.features import assemble, cluster_features
+from contactscope.operators.features import CLUSTER_CATEGORICAL, assemble, cluster_features
 from contactscope.operators.rates import winsor_mean
 from contactscope.operators.sampling import sample_n, sample_per_group
 from contactscope.sources.tables import materialise
@@ -36,22 +38,50 @@ KEPT = [
     "is_canceled", "is_changed", "customer_group_type", "journey_type_id",
 ]
 
+SEGMENT_COLUMNS = [
+    "order_id", "order_amount", "contacted", "n_contacts", "is_canceled", "is_changed",
+    *CLUSTER_CATEGORICAL,
+]
+
 
 def segment_table(orders: DataFrame, rows: int | None = SAMPLE_ROWS, seed: int = SEED) -> DataFrame:
     """Sampled orders with the scaled feature vector, stored for the many passes of k-means."""
-    base = orders if rows is None else sample_n(orders, rows, seed, ["order_id"])
-    scaled, cols = cluster_features(base)
+    base = orders
+    if rows is not None:
+        # A sample is small on disk; spread it so that every core works on it.
+        cores = orders.sparkSession.sparkContext.defaultParallelism
+        base = sample_n(orders, rows, seed, ["order_id"]).repartition(cores, "order_id")
+    stored = materialise(base.select(SEGMENT_COLUMNS), "segment-orders")
+    scaled, cols = cluster_features(stored)
     return materialise(assemble(scaled, cols).select(*KEPT, "features"), "segments")
 
 
+def kmeans_all(
+    df: DataFrame, ks: Sequence[int], restarts: int, seed: int = SEED, parallelism: int = 4
+) -> dict[int, KMeansModel]:
+    """For every k the best of several runs by total squared distance.
+
+    The runs are independent jobs over the same cached rows; a few are kept going at
+    a time, as model selection in pyspark.ml does.
+    """
+    rows = df.select("features").persist()
+
+    def run(task: tuple[int, int]) -> tuple[int, int, KMeansModel]:
+        k, i = task
+        return k, i, KMeans(k=k, seed=seed + i, maxIter=300, featuresCol="features").fit(rows)
+
+    tasks = [(k, i) for k in ks for i in range(restarts)]
+    with ThreadPool(min(parallelism, len(tasks))) as pool:
+        models = pool.map(inheritable_thread_target(df.sparkSession)(run), tasks)
+    rows.unpersist()
+    return {
+        k: min((m.summary.trainingCost, i, m) for of, i, m in models if of == k)[2] for k in ks
+    }
+
+
 def kmeans(df: DataFrame, k: int, restarts: int, seed: int = SEED) -> KMeansModel:
-    """The best of several runs by total squared distance."""
-    best = None
-    for i in range(restarts):
-        model = KMeans(k=k, seed=seed + i, maxIter=300, featuresCol="features").fit(df)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+    """The best of several runs by total squared distance; ties go to the earlier run."""
+    return kmeans_all(df, [k], restarts, seed)[k]
 
 
 def assign(model: KMeansModel, df: DataFrame, name: str = "cluster") -> DataFrame:
@@ -149,10 +179,9 @@ def silhouette_scan(
 ) -> DataFrame:
     """(k, silhouette, is_best) for each number of clusters; ties go to the smaller k."""
     labelled, names = df, []
-    for k in ks:
-        name = f"k{k}"
-        labelled = assign(kmeans(df, k, restarts), labelled, name)
-        names.append(name)
+    for k, model in kmeans_all(df, ks, restarts).items():
+        names.append(f"k{k}")
+        labelled = assign(model, labelled, names[-1])
     scores = silhouette(labelled, names, rows).select(
         F.substring("labelling", 2, 9).cast("int").alias("k"),
         F.lit("euclidean").alias("metric"),

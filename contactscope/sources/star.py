@@ -7,108 +7,77 @@ operator can run on any data set that has the star-schema tables.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from contactscope.functions.keys import encode_base36
 
 ID_BASE = 4_600_000_000  # makes every base-36 key seven characters long
 
+IS_CANCELED = "cast(o_custkey % 10 = 0 as int)"
+IS_CHANGED = "cast(o_custkey % 7 = 0 as int)"
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def _is_canceled():
-    return (F.col("o_custkey") % 10 == 0).cast("int")
-
-
-def _is_changed():
-    return (F.col("o_custkey") % 7 == 0).cast("int")
-
-
 def booking_core(spark: SparkSession, folder: str) -> DataFrame:
     """The booking columns that need no customer lookup."""
-    orders = _table(spark, folder, "orders")
-    customer = F.col("o_custkey")
-    return orders.select(
-        (F.col("o_orderkey") + F.lit(ID_BASE)).alias("order_id"),
-        (
-            F.col("o_orderdate")
-            + F.make_dt_interval(hours=(customer % 24).cast("int"))
-        ).alias("order_created_at"),
-        F.when(F.col("o_orderkey") % 97 != 0, F.col("o_totalprice") - F.lit(5000.0)).alias(
-            "order_amount"
-        ),
-        F.col("o_orderpriority").alias("device"),
-        F.when(F.col("o_orderstatus") == "F", "One-way")
-        .when(F.col("o_orderstatus") == "O", "Round-trip")
-        .when(F.col("o_orderstatus") == "P", "Multi-city")
-        .alias("journey_type_id"),
-        _is_canceled().alias("is_canceled"),
-        _is_changed().alias("is_changed"),
-        F.when(
-            customer % 3 != 0, F.concat(F.lit("P"), (customer % 5).cast("string"))
-        ).alias("partner"),
-        F.concat(F.lit("C"), (customer % 50).cast("string")).alias("currency"),
-        customer.alias("customer_key"),
+    return _table(spark, folder, "orders").selectExpr(
+        f"o_orderkey + {ID_BASE} as order_id",
+        "o_orderdate + make_dt_interval(0, cast(o_custkey % 24 as int)) as order_created_at",
+        "case when o_orderkey % 97 <> 0 then o_totalprice - 5000.0D end as order_amount",
+        "o_orderpriority as device",
+        """case o_orderstatus when 'F' then 'One-way' when 'O' then 'Round-trip'
+           when 'P' then 'Multi-city' end as journey_type_id""",
+        f"{IS_CANCELED} as is_canceled",
+        f"{IS_CHANGED} as is_changed",
+        "case when o_custkey % 3 <> 0 then concat('P', o_custkey % 5) end as partner",
+        "concat('C', o_custkey % 50) as currency",
+        "o_custkey as customer_key",
     )
 
 
 def bookings(spark: SparkSession, folder: str) -> DataFrame:
     """All booking columns."""
-    customer = _table(spark, folder, "customer")
-    nation = _table(spark, folder, "nation")
-    region = _table(spark, folder, "region")
-    places = nation.join(region, nation["n_regionkey"] == region["r_regionkey"])
-    group = F.col("c_nationkey") % 3
-    profile = customer.join(places, customer["c_nationkey"] == places["n_nationkey"]).select(
-        F.col("c_custkey").alias("customer_key"),
-        F.col("c_acctbal").alias("revenue"),
-        F.col("c_mktsegment").alias("brand"),
-        F.when(group == 0, "FAMILY").when(group == 1, "SINGLE").otherwise("GROUP").alias(
-            "customer_group_type"
-        ),
-        F.when(F.col("n_regionkey") != 4, F.col("r_name")).alias("client_entry_type"),
-        F.concat(F.lit("S"), (F.col("c_nationkey") % 4).cast("string")).alias("booking_system"),
-        F.concat(F.lit("T"), (F.col("c_nationkey") % 2).cast("string")).alias(
-            "booking_system_source_type"
-        ),
-        F.col("n_name").alias("site_country"),
+    places = _table(spark, folder, "nation").join(
+        _table(spark, folder, "region").withColumnRenamed("r_regionkey", "n_regionkey"),
+        "n_regionkey",
+    )
+    profile = (
+        _table(spark, folder, "customer")
+        .join(places.withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey")
+        .selectExpr(
+            "c_custkey as customer_key",
+            "c_acctbal as revenue",
+            "c_mktsegment as brand",
+            """case c_nationkey % 3 when 0 then 'FAMILY' when 1 then 'SINGLE' else 'GROUP' end
+               as customer_group_type""",
+            "case when n_regionkey <> 4 then r_name end as client_entry_type",
+            "concat('S', c_nationkey % 4) as booking_system",
+            "concat('T', c_nationkey % 2) as booking_system_source_type",
+            "n_name as site_country",
+        )
     )
     return booking_core(spark, folder).join(profile, "customer_key").drop("customer_key")
 
 
 def contacts(spark: SparkSession, folder: str) -> DataFrame:
     """Raw contacts: test records, undecodable keys and missing keys included."""
-    line = _table(spark, folder, "lineitem")
-    order = _table(spark, folder, "orders").select("o_orderkey", "o_custkey")
-    least = (
-        F.when(_is_canceled() == 1, F.lit(0.025))
-        .when(_is_changed() == 1, F.lit(0.045))
-        .otherwise(F.lit(0.085))
-    )
-    quantity = F.col("l_quantity")
-    channel = F.col("l_partkey") % 4
+    order = _table(spark, folder, "orders").selectExpr("o_orderkey as l_orderkey", "o_custkey")
     return (
-        line.join(order, line["l_orderkey"] == order["o_orderkey"])
-        .where(F.col("l_discount") >= least)
-        .select(
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("errand_id"),
-            F.when(quantity == 50, F.concat(F.lit("#"), F.col("l_orderkey").cast("string")))
-            .when(quantity != 49, encode_base36(F.col("l_orderkey") + F.lit(ID_BASE)))
-            .alias("order_number"),
-            (
-                F.col("l_shipdate")
-                + F.make_dt_interval(hours=(F.col("l_partkey") % 24).cast("int"))
-            ).alias("created"),
-            (F.col("l_tax") >= 0.075).cast("int").alias("is_test_errand"),
-            F.when(
-                quantity != 1, F.concat(F.lit("cat"), (F.col("l_suppkey") % 12).cast("string"))
-            ).alias("errand_category"),
-            F.when(channel == 0, "chat")
-            .when(channel == 1, "phone")
-            .when(channel == 2, "email")
-            .otherwise("form")
-            .alias("errand_channel"),
+        _table(spark, folder, "lineitem")
+        .join(order, "l_orderkey")
+        .where(
+            f"""l_discount >= case when {IS_CANCELED} = 1 then 0.025D
+                when {IS_CHANGED} = 1 then 0.045D else 0.085D end"""
+        )
+        .selectExpr(
+            "l_orderkey * 10 + l_linenumber as errand_id",
+            f"""case when l_quantity = 50 then concat('#', l_orderkey) when l_quantity <> 49
+                then conv(cast(l_orderkey + {ID_BASE} as string), 10, 36) end as order_number""",
+            "l_shipdate + make_dt_interval(0, cast(l_partkey % 24 as int)) as created",
+            "cast(l_tax >= 0.075D as int) as is_test_errand",
+            """case when l_quantity <> 1 then concat('cat', l_suppkey % 12) end
+               as errand_category""",
+            """case l_partkey % 4 when 0 then 'chat' when 1 then 'phone' when 2 then 'email'
+               else 'form' end as errand_channel""",
         )
     )
