@@ -288,7 +288,7 @@ REPEATS = """
 per_order AS (SELECT order_id, n_contacts, first_category, CAST(n_contacts > 1 AS INTEGER) AS is_repeat
               FROM firsts),
 ranking AS (SELECT first_category, avg(is_repeat) AS repeat_rate, count(*) AS volume FROM per_order
-            WHERE first_category IS NOT NULL GROUP BY first_category HAVING count(*) > 100)
+            WHERE first_category IS NOT NULL GROUP BY first_category HAVING count(*) > 50)
 """
 
 FIRST_RANK = """

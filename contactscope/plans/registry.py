@@ -41,7 +41,7 @@ QUERIES: dict[str, Query] = {}
 # The rate dimensions of the descriptive report.
 DIMENSIONS = ["brand", "device", "journey_type_id", "customer_group_type", "client_entry_type"]
 
-MIN_VOLUME = 100  # the test tables are smaller than what the default of 500 is meant for
+MIN_VOLUME = 50  # the test tables are smaller than what the default of 500 is meant for
 NAMED = ["cat0", "cat1", "cat2", "cat3", "cat4"]
 SEED = 42
 
