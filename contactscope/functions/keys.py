@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 # Fixed value: the texts that are an integer in base 36. Either letter case, a sign,
 # single underscores between digits and blanks around are allowed; twelve digits
-# after leading zeros are the most that surely fit 64 bits.
-LEGAL_BASE36 = r"^\s*[+-]?(0_?)*[0-9A-Za-z](_?[0-9A-Za-z]){0,11}\s*$"
+# after leading zeros are the most that surely fit 64 bits. Plain keys come first.
+LEGAL_BASE36 = (
+    r"^(?:[0-9A-Za-z]{1,12}"
+    r"|\s*[+-]?(?:0_?)*[0-9A-Za-z](?:_?[0-9A-Za-z]){0,11}\s*)$"
+)
 
 HASH_BITS = 60
 

@@ -20,25 +20,25 @@ HOT_SHARE = 1 / 256  # a key with more than this share of the contacts is hot
 SLOTS = 64  # join slots of a hot key
 
 
-def contact_keys(contacts: DataFrame) -> DataFrame:
-    """The distinct order keys that occur among the contacts."""
-    return contacts.where(F.col(KEY).isNotNull()).select(KEY).distinct()
-
-
 def contacts_per_order(contacts: DataFrame) -> DataFrame:
     """Number of contacts per decodable key, unknown orders included."""
-    return (
-        contacts.where(F.col(KEY).isNotNull())
-        .groupBy(KEY)
-        .agg(F.count(F.lit(1)).alias("n_contacts"))
-    )
+    # Contacts without a key count as 0 and leave after the grouping: a filter before it
+    # would be pushed to the scan and decode every key a second time.
+    return contacts.groupBy(KEY).agg(F.count(KEY).alias("n_contacts")).where("n_contacts > 0")
+
+
+def contact_keys(contacts: DataFrame) -> DataFrame:
+    """The distinct order keys that occur among the contacts."""
+    return contacts_per_order(contacts).select(KEY)
 
 
 def with_contact_counts(orders: DataFrame, contacts: DataFrame) -> DataFrame:
     """Orders with ``n_contacts`` (0 when there is none) and the flag ``contacted``."""
-    joined = orders.join(contacts_per_order(contacts), KEY, "left")
-    return joined.withColumn("contacted", F.col("n_contacts").isNotNull().cast("int")).withColumn(
-        "n_contacts", F.coalesce(F.col("n_contacts"), F.lit(0).cast("bigint"))
+    return orders.join(contacts_per_order(contacts), KEY, "left").withColumns(
+        {
+            "n_contacts": F.coalesce(F.col("n_contacts"), F.lit(0).cast("bigint")),
+            "contacted": F.col("n_contacts").isNotNull().cast("int"),
+        }
     )
 
 
@@ -71,7 +71,7 @@ def _in_slots(contacts: DataFrame, orders: DataFrame) -> tuple[DataFrame, DataFr
 
     Keys with more than ``HOT_SHARE`` of the contacts are at most ``1 / HOT_SHARE``
     in number, so the list of hot keys is safe to broadcast whatever the data.
-    Their contacts are spread over slots by row hash, their order is repeated once
+    Their contacts are spread over slots by id and time, their order is repeated once
     per slot. Contacts without a key match nothing and are spread as well.
     """
     total = contacts.agg(F.count(F.lit(1))).scalar()
@@ -80,7 +80,7 @@ def _in_slots(contacts: DataFrame, orders: DataFrame) -> tuple[DataFrame, DataFr
         .where(F.col("n_contacts") > total * F.lit(HOT_SHARE))
         .select(KEY, F.lit(True).alias("__hot"))
     )
-    spread = F.pmod(F.xxhash64(*contacts.columns), F.lit(SLOTS)).cast("int")
+    spread = F.pmod(F.xxhash64("errand_id", "created"), F.lit(SLOTS)).cast("int")
     left = (
         contacts.join(F.broadcast(hot), KEY, "left")
         .withColumn(
@@ -130,10 +130,10 @@ def first_contact(
     times are settled by contact id, contacts without a time come last. Should an
     order key occur twice among the orders, its earliest time counts.
     """
-    aggs = [F.count(F.lit(1)).alias("n_contacts"), F.min("created").alias("first_at")]
+    aggs = [F.count(KEY).alias("n_contacts"), F.min("created").alias("first_at")]
     if with_category:
         aggs.append(first_by("errand_category").alias("first_category"))
-    per_key = contacts.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(*aggs)
+    per_key = contacts.groupBy(KEY).agg(*aggs).where("n_contacts > 0")
     times = (
         orders.where(F.col(KEY).isNotNull())
         .groupBy(KEY)

@@ -1,11 +1,12 @@
 """Order statistics and running totals over a whole column, without a global sort.
 
 A window without partitions would put every distinct value into one task. Here
-values are first put into buckets that keep their order: 256 per power of two,
-so any double column has at most ``2 * 2100 * 256 + 1`` of them whatever its
-length. Only the bucket totals pass through a single window; the values are then
-accumulated inside their bucket, and the totals of the buckets before are added.
-Rows with the same value are merged before they meet, so one hot value is one row.
+values are first put into buckets that keep their order, 4,096 per power of two: a
+column that spans ten powers of two is spread over some 40,000 of them, and no
+column of doubles can fill more than 2 * 2100 * 4096. Only the bucket totals pass
+through a single window; the values are accumulated inside their bucket, and the
+totals of the buckets before are added. Rows with the same value are merged before
+they meet, so one hot value is one row.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PER_OCTAVE = 256
+PER_OCTAVE = 4096
 ZERO_OFFSET = 1100 * PER_OCTAVE  # above the lowest exponent a double can have
 
 BUCKET = "__bucket"
@@ -55,8 +56,8 @@ def running_totals(
         .orderBy(direction(value))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    # The offsets are at most one row per bucket, a bound that data cannot raise.
-    return per_value.join(F.broadcast(offsets), BUCKET).select(
+    # Join and window both need the values by bucket, so the join adds no shuffle.
+    return per_value.join(offsets, BUCKET).select(
         value,
         *names,
         *[
@@ -95,19 +96,27 @@ def order_statistics(
     counted = (
         rows.groupBy(*by, BUCKET)
         .agg(F.sum("__n").alias("__in_bucket"))
-        .withColumn("n", F.sum("__in_bucket").over(group))
-        .withColumn("__before", F.sum("__in_bucket").over(upto) - F.col("__in_bucket"))
+        .withColumns(
+            {
+                "n": F.sum("__in_bucket").over(group),
+                "__before": F.sum("__in_bucket").over(upto) - F.col("__in_bucket"),
+            }
+        )
     )
+    at_columns = [f"__at_{name}" for name in ranks]
     wanted = F.lit(False)
-    for name, rank in ranks.items():
-        at = f"__at_{name}"
-        counted = counted.withColumn(at, rank(F.col("n")).cast("bigint"))
+    for at in at_columns:
         end = F.col("__before") + F.col("__in_bucket")
         wanted = wanted | ((F.col(at) >= F.col("__before")) & (F.col(at) < end))
-    targets = counted.where(wanted).drop("__in_bucket")
+    targets = (
+        counted.withColumns(
+            {at: rank(F.col("n")).cast("bigint") for at, rank in zip(at_columns, ranks.values())}
+        )
+        .where(wanted)
+        .drop("__in_bucket")
+    )
     if not by:
         targets = F.broadcast(targets)  # at most one row per wanted rank
-    at_columns = [f"__at_{name}" for name in ranks]
     inside = (
         Window.partitionBy(*by, BUCKET)
         .orderBy("__value")

@@ -12,12 +12,12 @@ from contactscope.operators.mix import head_tail
 def repeat_per_order(contacts: DataFrame) -> DataFrame:
     """Per contacted key: contacts, repeat flag and first category, from one grouping."""
     return (
-        contacts.where(F.col(KEY).isNotNull())
-        .groupBy(KEY)
+        contacts.groupBy(KEY)
         .agg(
-            F.count(F.lit(1)).alias("n_contacts"),
+            F.count(KEY).alias("n_contacts"),
             first_by("errand_category").alias("first_category"),
         )
+        .where("n_contacts > 0")
         .withColumn("is_repeat", (F.col("n_contacts") > 1).cast("int"))
     )
 

@@ -2,9 +2,10 @@
 
 Rows are ranked by a seeded hash of their key and the lowest ranks are taken. The
 rank at which to stop is found from counts, not by sorting: hash values are counted
-in buckets (1,024 per power of two, at most 61,440), the bucket in which the sample
-ends holds about a thousandth of the sample, and only its rows are ordered. Taking
-the sample is then a filter on the scan; no row is moved.
+in buckets (1,024 per power of two, at most 61,440), and the bucket in which the
+sample ends holds about a thousandth of the sample. For samples of many millions
+that bucket is counted once more in finer ones. Only the rows of the last bucket are
+ordered. Taking the sample is then a filter on the scan; no row is moved.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 from contactscope.functions.keys import row_hash
 
 MAX_GROUPS = 10_000
+COARSE = 1024  # buckets per power of two
+FINE = COARSE * 4096
+LARGE = 10_000_000  # a sample above this size is narrowed down twice
 
 
 def _by_group(df: DataFrame, value: Column) -> Column:
@@ -24,7 +28,28 @@ def _by_group(df: DataFrame, value: Column) -> Column:
     entries = F.map_from_entries(F.collect_list(F.struct("__g", value)))
     size = F.count(F.lit(1))
     too_many = F.raise_error(F.lit(f"more than {MAX_GROUPS} groups to sample from"))
-    return df.agg(F.when(size > MAX_GROUPS, too_many).otherwise(entries)).scalar()
+    return (
+        df.limit(MAX_GROUPS + 1).agg(F.when(size > MAX_GROUPS, too_many).otherwise(entries)).scalar()
+    )
+
+
+def _counted(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Rows per bucket or rank, with the running total ``end`` within the group."""
+    upto = (
+        Window.partitionBy("__g")
+        .orderBy(order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    return (
+        df.groupBy("__g", order, *keys)
+        .agg(F.count(F.lit(1)).alias("c"))
+        .withColumn("end", F.sum("c").over(upto))
+    )
+
+
+def _holds(position: Column) -> Column:
+    """Does this bucket contain the row at the given 1-based position?"""
+    return (F.col("end") - F.col("c") < position) & (position <= F.col("end"))
 
 
 def mark_lowest(
@@ -34,6 +59,7 @@ def mark_lowest(
     key: Sequence[str],
     group: str | None = None,
     name: str = "selected",
+    large: bool = True,
 ) -> DataFrame:
     """Flag the rows with the lowest hashes, ``quota(rows in group)`` per group.
 
@@ -42,52 +68,60 @@ def mark_lowest(
     """
     g = F.lit(0) if group is None else F.col(group)
     rank = F.struct(row_hash(seed, *key).alias("u"), *key)
-    bucket = F.floor(F.log2(F.col("__rank.u") + 1) * 1024).cast("int")
-    ranked = (
+
+    def bucket(per_octave: int) -> Column:
+        return F.floor(F.log2(F.col("__rank.u") + 1) * per_octave)
+
+    rows = (
         df.select(g.alias("__g"), rank.alias("__rank"))
         .where(F.col("__g").isNotNull())
-        .withColumn("__bucket", bucket)
-    )
-    in_group = Window.partitionBy("__g")
-    upto = in_group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = (
-        ranked.groupBy("__g", "__bucket")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("end", F.sum("c").over(upto))
-        .withColumn("total", F.sum("c").over(in_group))
-        .withColumn("quota", quota(F.col("total")).cast("bigint"))
-    )
-    before = F.col("end") - F.col("c")
-    last_bucket = F.when(
-        (before < F.col("quota")) & (F.col("quota") <= F.col("end")),
-        F.struct(F.col("__bucket").alias("bucket"), (F.col("quota") - before).alias("need")),
+        .withColumn("__bucket", bucket(COARSE))
     )
-    stops = counted.groupBy("__g").agg(
-        F.struct(
-            F.max("total").alias("total"), F.max("quota").alias("quota"), F.max(last_bucket).alias("at")
-        ).alias("stop")
+    position = quota(F.col("total")).cast("bigint")
+    stops = (
+        _counted(rows, [], "__bucket")
+        .withColumn("total", F.sum("c").over(Window.partitionBy("__g")))
+        .withColumn("quota", position)
+        .groupBy("__g")
+        .agg(
+            F.struct(
+                F.max("total").alias("total"),
+                F.max("quota").alias("quota"),
+                F.max(
+                    F.when(
+                        _holds(F.col("quota")),
+                        F.struct("__bucket", (F.col("quota") - F.col("end") + F.col("c")).alias("need")),
+                    )
+                ).alias("at"),
+            ).alias("stop")
+        )
     )
     stop_of = _by_group(stops, F.col("stop"))
     edge = (
-        ranked.withColumn("__stop", F.try_element_at(stop_of, F.col("__g")))
-        .where(F.col("__bucket") == F.col("__stop.at.bucket"))
-        .groupBy("__g", "__rank", F.col("__stop.at.need").alias("need"))
-        .agg(F.count(F.lit(1)).alias("c"))
-        .withColumn(
-            "end",
-            F.sum("c").over(
-                in_group.orderBy("__rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            ),
-        )
-        .where((F.col("end") - F.col("c") < F.col("need")) & (F.col("need") <= F.col("end")))
+        rows.withColumn("__at", F.try_element_at(stop_of, F.col("__g"))["at"])
+        .where(F.col("__bucket") == F.col("__at.__bucket"))
+        .select("__g", "__rank", F.col("__at.need").alias("need"))
     )
-    last_of = _by_group(edge, F.col("__rank"))
+    if large:
+        finer = edge.withColumn("__bucket", bucket(FINE))
+        narrow = _counted(finer, ["need"], "__bucket").where(_holds(F.col("need")))
+        at_of = _by_group(
+            narrow, F.struct("__bucket", (F.col("need") - F.col("end") + F.col("c")).alias("need"))
+        )
+        edge = (
+            finer.withColumn("__at", F.try_element_at(at_of, F.col("__g")))
+            .where(F.col("__bucket") == F.col("__at.__bucket"))
+            .select("__g", "__rank", F.col("__at.need").alias("need"))
+        )
+    last = _counted(edge, ["need"], "__rank").where(_holds(F.col("need")))
+    last_of = _by_group(last, F.col("__rank"))
+    stop = F.col("__stop")
     return (
         df.withColumn("__stop", F.try_element_at(stop_of, g))
         .withColumn(
             name,
-            F.when(F.col("__stop.quota") >= F.col("__stop.total"), F.lit(True))
-            .when(F.col("__stop.quota") <= 0, F.lit(False))
+            F.when(stop["quota"] >= stop["total"], F.lit(True))
+            .when(stop["quota"] <= 0, F.lit(False))
             .otherwise(F.coalesce(rank <= F.try_element_at(last_of, g), F.lit(False))),
         )
         .drop("__stop")
@@ -96,14 +130,15 @@ def mark_lowest(
 
 def sample_n(df: DataFrame, n: int, seed: int, key: Sequence[str]) -> DataFrame:
     """n rows without replacement; all rows when there are fewer."""
-    return mark_lowest(df, lambda total: F.lit(n), seed, key, name="__in").where("__in").drop("__in")
+    marked = mark_lowest(df, lambda total: F.lit(n), seed, key, name="__in", large=n > LARGE)
+    return marked.where("__in").drop("__in")
 
 
 def sample_per_group(
     df: DataFrame, group: str, n: int, seed: int, key: Sequence[str]
 ) -> DataFrame:
     """At most n rows of each group."""
-    marked = mark_lowest(df, lambda total: F.lit(n), seed, key, group, "__in")
+    marked = mark_lowest(df, lambda total: F.lit(n), seed, key, group, "__in", n > LARGE)
     return marked.where("__in").drop("__in")
 
 

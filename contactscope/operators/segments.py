@@ -30,7 +30,7 @@ FINAL_K = 4
 FINAL_RESTARTS = 10
 POINTS_PER_CLUSTER = 2_000
 
-BLOCKS = 8  # the silhouette sample is compared in BLOCKS x BLOCKS tiles
+BLOCK_ROWS = 1_250  # the silhouette sample is compared in tiles of this many rows squared
 
 PROFILE_RATES = ["contact_rate", "cancel_rate", "change_rate", "pct_family", "pct_roundtrip"]
 KEPT = [
@@ -149,8 +149,9 @@ def silhouette(
     sample = sample_n(df.select(key, "features", *labels), rows, seed, [key]).select(
         F.col(key).alias("id"), vector_to_array("features").alias("x"), *labels
     )
-    sample = sample.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+    blocks = -(-rows // BLOCK_ROWS)
+    sample = sample.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     here = sample.withColumnRenamed("block", "i").withColumn("j", every)
     there = sample.withColumnRenamed("block", "j").withColumn("i", every)
     tiles = here.groupBy("i", "j").cogroup(there.groupBy("i", "j"))

@@ -48,10 +48,13 @@ def chi2_tests(
     present = sum(((F.col(f"t_{c}") > 0).cast("int") for c in cols), F.lit(0))
     # One row per factor that was asked for.
     joined = (
-        cells.join(F.broadcast(margins), "factor")
-        .withColumn("n", n)
-        .withColumn("dof", ((F.col("levels") - 1) * (present - 1)).cast("bigint"))
-        .withColumn("row_n", sum((F.col(c) for c in cols), F.lit(0.0)))
+        cells.join(F.broadcast(margins), "factor").withColumns(
+            {
+                "n": n,
+                "dof": ((F.col("levels") - 1) * (present - 1)).cast("bigint"),
+                "row_n": sum((F.col(c) for c in cols), F.lit(0.0)),
+            }
+        )
     )
 
     def part(c: str) -> Column:
