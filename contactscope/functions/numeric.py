@@ -29,8 +29,12 @@ def share(part: Column, whole: Column) -> Column:
 
 
 def round_even(col: Column, places: int) -> Column:
-    """Round half to even."""
-    return F.bround(col, places)
+    """Round half to even after scaling, as array libraries do.
+
+    ``bround`` would look at the shortest decimal text of a number instead.
+    """
+    scale = F.lit(float(10**places))
+    return F.rint(col * scale) / scale
 
 
 def relabel(col: Column, labels: Mapping) -> Column:

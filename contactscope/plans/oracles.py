@@ -250,6 +250,8 @@ profile AS (
 """,
 ]
 
+PROFILE_RATES = ["contact_rate", "cancel_rate", "change_rate", "pct_family", "pct_roundtrip"]
+
 SCORED = """
 scored AS (
   SELECT order_id, contacted AS label,
@@ -822,8 +824,9 @@ ORACLES: dict[str, str] = {
     ),
     # Segments
     "cluster_profile": _sql(
-        """SELECT cluster, n, contact_rate, avg_contacts, cancel_rate, change_rate, pct_family,
-        pct_roundtrip, round(avg_order_amt, 4) AS avg_order_amt FROM profile""",
+        "SELECT cluster, n, "
+        + ", ".join(f"round({m}, 9) AS {m}" for m in [*PROFILE_RATES, "avg_contacts"])
+        + ", round(avg_order_amt, 4) AS avg_order_amt FROM profile",
         *PROFILE,
     ),
     "segment_names": _sql(
@@ -840,8 +843,8 @@ ORACLES: dict[str, str] = {
     "profile_long": _sql(
         _union(
             [
-                f"SELECT cluster, '{m}' AS metric, {m} AS value FROM profile"
-                for m in ["contact_rate", "cancel_rate", "change_rate", "pct_family", "pct_roundtrip"]
+                f"SELECT cluster, '{m}' AS metric, round({m}, 9) AS value FROM profile"
+                for m in PROFILE_RATES
             ]
         ),
         *PROFILE,

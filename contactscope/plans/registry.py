@@ -693,7 +693,8 @@ def _ruled(spark, folder) -> DataFrame:
 
 
 def _rounded_profile(df: DataFrame) -> DataFrame:
-    return df.withColumn("avg_order_amt", F.round("avg_order_amt", 4))
+    rounded = {c: F.round(c, 9) for c in [*segments.PROFILE_RATES, "avg_contacts"]}
+    return df.withColumns({**rounded, "avg_order_amt": F.round("avg_order_amt", 4)})
 
 
 @query
@@ -709,7 +710,7 @@ def segment_names(spark, folder):
 
 @query
 def profile_long(spark, folder):
-    return segments.profile_long(segments.cluster_profile(_ruled(spark, folder)))
+    return segments.profile_long(_rounded_profile(segments.cluster_profile(_ruled(spark, folder))))
 
 
 @query
