@@ -182,47 +182,67 @@ def winsor_mean(df: DataFrame, group: str, col: str, q: float = 0.95) -> DataFra
     )
 
 
-def largest_level(df: DataFrame, col: str) -> DataFrame:
-    """One row: the most frequent level and its share of all rows, missing levels included."""
-    sizes = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    best = F.min(
-        F.when(F.col(col).isNotNull(), F.struct((-F.col("n")).alias("n"), F.col(col).alias("level")))
-    )
-    return sizes.agg(
-        best["level"].alias("label"), share(-best["n"], F.sum("n")).alias("value")
+def _largest(level: str) -> Column:
+    """Aggregate over level counts ``n``: the most frequent level, ties in name order."""
+    size = F.struct((-F.col("n")).alias("n"), F.col(level).alias("level"))
+    return F.min(F.when(F.col(level).isNotNull(), size))
+
+
+def _tile(metric: str, label: Column, value: Column) -> Column:
+    return F.struct(
+        F.lit(metric).alias("metric"),
+        label.cast("string").alias("label"),
+        value.cast("double").alias("value"),
     )
 
 
 def kpis(orders: DataFrame, contacts: DataFrame, channel: str = "phone") -> DataFrame:
-    """The headline tiles, computed: (metric, label, value)."""
-    no_label = F.lit(None).cast("string")
-    rows = [
-        orders.agg(
-            F.lit("contact_rate").alias("metric"),
-            no_label.alias("label"),
-            F.avg("contacted").alias("value"),
-        ),
-        contacts_per_order(contacts).agg(
-            F.lit("repeat_share").alias("metric"),
-            no_label.alias("label"),
-            F.avg((F.col("n_contacts") >= 2).cast("int")).alias("value"),
-        ),
-        contacts.agg(
-            F.lit("channel_share").alias("metric"),
-            F.lit(channel).alias("label"),
-            share(F.count_if(F.col("errand_channel") == channel), F.count(F.lit(1))).alias("value"),
-        ),
-    ]
-    for metric, df, col in [
-        ("top_channel", contacts, "errand_channel"),
-        ("top_category", contacts, "errand_category"),
-        ("largest_brand", orders, "brand"),
-    ]:
-        rows.append(largest_level(df, col).select(F.lit(metric).alias("metric"), "label", "value"))
-    out = rows[0]
-    for row in rows[1:]:
-        out = out.unionByName(row)
-    return out
+    """The headline tiles, computed: (metric, label, value).
+
+    Shares of channels and categories are over all contacts, the brand share is over
+    all orders. Each table is counted per level once, all tiles come from the counts.
+    """
+    brands = orders.groupBy("brand").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("contacted").alias("hits")
+    )
+    no_label = F.lit(None)
+    brand = _largest("brand")
+    order_tiles = brands.agg(
+        F.array(
+            _tile("contact_rate", no_label, share(F.sum("hits"), F.sum("n"))),
+            _tile("largest_brand", brand["level"], share(-brand["n"], F.sum("n"))),
+        ).alias("tiles")
+    )
+    levels = (
+        contacts.select("errand_channel", "errand_category")
+        .unpivot([], ["errand_channel", "errand_category"], "dimension", "level")
+        .groupBy("dimension", "level")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    top, total = _largest("level"), F.sum("n")
+    named = F.coalesce(F.sum(F.when(F.col("level") == channel, F.col("n"))), F.lit(0))
+    top_share_of = share(-top["n"], total)
+    contact_tiles = levels.groupBy("dimension").agg(
+        F.when(
+            F.col("dimension") == "errand_channel",
+            F.array(
+                _tile("top_channel", top["level"], top_share_of),
+                _tile("channel_share", F.lit(channel), share(named, total)),
+            ),
+        )
+        .otherwise(F.array(_tile("top_category", top["level"], top_share_of)))
+        .alias("tiles")
+    )
+    repeat_tiles = contacts_per_order(contacts).agg(
+        F.array(
+            _tile("repeat_share", no_label, F.avg((F.col("n_contacts") >= 2).cast("int")))
+        ).alias("tiles")
+    )
+    return (
+        order_tiles.unionByName(contact_tiles.select("tiles"))
+        .unionByName(repeat_tiles)
+        .select(F.inline("tiles"))
+    )
 
 
 def key_stats(orders: DataFrame, contacts: DataFrame) -> DataFrame:
