@@ -99,12 +99,12 @@ def squared_silhouette(df: DataFrame, cluster: str = "cluster") -> float:
 def _tile_sums(labels: Sequence[str]):
     """Sum of distances from the rows of one block to each cluster of another block."""
 
-    def run(here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame(
-            {"id": [], "labelling": [], "own": [], "other": [], "total": [], "n": []}
-        )
+    def run(tile: pd.DataFrame) -> pd.DataFrame:
+        here, there = tile[tile["source"]], tile[~tile["source"]]
         if here.empty or there.empty:
-            return empty
+            return pd.DataFrame(
+                {"id": [], "labelling": [], "own": [], "other": [], "total": [], "n": []}
+            )
         a = np.stack(here["x"].to_numpy())
         b = np.stack(there["x"].to_numpy())
         squared = np.zeros((len(a), len(b)))
@@ -152,10 +152,10 @@ def silhouette(
     blocks = -(-rows // BLOCK_ROWS)
     sample = sample.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    here = sample.withColumnRenamed("block", "i").withColumn("j", every)
-    there = sample.withColumnRenamed("block", "j").withColumn("i", every)
-    tiles = here.groupBy("i", "j").cogroup(there.groupBy("i", "j"))
-    sums = tiles.applyInPandas(
+    points = ["id", "x", *labels]
+    here = sample.select(*points, F.lit(True).alias("source"), F.col("block").alias("i"), every.alias("j"))
+    there = sample.select(*points, F.lit(False).alias("source"), every.alias("i"), F.col("block").alias("j"))
+    sums = here.unionByName(there).groupBy("i", "j").applyInPandas(
         _tile_sums(labels),
         "id long, labelling string, own int, other int, total double, n long",
     )

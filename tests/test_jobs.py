@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contactscope.operators import models, segments
-from contactscope.plans import job, registry
+from contactscope.plans import job, registry, reports
 from contactscope.plans.linked import prepare
 from contactscope.sources import schemas, star
 from contactscope.sources.tables import materialise, read_table, write_result
@@ -113,6 +113,21 @@ def test_job(spark, folder, tmp_path):
     assert tables["propensity"].count() == 5
 
 
+def test_model_reports(spark, folder):
+    data = prepare(star.bookings(spark, folder), star.contacts(spark, folder), store=True)
+    prediction = reports.modelling(data, in_window_only=True)
+    compared = prediction["model_compare"].collect()
+    assert {r.model for r in compared} == {"Logistic Regression", "Random Forest"}
+    assert all(r.positives + r.negatives == 300 and 0.3 < r.roc_auc < 1 for r in compared)
+    curves = prediction["roc_curves"].groupBy("model").agg(F.max("fpr").alias("x"), F.max("tpr").alias("y"))
+    assert {(r.x, r.y) for r in curves.collect()} == {(1.0, 1.0)}
+    assert prediction["pr_curves"].where("threshold is null").count() == 2
+    tables = reports.segmentation(data)
+    assert tables["silhouettes"].count() == 5
+    assert tables["segments"].count() == 4 and tables["segment_rates"].count() == 20
+    assert tables["segment_points"].count() == 1500
+
+
 def test_strict_job_stops_on_bad_keys(spark, folder):
     data = prepare(star.bookings(spark, folder), star.contacts(spark, folder), strict=True)
     with pytest.raises(Exception, match="not a base-36 key"):
