@@ -25,7 +25,7 @@ from contactscope.operators.features import (
     label_encode,
 )
 from contactscope.operators.metrics import ranking_metrics
-from contactscope.operators.sampling import sample_n, stratified_split
+from contactscope.operators.sampling import spread_sample, stratified_split
 from contactscope.sources.tables import materialise
 
 # Model settings and the size of the modelling sample.
@@ -56,9 +56,7 @@ def training_table(
     """
     base = booking_features(orders)
     if rows is not None:
-        # A sample is small on disk; spread it so that every core works on it.
-        cores = orders.sparkSession.sparkContext.defaultParallelism
-        base = sample_n(base, rows, seed, [key]).repartition(cores, key)
+        base = spread_sample(base, rows, seed, [key])
     # Coding, splitting and weighting each count the rows again: read a table, not the links.
     coded = label_encode(materialise(base, "features"), CATEGORICAL)
     split = stratified_split(coded, "contacted", test_share, seed, [key])

@@ -150,3 +150,14 @@ def stratified_split(
         df, lambda total: F.round(total.cast("double") * F.lit(test_share)), seed, key, label, "__in"
     )
     return marked.withColumn("is_test", F.col("__in").cast("int")).drop("__in")
+
+
+def spread_sample(df: DataFrame, n: int, seed: int, key: Sequence[str]) -> DataFrame:
+    """``sample_n`` dealt out evenly, so that every core works on what follows.
+
+    For samples that are small next to the table. Dealing by a hash of the key rather
+    than by the key keeps Spark from reusing the partitions of a join on it, which
+    adaptive execution may have merged into very few.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return sample_n(df, n, seed, key).repartition(cores, F.xxhash64(*key))

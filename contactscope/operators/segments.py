@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from contactscope.functions.numeric import clip, log_amount
 from contactscope.operators.features import CLUSTER_CATEGORICAL, assemble, cluster_features
 from contactscope.operators.rates import winsor_mean
-from contactscope.operators.sampling import sample_n, sample_per_group
+from contactscope.operators.sampling import sample_n, sample_per_group, spread_sample
 from contactscope.sources.tables import materialise
 
 # Sample sizes, numbers of clusters and restarts.
@@ -48,9 +48,7 @@ def segment_table(orders: DataFrame, rows: int | None = SAMPLE_ROWS, seed: int =
     """Sampled orders with the scaled feature vector, stored for the many passes of k-means."""
     base = orders
     if rows is not None:
-        # A sample is small on disk; spread it so that every core works on it.
-        cores = orders.sparkSession.sparkContext.defaultParallelism
-        base = sample_n(orders, rows, seed, ["order_id"]).repartition(cores, "order_id")
+        base = spread_sample(orders, rows, seed, ["order_id"])
     stored = materialise(base.select(SEGMENT_COLUMNS), "segment-orders")
     scaled, cols = cluster_features(stored)
     return materialise(assemble(scaled, cols).select(*KEPT, "features"), "segments")
