@@ -23,7 +23,7 @@ from contactscope.operators import (
 )
 from contactscope.plans.linked import Linked
 
-# Rate dimensions, the categories shown by name, sample size and seed.
+# Rate dimensions, the categories shown by name, and the seed.
 DIMENSIONS = ["brand", "device", "journey_type_id", "customer_group_type", "client_entry_type"]
 NAMED_CATEGORIES = [
     "Cancellation / refund",
@@ -32,7 +32,6 @@ NAMED_CATEGORIES = [
     "Document & travel info",
     "Change of name & passenger info",
 ]
-TEST_ROWS = 500_000
 SEED = 42
 
 
