@@ -72,32 +72,25 @@ def ranked(
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) for every node of the undirected ``edges`` (a, b); root: the smallest node.
 
-    Large-star and small-star rounds over tables in the shared folder, until the edges are stars
-    around the smallest nodes. Each round is two grouped minima, combined before the shuffle.
+    In each round every node hands the smallest node it knows to all its neighbours, which are then
+    tied to that one instead; reach doubles, until the edges are stars around the smallest nodes.
+    A round is one grouped minimum, combined before the shuffle, and one join, over a table in the
+    shared folder.
     """
-    edges = edges.where("a <> b").select(
-        F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")
-    )
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
     seen = None
     while True:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(
             edges.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.join(least, "u")
-            .where("v > u")
-            .select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-            .distinct()
-        )
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi")
-        edges = stored(
-            small.select("hi", F.col("m").alias("lo"))
-            .union(small.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")))
-            .distinct(),
-            name,
+        tied = F.inline(
+            F.array(
+                F.struct(F.greatest("v", "m").alias("hi"), F.least("v", "m").alias("lo")),
+                F.struct(F.col("u").alias("hi"), F.col("m").alias("lo")),
+            )
         )
+        edges = stored(both.join(least, "u").select(tied).where("hi <> lo").distinct(), name)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo"))).first()
         if now == seen:
             break
