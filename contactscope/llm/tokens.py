@@ -13,8 +13,11 @@ END_OF_TEXT = 50256
 PIECE_BYTES = 1 << 20  # distinct pieces are encoded in runs of about so many bytes
 
 
-def batch_encoder(vocabulary: str = VOCABULARY):
-    """A function from an Arrow string array to (flat ids, offsets of each text); null is empty."""
+def batch_encoder(vocabulary: str = VOCABULARY, special: bool = True):
+    """A function from an Arrow string array to (flat ids, offsets of each text); null is empty.
+
+    Without ``special`` the end-of-text string in a text is ordinary text.
+    """
     import base64
 
     import numpy as np
@@ -43,7 +46,9 @@ def batch_encoder(vocabulary: str = VOCABULARY):
     two_byte_lead[0xC3:0xE0] = True
 
     def encode(text: str):
-        return model.encode_to_numpy(text, allowed_special="all")
+        return model.encode_to_numpy(
+            text, allowed_special="all" if special else set(), disallowed_special=()
+        )
 
     def cuts(data, starts):
         """Offsets at which pieces begin: the texts' own starts and the spaces of single gaps."""
