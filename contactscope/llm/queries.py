@@ -5,9 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from contactscope.llm import toxicity as toxic
 from contactscope.llm.common import table
+from contactscope.llm.digest_index import DigestIndex
+from contactscope.llm.embedding_dedup import near_duplicates
+from contactscope.llm.license_scan import licence_report
+from contactscope.llm.mix_sources import Mix
 from contactscope.llm.ngram_join import jaccard_classes
+from contactscope.llm.pack import pack, pieces
+from contactscope.llm.passage_chains import passages
+from contactscope.llm.token_files import count_documents, read_blocks, write_flat
+from contactscope.llm.warc_revisits import captures, resolve
 
 
 def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +25,77 @@ def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document decided against a new digest index, which takes all of them as one batch."""
+    return DigestIndex(spark).dedup(table(spark, sf_dir, "documents"))
+
+
+def warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisits derived from all pages, resolved; headers as sorted lines."""
+    found = resolve(captures(table(spark, sf_dir, "pages")))
+    lines = F.transform(F.map_entries("headers"), lambda e: F.concat_ws(": ", e["key"], e["value"]))
+    return found.withColumn("headers", F.array_join(F.array_sort(lines), "\n"))
+
+
+def embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between all vectors with a cosine of 0.9 or more."""
+    return near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fuzzy passages of 30 words or more that documents share."""
+    return passages(table(spark, sf_dir, "documents"))
+
+
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence signatures of every document."""
+    return licence_report(table(spark, sf_dir, "documents"))
+
+
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in sequences of 1,024 tokens."""
+    return pack(pieces(table(spark, sf_dir, "documents")))
+
+
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, learned from the labels that are not held out."""
+    return toxic.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, found again in flat files written from them."""
+    return count_documents(read_blocks(spark, write_flat(table(spark, sf_dir, "documents"))))
+
+
+def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of one and a half times all words takes of every document."""
+    return Mix(table(spark, sf_dir, "documents")).taken()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": ngram_jaccard,
+    "op2_exact_dedup": exact_dedup,
+    "op3_warc_revisits": warc_revisits,
+    "op4_embedding_dedup": embedding_dedup,
+    "op5_substring_dedup": substring_dedup,
+    "op6_license_scan": license_scan,
+    "op7_best_fit_packing": best_fit_packing,
+    "op8_toxicity": toxicity,
+    "op9_token_counts": token_counts,
+    "op10_mix_sources": mix_sources,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_exact_dedup": r"""
+        WITH d AS (
+          SELECT doc_id, length(coalesce(text, '')) AS n,
+                 sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h
+          FROM documents
+        ), g AS (
+          SELECT h, first(doc_id ORDER BY n DESC, doc_id) AS keep_id, count(*) AS group_size
+          FROM d GROUP BY h
+        )
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256
+        FROM d JOIN g USING (h)
+    """,
+}
