@@ -118,7 +118,7 @@ def count_documents(blocks: DataFrame, end_id: int = END_OF_TEXT) -> DataFrame:
     before = in_file.rowsBetween(Window.unboundedPreceding, -1)
     # Each step of the scan is a sum or a maximum over the blocks before.
     found = found.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    found = found.withColumn("last", F.col("base") + F.element_at("ends", -1))
+    found = found.withColumn("last", F.col("base") + F.try_element_at("ends", F.lit(-1)))
     found = found.withColumns(
         {
             "open": F.coalesce(F.max("last").over(before), F.lit(-1)) + 1,

@@ -27,12 +27,12 @@ def batch_encoder(vocabulary: str = VOCABULARY, special: bool = True):
 
     with open(public_tokenizers.path(vocabulary), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    special = {"<|endoftext|>": END_OF_TEXT}
+    strings = {"<|endoftext|>": END_OF_TEXT} if special else {}
     model = tiktoken.Encoding(
         "public",
         pat_str=public_tokenizers.PATTERN,
         mergeable_ranks=ranks,
-        special_tokens=special,
+        special_tokens=strings,
     )
     widths = np.zeros(max(max(ranks.values()), END_OF_TEXT) + 1, dtype=np.int64)
     widths[list(ranks.values())] = [len(piece) for piece in ranks]
@@ -46,9 +46,7 @@ def batch_encoder(vocabulary: str = VOCABULARY, special: bool = True):
     two_byte_lead[0xC3:0xE0] = True
 
     def encode(text: str):
-        return model.encode_to_numpy(
-            text, allowed_special="all" if special else set(), disallowed_special=()
-        )
+        return model.encode_to_numpy(text, allowed_special="all")
 
     def cuts(data, starts):
         """Offsets at which pieces begin: the texts' own starts and the spaces of single gaps."""

@@ -94,7 +94,7 @@ def _matcher(lexicon: Lexicon):
 
     def run(text: str | None) -> tuple[float, int]:
         folded = fold(text or "")
-        words = folded.count(" ") - 1
+        words = folded.count(" ") - 1 if len(folded) > 2 else 0
         if not len(automaton):
             return 0.0, words
         hits = list(automaton.iter(folded))
@@ -125,7 +125,6 @@ def _terms_of(batches):
 
     import pyarrow as pa
 
-    counts = ({}, {})
     counts = (collections.Counter(), collections.Counter())
     for batch in batches:
         for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
