@@ -6,12 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: the texts that are an integer in base 36. Either letter case, a sign,
-# single underscores between digits and blanks around are allowed; twelve digits
-# after leading zeros are the most that surely fit 64 bits. Plain keys come first.
+# single underscores between digits and blanks around are allowed; thirteen digits
+# after leading zeros are the most that can fit 64 bits. Plain keys come first.
 LEGAL_BASE36 = (
     r"^(?:[0-9A-Za-z]{1,12}"
-    r"|\s*[+-]?(?:0_?)*[0-9A-Za-z](?:_?[0-9A-Za-z]){0,11}\s*)$"
+    r"|\s*[+-]?(?:0_?)*[0-9A-Za-z](?:_?[0-9A-Za-z]){0,12}\s*)$"
 )
+# Fixed value: the largest 64-bit integer in base 36. Its negative counterpart is the lowest one read.
+LARGEST_BASE36 = "1Y2P0IJ32E8E7"
 
 HASH_BITS = 60
 
@@ -25,7 +27,10 @@ def decode_base36(col: Column, strict: bool = False) -> Column:
     text = col.cast("string")
     # conv() reads a bad text up to its first bad letter, so bad texts are masked first.
     digits = F.when(text.rlike(LEGAL_BASE36), F.translate(text, "+_ \t\n\r\x0b\x0c", ""))
-    value = F.conv(digits, 36, -10).cast("bigint")  # a negative base reads the sign
+    long = F.upper(F.ltrim(F.translate(digits, "-", ""), F.lit("0")))
+    fits = (F.length(digits) <= 12) | (F.length(long) <= 12) | (long <= LARGEST_BASE36)
+    # A negative base reads the sign.
+    value = F.when(fits, F.conv(digits, 36, -10)).cast("bigint")
     if not strict:
         return value
     message = F.concat(F.lit("not a base-36 key: "), text)

@@ -31,21 +31,46 @@ def _typed(col: Column, kind: T.DataType, strict_time: bool) -> Column:
     return col.try_cast(kind)
 
 
+def _csv(spark: SparkSession, multi_line: bool):
+    return spark.read.option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+
+
+def malformed_rows(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """One row: rows of a CSV table, those with more or fewer cells than its header, empty cells."""
+    names = _csv(spark, multi_line).option("header", True).csv(path).columns
+    cells = [T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
+    schema = T.StructType([*cells, T.StructField("_misfit", T.StringType())])
+    reader = _csv(spark, multi_line).option("header", True).option("enforceSchema", True)
+    rows = reader.option("columnNameOfCorruptRecord", "_misfit").schema(schema).csv(path)
+    # All cells are asked for: the parser does not look at cells that nobody reads.
+    empty = sum((F.col(f"c{i}").isNull().cast("bigint") for i in range(len(names))), F.lit(0))
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count("_misfit").alias("malformed"),
+        F.sum(empty).alias("empty_cells"),
+    )
+
+
 def read_table(
     spark: SparkSession,
     path: str,
     schema: T.StructType,
     fmt: str = "parquet",
     strict_time: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Scan a table with a declared schema, never an inferred one.
 
+    CSV cells may be quoted, with quotes doubled inside. Line breaks inside quotes are read too
+    while ``multi_line`` is on; a file is then one task, so very large files without such cells
+    are better read with it off. Short rows end in NULL, see ``malformed_rows`` for a count.
+
     Column names are matched in any letter case and come out in lower case;
     columns that the file lacks are left out, extra columns are not read.
     NaN in a floating-point column is read as NULL.
     """
     if fmt == "csv":
-        raw = spark.read.option("header", True).csv(path)
+        raw = _csv(spark, multi_line).option("header", True).csv(path)
     elif fmt == "parquet":
         raw = spark.read.parquet(path)
     else:
@@ -76,7 +101,7 @@ def write_result(df: DataFrame, name: str, path: str, fmt: str = "parquet") -> s
     target = f"{path.rstrip('/')}/{name}"
     writer = df.write.mode("overwrite")
     if fmt == "csv":
-        writer.option("header", True).csv(target)
+        writer.option("header", True).option("quote", '"').option("escape", '"').csv(target)
     elif fmt == "parquet":
         writer.parquet(target)
     else:
@@ -104,9 +129,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
     Used where many jobs read the same linked or prepared table: the lineage is
     cut, a lost executor costs a re-read instead of the joins behind the table,
-    and later scans still prune columns and push filters.
+    and later scans still prune columns and push filters. The table is removed when
+    the application ends.
     """
     spark = df.sparkSession
     target = f"{shared_folder(spark).rstrip('/')}/contactscope/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
     df.write.parquet(target)
     return spark.read.schema(df.schema).parquet(target)
