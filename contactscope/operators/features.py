@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactscope.functions.numeric import is_missing, log_amount
 from contactscope.functions.timeparts import booking_parts
 from contactscope.operators.clean import fill_unknown, fill_zero
+from contactscope.sources.tables import materialise
 
 # What is known when an order is placed, what is only known later,
 # and what the segmentation looks at.
@@ -25,6 +26,7 @@ POST_BOOKING = [
 CLUSTER_CATEGORICAL = [
     "customer_group_type", "journey_type_id", "device", "brand", "booking_system_source_type",
 ]
+BROADCAST_LEVELS = 1_000_000  # more levels than this are shuffled to the rows instead
 CLUSTER_NUMERIC = ["contacted", "n_contacts", "is_changed", "is_canceled"]
 
 
@@ -56,15 +58,27 @@ def booking_features(
 def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Add ``<col>_enc``: the position of the level among the sorted levels.
 
-    The levels of all columns are collected in one pass. The codes are plain
-    integers, so tree learners take them as ordinal numbers.
+    The levels of all columns are found in one pass, numbered and stored while this is
+    called, and joined back. The codes are plain integers, so tree learners take them as
+    ordinal numbers. A missing level has no code.
     """
-    names = [f"{c}_enc" for c in cols]
-    indexer = StringIndexer(
-        inputCols=list(cols), outputCols=names, stringOrderType="alphabetAsc", handleInvalid="error"
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
+    levels = (
+        long.unpivot([], list(cols), "__column", "__level")
+        .where(F.col("__level").isNotNull())
+        .distinct()
     )
-    coded = indexer.fit(df).transform(df)
-    return coded.select(*df.columns, *[F.col(n).cast("int").alias(n, metadata={}) for n in names])
+    place = F.row_number().over(Window.partitionBy("__column").orderBy("__level")) - 1
+    levels = materialise(levels.withColumn("__code", place), "levels")
+    few = levels.count() <= BROADCAST_LEVELS
+    coded = df
+    for c in cols:
+        own = levels.where(F.col("__column") == c).select(
+            F.col("__level").alias("__l"), F.col("__code").alias(f"{c}_enc")
+        )
+        own = F.broadcast(own) if few else own
+        coded = coded.join(own, F.col(c).cast("string") == F.col("__l"), "left").drop("__l")
+    return coded
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:

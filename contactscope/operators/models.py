@@ -28,9 +28,9 @@ from contactscope.operators.metrics import ranking_metrics
 from contactscope.operators.sampling import spread_sample, stratified_split
 from contactscope.sources.tables import materialise
 
-# Model settings and the size of the modelling sample.
+# Model settings and the most rows a model is fitted on.
 SEED = 42
-SAMPLE_ROWS = 300_000
+FIT_ROWS = 300_000
 TEST_SHARE = 0.2
 INVERSE_PENALTY = 0.5
 MAX_ITERATIONS = 1000
@@ -38,35 +38,36 @@ TREES = 150
 DEPTH = 7
 LEAF_ROWS = 50
 
-MAX_BINS = 256  # split candidates per feature; keeps every level of a coded category
+LEAST_BINS = 256  # split candidates per feature; more where a category has more levels
 
 FEATURES = [*[f"{c}_enc" for c in CATEGORICAL], *NUMERIC]
 
 
 def training_table(
     orders: DataFrame,
-    rows: int | None = SAMPLE_ROWS,
+    rows: int | None = FIT_ROWS,
     seed: int = SEED,
     test_share: float = TEST_SHARE,
     key: str = "order_id",
 ) -> DataFrame:
-    """Key, label, features, weight and ``is_test``; ``rows=None`` takes every order.
+    """Key, label, features, weight and ``is_test``: all held-out orders, and the rows to fit on.
 
-    Levels are coded before the split, weights are balanced within the training part.
+    All orders are split. Of the training part at most ``rows`` are fitted on (None: all); the
+    held-out part is whole. Levels are coded before the split, weights are balanced within the
+    rows to fit on.
     """
-    base = booking_features(orders)
-    if rows is not None:
-        base = spread_sample(base, rows, seed, [key])
     # Coding, splitting and weighting each count the rows again: read a table, not the links.
-    coded = label_encode(materialise(base, "features"), CATEGORICAL)
+    coded = label_encode(materialise(booking_features(orders), "features"), CATEGORICAL)
     split = stratified_split(coded, "contacted", test_share, seed, [key])
     table = assemble(split, FEATURES).select(
         key, F.col("contacted").cast("double").alias("label"), "features", "is_test"
     )
     stored = materialise(table, "training")
-    train = balanced_weights(stored.where("is_test = 0"), "label")
+    train = stored.where("is_test = 0")
+    if rows is not None:
+        train = materialise(spread_sample(train, rows, seed, [key]), "fit-rows")
     test = stored.where("is_test = 1").withColumn("weight", F.lit(1.0))
-    return train.unionByName(test)
+    return balanced_weights(train, "label").unionByName(test)
 
 
 def fit_logistic(train: DataFrame, inverse_penalty: float = INVERSE_PENALTY) -> Model:
@@ -90,8 +91,13 @@ def fit_forest(train: DataFrame, trees: int = TREES, seed: int = SEED) -> Model:
     """Random forest whose prediction is the balanced share of contacted orders.
 
     A regression forest on the 0/1 label: variance and Gini choose the same splits,
-    and leaves keep their own share where the classifier would merge them.
+    and leaves keep their own share where the classifier would merge them. Every level
+    of a coded category can be a split.
     """
+    values = vector_to_array("features")
+    codes = F.when(F.size(values) == len(FEATURES), F.slice(values, 1, len(CATEGORICAL)))
+    top = train.agg(F.max(F.array_max(codes))).first()[0]
+    bins = max(LEAST_BINS, int(top or 0) + 2)
     return RandomForestRegressor(
         featuresCol="features",
         labelCol="label",
@@ -100,7 +106,7 @@ def fit_forest(train: DataFrame, trees: int = TREES, seed: int = SEED) -> Model:
         maxDepth=DEPTH,
         minInstancesPerNode=LEAF_ROWS,
         featureSubsetStrategy="sqrt",
-        maxBins=MAX_BINS,
+        maxBins=bins,
         seed=seed,
     ).fit(train)
 
@@ -151,7 +157,7 @@ class ContactModels:
         }
 
 
-def fit_contact_models(orders: DataFrame, rows: int | None = SAMPLE_ROWS) -> ContactModels:
+def fit_contact_models(orders: DataFrame, rows: int | None = FIT_ROWS) -> ContactModels:
     """Both models on one training table."""
     table = training_table(orders, rows)
     train = table.where("is_test = 0")

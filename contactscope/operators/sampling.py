@@ -1,11 +1,13 @@
 """Exact-size samples that do not depend on partitioning, run or engine.
 
-Rows are ranked by a seeded hash of their key and the lowest ranks are taken. The
-rank at which to stop is found from counts, not by sorting: hash values are counted
-in buckets (1,024 per power of two, at most 61,440), and the bucket in which the
-sample ends holds about a thousandth of the sample. For samples of many millions
-that bucket is counted once more in finer ones. Only the rows of the last bucket are
-ordered. Taking the sample is then a filter on the scan; no row is moved.
+Rows are ranked by a seeded hash of their key and the lowest ranks are taken. The rank at which to
+stop is found from counts, not by sorting: hash values are counted in buckets (1,024 per power of
+two, at most 61,440 a group), and only the rows of the bucket in which a group's sample ends are
+ordered. The stops, a row a group, join the rows on the group. All other rows are taken or left by
+their bucket, without being moved.
+
+Keys may repeat: copies are ranked by a hash of the whole row, so a sample has its exact size; which
+of wholly equal rows is taken cannot be told.
 """
 
 from __future__ import annotations
@@ -16,40 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactscope.functions.keys import row_hash
+from contactscope.sources.tables import materialise
 
-MAX_GROUPS = 10_000
-COARSE = 1024  # buckets per power of two
-FINE = COARSE * 4096
-LARGE = 10_000_000  # a sample above this size is narrowed down twice
-
-
-def _by_group(df: DataFrame, value: Column) -> Column:
-    """Scalar subquery: map from group to value. More than ``MAX_GROUPS`` groups stop the job."""
-    entries = F.map_from_entries(F.collect_list(F.struct("__g", value)))
-    size = F.count(F.lit(1))
-    too_many = F.raise_error(F.lit(f"more than {MAX_GROUPS} groups to sample from"))
-    return (
-        df.limit(MAX_GROUPS + 1).agg(F.when(size > MAX_GROUPS, too_many).otherwise(entries)).scalar()
-    )
-
-
-def _counted(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Rows per bucket or rank, with the running total ``end`` within the group."""
-    upto = (
-        Window.partitionBy("__g")
-        .orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        df.groupBy("__g", order, *keys)
-        .agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("end", F.sum("c").over(upto))
-    )
-
-
-def _holds(position: Column) -> Column:
-    """Does this bucket contain the row at the given 1-based position?"""
-    return (F.col("end") - F.col("c") < position) & (position <= F.col("end"))
+BUCKETS = 1024  # per power of two
+SMALL_GROUPS = 1_000_000  # stops of up to so many groups are sent to the rows; else both are shuffled
 
 
 def mark_lowest(
@@ -59,95 +31,80 @@ def mark_lowest(
     key: Sequence[str],
     group: str | None = None,
     name: str = "selected",
-    large: bool = True,
 ) -> DataFrame:
-    """Flag the rows with the lowest hashes, ``quota(rows in group)`` per group.
+    """Flag the rows with the lowest hashes, ``quota(rows in group)`` per group; NULL is in no group.
 
-    ``key`` must identify a row: copies of the last selected key are all flagged.
-    Groups are classes or clusters, a handful of values; NULL is in no group.
+    The stops are counted and stored while this is called.
     """
     g = F.lit(0) if group is None else F.col(group)
-    rank = F.struct(row_hash(seed, *key).alias("u"), *key)
-
-    def bucket(per_octave: int) -> Column:
-        return F.floor(F.log2(F.col("__rank.u") + 1) * per_octave)
-
-    rows = (
-        df.select(g.alias("__g"), rank.alias("__rank"))
-        .where(F.col("__g").isNotNull())
-        .withColumn("__bucket", bucket(COARSE))
+    ranked = df.withColumns({"__g": g, "__u": row_hash(seed, *key)})
+    bucket = F.floor(F.log2(F.col("__u") + 1) * BUCKETS)
+    ranked = ranked.withColumn("__bucket", bucket)
+    upto = (
+        Window.partitionBy("__g")
+        .orderBy("__bucket")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    position = quota(F.col("total")).cast("bigint")
-    stops = (
-        _counted(rows, [], "__bucket")
-        .withColumn("total", F.sum("c").over(Window.partitionBy("__g")))
-        .withColumn("quota", position)
-        .groupBy("__g")
-        .agg(
-            F.struct(
-                F.max("total").alias("total"),
-                F.max("quota").alias("quota"),
-                F.max(
-                    F.when(
-                        _holds(F.col("quota")),
-                        F.struct("__bucket", (F.col("quota") - F.col("end") + F.col("c")).alias("need")),
-                    )
-                ).alias("at"),
-            ).alias("stop")
+    counts = (
+        ranked.where(F.col("__g").isNotNull())
+        .groupBy("__g", "__bucket")
+        .agg(F.count(F.lit(1)).alias("__c"))
+        .withColumns(
+            {
+                "__end": F.sum("__c").over(upto),
+                "__total": F.sum("__c").over(Window.partitionBy("__g")),
+            }
         )
+        .withColumn("__quota", F.least(quota(F.col("__total")).cast("bigint"), F.col("__total")))
     )
-    stop_of = _by_group(stops, F.col("stop"))
-    edge = (
-        rows.withColumn("__at", F.try_element_at(stop_of, F.col("__g"))["at"])
-        .where(F.col("__bucket") == F.col("__at.__bucket"))
-        .select("__g", "__rank", F.col("__at.need").alias("need"))
+    holds = (F.col("__end") - F.col("__c") < F.col("__quota")) & (F.col("__quota") <= F.col("__end"))
+    stops = counts.where(holds).select(
+        F.col("__g").alias("__sg"),
+        F.col("__bucket").alias("__stop"),
+        (F.col("__quota") - F.col("__end") + F.col("__c")).alias("__need"),
     )
-    if large:
-        finer = edge.withColumn("__bucket", bucket(FINE))
-        narrow = _counted(finer, ["need"], "__bucket").where(_holds(F.col("need")))
-        at_of = _by_group(
-            narrow, F.struct("__bucket", (F.col("need") - F.col("end") + F.col("c")).alias("need"))
-        )
-        edge = (
-            finer.withColumn("__at", F.try_element_at(at_of, F.col("__g")))
-            .where(F.col("__bucket") == F.col("__at.__bucket"))
-            .select("__g", "__rank", F.col("__at.need").alias("need"))
-        )
-    last = _counted(edge, ["need"], "__rank").where(_holds(F.col("need")))
-    last_of = _by_group(last, F.col("__rank"))
-    stop = F.col("__stop")
+    stops = materialise(stops, "sample-stops")
+    if stops.count() <= SMALL_GROUPS:
+        stops = F.broadcast(stops)
+    met = ranked.join(stops, F.col("__g") == F.col("__sg"), "left")
+    sure = F.coalesce(F.col("__bucket") < F.col("__stop"), F.lit(False))
+    edge = F.coalesce(F.col("__bucket") == F.col("__stop"), F.lit(False))
+    names = df.columns
+    order = Window.partitionBy("__g").orderBy("__u", *key, F.xxhash64(*names))
+    last = met.where(edge).withColumn("__at", F.row_number().over(order))
     return (
-        df.withColumn("__stop", F.try_element_at(stop_of, g))
-        .withColumn(
-            name,
-            F.when(stop["quota"] >= stop["total"], F.lit(True))
-            .when(stop["quota"] <= 0, F.lit(False))
-            .otherwise(F.coalesce(rank <= F.try_element_at(last_of, g), F.lit(False))),
-        )
-        .drop("__stop")
+        met.where(~edge)
+        .select(*names, sure.alias(name))
+        .unionByName(last.select(*names, (F.col("__at") <= F.col("__need")).alias(name)))
     )
 
 
+def _taken(marked: DataFrame) -> DataFrame:
+    return marked.where("__in").drop("__in")
+
+
 def sample_n(df: DataFrame, n: int, seed: int, key: Sequence[str]) -> DataFrame:
     """n rows without replacement; all rows when there are fewer."""
-    marked = mark_lowest(df, lambda total: F.lit(n), seed, key, name="__in", large=n > LARGE)
-    return marked.where("__in").drop("__in")
+    return _taken(mark_lowest(df, lambda total: F.lit(n), seed, key, name="__in"))
 
 
 def sample_per_group(
     df: DataFrame, group: str, n: int, seed: int, key: Sequence[str]
 ) -> DataFrame:
-    """At most n rows of each group."""
-    marked = mark_lowest(df, lambda total: F.lit(n), seed, key, group, "__in", n > LARGE)
-    return marked.where("__in").drop("__in")
+    """At most n rows of each group; any number of groups."""
+    return _taken(mark_lowest(df, lambda total: F.lit(n), seed, key, group, "__in"))
 
 
 def stratified_split(
     df: DataFrame, label: str, test_share: float, seed: int, key: Sequence[str]
 ) -> DataFrame:
-    """Add ``is_test``: exactly round(share x rows) of each class are 1."""
+    """Add ``is_test``: exactly round(share x rows) of each class are 1.
+
+    The input, mostly a join, is written once and read from there.
+    """
+    rows = materialise(df, "split")
     marked = mark_lowest(
-        df, lambda total: F.round(total.cast("double") * F.lit(test_share)), seed, key, label, "__in"
+        rows, lambda total: F.round(total.cast("double") * F.lit(test_share)), seed, key, label, "__in"
     )
     return marked.withColumn("is_test", F.col("__in").cast("int")).drop("__in")
 

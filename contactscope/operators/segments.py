@@ -20,19 +20,17 @@ from contactscope.operators.rates import winsor_mean
 from contactscope.operators.sampling import sample_n, sample_per_group, spread_sample
 from contactscope.sources.tables import materialise
 
-# Sample sizes, numbers of clusters and restarts.
+# Numbers of clusters and restarts, plot sample, profile columns.
 SEED = 42
-SAMPLE_ROWS = 100_000
-SILHOUETTE_ROWS = 10_000
 SCAN_KS = (2, 3, 4, 5, 6)
 SCAN_RESTARTS = 5
 FINAL_K = 4
 FINAL_RESTARTS = 10
 POINTS_PER_CLUSTER = 2_000
 
-BLOCK_ROWS = 1_250  # the silhouette sample is compared in tiles of this many rows squared
-
 PROFILE_RATES = ["contact_rate", "cancel_rate", "change_rate", "pct_family", "pct_roundtrip"]
+BLOCK_ROWS = 1_250  # ``pairwise_silhouette`` compares its sample in tiles of this many rows squared
+
 KEPT = [
     "order_id", "order_amount", "order_amt_log", "contacted", "n_contacts",
     "is_canceled", "is_changed", "customer_group_type", "journey_type_id",
@@ -44,8 +42,11 @@ SEGMENT_COLUMNS = [
 ]
 
 
-def segment_table(orders: DataFrame, rows: int | None = SAMPLE_ROWS, seed: int = SEED) -> DataFrame:
-    """Sampled orders with the scaled feature vector, stored for the many passes of k-means."""
+def segment_table(orders: DataFrame, rows: int | None = None, seed: int = SEED) -> DataFrame:
+    """Orders with the scaled feature vector, stored for the many passes of k-means.
+
+    All orders, unless a sample of ``rows`` is asked for.
+    """
     base = orders
     if rows is not None:
         base = spread_sample(orders, rows, seed, ["order_id"])
@@ -69,9 +70,11 @@ def kmeans_all(
         return k, i, KMeans(k=k, seed=seed + i, maxIter=300, featuresCol="features").fit(rows)
 
     tasks = [(k, i) for k in ks for i in range(restarts)]
-    with ThreadPool(min(parallelism, len(tasks))) as pool:
-        models = pool.map(inheritable_thread_target(df.sparkSession)(run), tasks)
-    rows.unpersist()
+    try:
+        with ThreadPool(min(parallelism, len(tasks))) as pool:
+            models = pool.map(inheritable_thread_target(df.sparkSession)(run), tasks)
+    finally:
+        rows.unpersist()
     return {
         k: min((m.summary.trainingCost, i, m) for of, i, m in models if of == k)[2] for k in ks
     }
@@ -130,14 +133,14 @@ def _tile_sums(labels: Sequence[str]):
     return run
 
 
-def silhouette(
+def pairwise_silhouette(
     df: DataFrame,
     labels: Sequence[str],
-    rows: int = SILHOUETTE_ROWS,
+    rows: int,
     seed: int = SEED,
     key: str = "order_id",
 ) -> DataFrame:
-    """Mean silhouette with Euclidean distances for each column of cluster numbers.
+    """Mean silhouette with Euclidean distances over a sample, for each column of cluster numbers.
 
     The measure needs the distance of every sampled row to every other one. The sample
     of ``rows`` rows is cut into blocks by row hash; each pair of blocks is one task
@@ -174,21 +177,21 @@ def silhouette(
 
 
 def silhouette_scan(
-    df: DataFrame, ks: Sequence[int] = SCAN_KS, restarts: int = SCAN_RESTARTS, rows: int = SILHOUETTE_ROWS
+    df: DataFrame, ks: Sequence[int] = SCAN_KS, restarts: int = SCAN_RESTARTS
 ) -> DataFrame:
-    """(k, silhouette, is_best) for each number of clusters; ties go to the smaller k."""
-    labelled, names = df, []
-    for k, model in kmeans_all(df, ks, restarts).items():
-        names.append(f"k{k}")
-        labelled = assign(model, labelled, names[-1])
-    scores = silhouette(labelled, names, rows).select(
-        F.substring("labelling", 2, 9).cast("int").alias("k"),
-        F.lit("euclidean").alias("metric"),
-        "silhouette",
-        "n",
-    )
+    """(k, metric, silhouette, n, is_best) for each number of clusters; ties go to the smaller k.
+
+    The measure is taken over all rows with squared Euclidean distances, for which one pass per
+    labelling is enough.
+    """
+    n = df.count()
+    scores = [
+        (k, "squared euclidean", squared_silhouette(assign(model, df)), n)
+        for k, model in kmeans_all(df, ks, restarts).items()
+    ]
+    rows = df.sparkSession.createDataFrame(scores, "k int, metric string, silhouette double, n long")
     best = F.row_number().over(Window.orderBy(F.desc("silhouette"), "k"))  # one row per k
-    return scores.withColumn("is_best", (best == 1).cast("int"))
+    return rows.withColumn("is_best", (best == 1).cast("int"))
 
 
 def cluster_profile(df: DataFrame, cluster: str = "cluster") -> DataFrame:
