@@ -2,8 +2,7 @@
 
 Contacts are merged per order before they are joined wherever a report allows it,
 so an order with very many contacts is one row in the join. Only
-``link_contacts`` and ``orphan_contacts`` return contact rows; they spread hot
-keys, and contacts without a key, over several join slots.
+``link_contacts`` and ``orphan_contacts`` return contact rows.
 """
 
 from __future__ import annotations
@@ -16,9 +15,6 @@ from contactscope.functions.timeparts import hours_between
 
 KEY = "order_id"
 
-HOT_SHARE = 1 / 256  # a key with more than this share of the contacts is hot
-SLOTS = 64  # join slots of a hot key
-
 
 def contacts_per_order(contacts: DataFrame) -> DataFrame:
     """Number of contacts per decodable key, unknown orders included."""
@@ -66,49 +62,28 @@ def uncontacted_share(orders: DataFrame, contacts: DataFrame) -> DataFrame:
     )
 
 
-def _in_slots(contacts: DataFrame, orders: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a ``__slot`` column to join on besides the key.
+def _spread() -> Column:
+    """0 for a contact with a key; without one, which matches nothing, a hash of the contact."""
+    return F.when(F.col(KEY).isNull(), F.xxhash64("errand_id", "created")).otherwise(F.lit(0))
 
-    Keys with more than ``HOT_SHARE`` of the contacts are at most ``1 / HOT_SHARE``
-    in number, so the list of hot keys is safe to broadcast whatever the data.
-    Their contacts are spread over slots by id and time, their order is repeated once
-    per slot. Contacts without a key match nothing and are spread as well.
-    """
-    total = contacts.agg(F.count(F.lit(1))).scalar()
-    hot = (
-        contacts_per_order(contacts)
-        .where(F.col("n_contacts") > total * F.lit(HOT_SHARE))
-        .select(KEY, F.lit(True).alias("__hot"))
-    )
-    spread = F.pmod(F.xxhash64("errand_id", "created"), F.lit(SLOTS)).cast("int")
-    left = (
-        contacts.join(F.broadcast(hot), KEY, "left")
-        .withColumn(
-            "__slot", F.when(F.col("__hot") | F.col(KEY).isNull(), spread).otherwise(F.lit(0))
-        )
-        .drop("__hot")
-    )
-    slots = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SLOTS - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    right = (
-        orders.join(F.broadcast(hot), KEY, "left")
-        .withColumn("__slot", F.explode(slots))
-        .drop("__hot")
-    )
-    return left, right
+
+def _known(orders: DataFrame) -> DataFrame:
+    """Orders with the counterpart of ``_spread``; a remainder, since a literal would be no join key."""
+    return orders.where(F.col(KEY).isNotNull()).withColumn("__spread", F.pmod(F.xxhash64(KEY), F.lit(1)).cast("bigint"))
 
 
 def link_contacts(contacts: DataFrame, orders: DataFrame) -> DataFrame:
     """Every contact with the time of its order and the hours between the two.
 
     Contacts without a known order keep NULL in both. An order key that occurs
-    twice among the orders gives two rows per contact.
+    twice among the orders gives two rows per contact. Contacts without a key are dealt out by
+    a hash; an order with very many contacts is for the skew join of adaptive execution.
     """
-    left, right = _in_slots(contacts, orders.select(KEY, "order_created_at"))
+    left = contacts.withColumn("__spread", _spread())
+    right = _known(orders.select(KEY, "order_created_at"))
     return (
-        left.join(right, [KEY, "__slot"], "left")
-        .drop("__slot")
+        left.join(right, [KEY, "__spread"], "left")
+        .drop("__spread")
         .withColumn(
             "hours_to_contact", hours_between(F.col("order_created_at"), F.col("created"))
         )
@@ -117,8 +92,8 @@ def link_contacts(contacts: DataFrame, orders: DataFrame) -> DataFrame:
 
 def orphan_contacts(contacts: DataFrame, orders: DataFrame) -> DataFrame:
     """Contacts without a known order, undecodable keys included."""
-    left, right = _in_slots(contacts, orders.select(KEY))
-    return left.join(right, [KEY, "__slot"], "left_anti").drop("__slot")
+    left = contacts.withColumn("__spread", _spread())
+    return left.join(_known(orders.select(KEY)), [KEY, "__spread"], "left_anti").drop("__spread")
 
 
 def first_contact(

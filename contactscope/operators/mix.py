@@ -60,6 +60,9 @@ def keep_top(df: DataFrame, col: str, k: int) -> DataFrame:
     return df.join(F.broadcast(top_categories(df, col, k).select(col)), col, "left_semi")
 
 
+MOST_COLUMNS = 10_000  # of a result with a column for each level
+
+
 def cell_counts(df: DataFrame, row: str, col: str) -> DataFrame:
     """Rows per (row level, column level), both present."""
     return (
@@ -118,8 +121,20 @@ def channel_share(contacts: DataFrame, unit: str = "quarter", ts: str = "created
     return category_mix(with_period(contacts, ts, unit, "period"), "period", "errand_channel")
 
 
-def cross_counts(df: DataFrame, row: str, col: str, values: Sequence[str]) -> DataFrame:
-    """Two-key counts, one column per named level, 0 where there is none."""
+def levels_of(df: DataFrame, col: str) -> list:
+    """The levels of a column in order, for the columns of a result; too many stop the job."""
+    found = df.where(F.col(col).isNotNull()).select(col).distinct().orderBy(col)
+    levels = [r[0] for r in found.limit(MOST_COLUMNS + 1).collect()]
+    if len(levels) > MOST_COLUMNS:
+        raise ValueError(f"{col} has more than {MOST_COLUMNS} levels")
+    return levels
+
+
+def cross_counts(
+    df: DataFrame, row: str, col: str, values: Sequence[str] | None = None
+) -> DataFrame:
+    """Two-key counts, one column per level, 0 where there is none; all levels unless some are named."""
+    values = levels_of(df, col) if values is None else values
     return (
         df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
         .groupBy(row)
@@ -128,9 +143,15 @@ def cross_counts(df: DataFrame, row: str, col: str, values: Sequence[str]) -> Da
 
 
 def contingency(
-    df: DataFrame, factor: str, outcome: str, outcomes: Sequence = (0, 1)
+    df: DataFrame, factor: str, outcome: str, outcomes: Sequence | None = None
 ) -> DataFrame:
-    """Factor level x outcome counts in long form, zero cells included."""
+    """Factor level x outcome counts in long form, zero cells included.
+
+    All outcomes that occur, unless some are named.
+    """
+    outcomes = levels_of(df, outcome) if outcomes is None else outcomes
+    if not outcomes:
+        outcomes = [None]
     wide = (
         df.where(F.col(factor).isNotNull() & F.col(outcome).isNotNull())
         .groupBy(F.col(factor).cast("string").alias("level"))

@@ -77,16 +77,22 @@ def test_flag_audit(contacts: DataFrame, flag: str = "is_test_errand") -> DataFr
 
 
 def date_coverage(tables: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
-    """First and last date of each table."""
-    out = None
+    """First and last date of each table, and how many days each lies after the first table's."""
+    out, first = None, None
     for name, (df, col) in tables.items():
         row = df.agg(
             F.lit(name).alias("table"),
             F.to_date(F.min(col)).alias("first_date"),
             F.to_date(F.max(col)).alias("last_date"),
         )
+        first = row if first is None else first
         out = row if out is None else out.unionByName(row)
-    return out
+    base = first.agg(F.struct(F.max("first_date").alias("a"), F.max("last_date").alias("b")).alias("s")).scalar()
+    return out.select(
+        "*",
+        F.date_diff("first_date", base["a"]).alias("first_gap_days"),
+        F.date_diff("last_date", base["b"]).alias("last_gap_days"),
+    )
 
 
 def flag_share_by_period(df: DataFrame, flag: str, ts: str, unit: str = "month") -> DataFrame:

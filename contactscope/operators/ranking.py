@@ -159,6 +159,89 @@ def quantiles(
     return found.select(*by, "n", *out)
 
 
+def capped_sums(df: DataFrame, value: str, prob: float, by: Sequence[str]) -> DataFrame:
+    """Per group: rows, values, their ``prob`` quantile ``cap``, and the sum of values clipped to it.
+
+    Values above the lower neighbour of the quantile are clipped, so the sum needs the running
+    totals up to that neighbour only. Rows are merged once, per group, bucket and value; of the
+    merged rows only those of the one bucket with that neighbour are looked at again.
+    """
+    by = list(by)
+    merged = (
+        df.select(
+            *by,
+            F.when(F.col(value).isNotNull(), value_bucket(F.col(value))).alias(BUCKET),
+            F.col(value).cast("double").alias("__value"),
+        )
+        .groupBy(*by, BUCKET, "__value")
+        .agg(F.count(F.lit(1)).alias("__c"))
+    )
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy(F.asc_nulls_first(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
+    known = F.col(BUCKET).isNotNull()
+
+    def before(col: str) -> Column:
+        return F.coalesce(F.sum(F.when(known, F.col(col))).over(earlier), F.lit(0))
+
+    buckets = (
+        merged.groupBy(*by, BUCKET)
+        .agg(
+            F.sum("__c").alias("__in"),
+            F.sum(F.col("__value") * F.col("__c")).alias("__sum"),
+            F.min("__value").alias("__least"),
+        )
+        .withColumns(
+            {
+                "n_rows": F.sum("__in").over(group),
+                "n": F.coalesce(F.sum(F.when(known, F.col("__in"))).over(group), F.lit(0)),
+                "__before": before("__in"),
+                "__sum_before": before("__sum"),
+                "__next": F.lead("__least").over(group.orderBy(F.asc_nulls_first(BUCKET))),
+            }
+        )
+    )
+    at = (F.col("n") - 1).cast("double") * F.lit(float(prob))
+    lo, hi = F.floor(at), F.ceil(at)
+    # The bucket with the lower neighbour, or the only one of a group without values.
+    here = known & (F.col("__before") <= lo) & (lo < F.col("__before") + F.col("__in"))
+    keys = [*by, BUCKET]
+    targets = buckets.where(here | (F.col("n") == 0)).select(
+        *[F.col(c).alias(f"__k_{c}") for c in keys],
+        *["n_rows", "n", "__before", "__sum_before", "__next"],
+    )
+    condition = F.lit(True)
+    for c in keys:
+        condition = condition & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    met = merged.join(targets, condition)
+    upto = (
+        Window.partitionBy(*by, BUCKET)
+        .orderBy("__value")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    values = met.withColumns(
+        {
+            "__end": F.col("__before") + F.sum("__c").over(upto),
+            "__upto": F.col("__sum_before") + F.sum(F.col("__value") * F.col("__c")).over(upto),
+        }
+    )
+    start = F.col("__end") - F.col("__c")
+    is_lo = (start <= lo) & (lo < F.col("__end"))
+    is_hi = (start <= hi) & (hi < F.col("__end"))
+    found = values.groupBy(*by).agg(
+        F.max("n_rows").alias("n_rows"),
+        F.max("n").alias("n"),
+        F.max(F.when(is_lo, F.col("__value"))).alias("__lo"),
+        F.coalesce(F.max(F.when(is_hi, F.col("__value"))), F.max("__next")).alias("__hi"),
+        F.max(F.when(is_lo, F.col("__end"))).alias("__n_lo"),
+        F.max(F.when(is_lo, F.col("__upto"))).alias("__sum_lo"),
+    )
+    cap = F.col("__lo") + (at - F.floor(at)) * (F.coalesce("__hi", "__lo") - F.col("__lo"))
+    return found.withColumn("cap", cap).select(
+        *by, "n_rows", "n", "cap",
+        (F.col("__sum_lo") + (F.col("n") - F.col("__n_lo")) * F.col("cap")).alias("capped_sum"),
+    )
+
+
 def median(df: DataFrame, value: str, approx: bool = False) -> DataFrame:
     """One row ``median``. ``approx`` trades the exact value for a single pass."""
     if approx:

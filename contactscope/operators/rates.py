@@ -6,14 +6,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactscope.functions.numeric import clip, share
 from contactscope.operators.link import contacts_per_order
-from contactscope.operators.ranking import quantiles
+from contactscope.operators.metrics import roc_auc
+from contactscope.operators.ranking import capped_sums
 
 
 def contact_baseline(orders: DataFrame, contacts: DataFrame) -> DataFrame:
@@ -166,19 +167,11 @@ def winsor_mean(df: DataFrame, group: str, col: str, q: float = 0.95) -> DataFra
     values = df.where(F.col(group).isNotNull()).select(
         group, clip(F.col(col), lo=F.lit(0.0)).alias("__x")
     )
-    merged = values.groupBy(group, "__x").agg(F.count(F.lit(1)).alias("__n"))
-    caps = quantiles(values, "__x", {"cap": q}, by=[group]).drop("n")
-    kept = F.least("__x", "cap")
-    return (
-        merged.join(caps, group, "left")
-        .groupBy(group)
-        .agg(
-            F.sum("__n").alias("n"),
-            (
-                F.sum(F.when(F.col("__x").isNotNull(), kept * F.col("__n")))
-                / F.sum(F.when(F.col("__x").isNotNull(), F.col("__n")))
-            ).alias("winsor_mean"),
-        )
+    found = capped_sums(values, "__x", q, [group])
+    return found.select(
+        group,
+        F.col("n_rows").alias("n"),
+        F.try_divide("capped_sum", F.when(F.col("n") > 0, F.col("n"))).alias("winsor_mean"),
     )
 
 
@@ -213,15 +206,17 @@ def kpis(orders: DataFrame, contacts: DataFrame, channel: str = "phone") -> Data
             _tile("largest_brand", brand["level"], share(-brand["n"], F.sum("n"))),
         ).alias("tiles")
     )
+    dims = ["errand_channel", "errand_category", "order_id"]
     levels = (
-        contacts.select("errand_channel", "errand_category")
-        .unpivot([], ["errand_channel", "errand_category"], "dimension", "level")
+        contacts.select(*[F.col(c).cast("string").alias(c) for c in dims])
+        .unpivot([], dims, "dimension", "level")
         .groupBy("dimension", "level")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     top, total = _largest("level"), F.sum("n")
     named = F.coalesce(F.sum(F.when(F.col("level") == channel, F.col("n"))), F.lit(0))
     top_share_of = share(-top["n"], total)
+    repeats = F.avg(F.when(F.col("level").isNotNull(), (F.col("n") >= 2).cast("int")))
     contact_tiles = levels.groupBy("dimension").agg(
         F.when(
             F.col("dimension") == "errand_channel",
@@ -230,23 +225,20 @@ def kpis(orders: DataFrame, contacts: DataFrame, channel: str = "phone") -> Data
                 _tile("channel_share", F.lit(channel), share(named, total)),
             ),
         )
-        .otherwise(F.array(_tile("top_category", top["level"], top_share_of)))
+        .when(
+            F.col("dimension") == "errand_category",
+            F.array(_tile("top_category", top["level"], top_share_of)),
+        )
+        .otherwise(F.array(_tile("repeat_share", no_label, repeats)))
         .alias("tiles")
     )
-    repeat_tiles = contacts_per_order(contacts).agg(
-        F.array(
-            _tile("repeat_share", no_label, F.avg((F.col("n_contacts") >= 2).cast("int")))
-        ).alias("tiles")
-    )
-    return (
-        order_tiles.unionByName(contact_tiles.select("tiles"))
-        .unionByName(repeat_tiles)
-        .select(F.inline("tiles"))
-    )
+    return order_tiles.unionByName(contact_tiles.select("tiles")).select(F.inline("tiles"))
 
 
-def key_stats(orders: DataFrame, contacts: DataFrame) -> DataFrame:
-    """The closing summary as rows (metric, value)."""
+def key_stats(
+    orders: DataFrame, contacts: DataFrame, scored: Mapping[str, DataFrame] | None = None
+) -> DataFrame:
+    """The closing summary as rows (metric, value); ``scored`` adds the ROC area of each model."""
     canceled, changed, hit = F.col("is_canceled"), F.col("is_changed"), F.col("contacted")
     row = orders.agg(
         F.avg(hit).alias("contact_rate"),
@@ -258,6 +250,8 @@ def key_stats(orders: DataFrame, contacts: DataFrame) -> DataFrame:
     totals = contacts.agg(F.count(F.lit(1)).cast("double")).scalar()
     repeat = contacts_per_order(contacts).agg(F.avg((F.col("n_contacts") >= 2).cast("int"))).scalar()
     wide = row.withColumn("real_contacts", totals).withColumn("repeat_share", repeat)
+    for name, table in (scored or {}).items():
+        wide = wide.withColumn(f"{name}_auc", roc_auc(table).select("roc_auc").scalar())
     pairs = [F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in wide.columns]
     return wide.select(F.inline(F.array(*pairs)))
 

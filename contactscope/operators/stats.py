@@ -19,64 +19,75 @@ from contactscope.operators.repeat import extreme_categories
 
 
 def chi2_tests(
-    df: DataFrame, factors: Sequence[str], outcome: str = "contacted", outcomes: Sequence = (0, 1)
+    df: DataFrame, factors: Sequence[str], outcome: str = "contacted", outcomes: Sequence | None = None
 ) -> DataFrame:
     """Chi-square test of independence of every factor and the outcome, in one pass.
 
-    One row per factor: statistic, dof, rows used and p. With one degree of freedom
-    the differences are reduced by up to one half (Yates). Outcomes that do not
-    occur do not count as a column; rows with a NULL on either side are left out.
+    One row per factor: statistic, dof, rows used, p, and Cramer's V. Levels and outcomes are those
+    that occur, or of these the named ``outcomes``; rows with a NULL on either side are left out.
+    With one degree of freedom the differences are reduced by up to one half (Yates).
     """
-    cols = [f"o{i}" for i in range(len(outcomes))]
+    used = df.where(F.col(outcome).isNotNull())
+    if outcomes is not None:
+        used = used.where(F.col(outcome).isin(list(outcomes)))
     cells = (
-        df.where(F.col(outcome).isNotNull())
-        .select(outcome, *[F.col(f).cast("string").alias(f) for f in factors])
-        .unpivot([outcome], list(factors), "factor", "level")
+        used.select(F.col(outcome).alias("__o"), *[F.col(f).cast("string").alias(f) for f in factors])
+        .unpivot(["__o"], list(factors), "factor", "level")
         .where(F.col("level").isNotNull())
-        .groupBy("factor", "level")
-        .agg(
-            *[
-                F.count_if(F.col(outcome) == F.lit(o)).cast("double").alias(c)
-                for c, o in zip(cols, outcomes)
-            ]
-        )
-    )
-    margins = cells.groupBy("factor").agg(
-        F.count(F.lit(1)).alias("levels"), *[F.sum(c).alias(f"t_{c}") for c in cols]
-    )
-    n = sum((F.col(f"t_{c}") for c in cols), F.lit(0.0))
-    present = sum(((F.col(f"t_{c}") > 0).cast("int") for c in cols), F.lit(0))
-    # One row per factor that was asked for.
-    joined = (
-        cells.join(F.broadcast(margins), "factor").withColumns(
-            {
-                "n": n,
-                "dof": ((F.col("levels") - 1) * (present - 1)).cast("bigint"),
-                "row_n": sum((F.col(c) for c in cols), F.lit(0.0)),
-            }
-        )
+        .groupBy("factor", "level", "__o")
+        .agg(F.count(F.lit(1)).cast("double").alias("cell"))
     )
+    return _chi2_of(cells)
+
 
-    def part(c: str) -> Column:
-        expected = F.col("row_n") * F.col(f"t_{c}") / F.col("n")
-        gap = F.abs(F.col(c) - expected)
-        gap = F.when(F.col("dof") == 1, gap - F.least(F.lit(0.5), gap)).otherwise(gap)
-        return F.coalesce(F.try_divide(gap * gap, expected), F.lit(0.0))
+def _chi2_of(cells: DataFrame) -> DataFrame:
+    """The test of each factor from its counts (factor, level, __o, cell)."""
 
-    parts = sum((part(c) for c in cols), F.lit(0.0))
+    def margin(key: str, name: str) -> tuple[DataFrame, DataFrame]:
+        sums = cells.groupBy("factor", key).agg(F.sum("cell").alias(name))
+        return sums, sums.groupBy("factor").agg(
+            F.count(F.lit(1)).alias(f"{name}_k"), F.sum(1.0 / F.col(name)).alias(f"{name}_inverse"),
+            F.sum(name).alias(f"{name}_n"),
+        )
+
+    rows, row_totals = margin("level", "row")
+    columns, column_totals = margin("__o", "column")
+    totals = row_totals.join(column_totals.drop("column_n"), "factor").withColumn(
+        "dof", ((F.col("row_k") - 1) * (F.col("column_k") - 1)).cast("bigint")
+    )
+    n = F.col("row_n")
+    expected = F.col("row") * F.col("column") / n
+    gap = F.col("cell") - expected
+    met = cells.join(rows, ["factor", "level"]).join(columns, ["factor", "__o"]).join(totals, "factor")
+    summed = met.groupBy("factor").agg(
+        F.sum(gap * gap / expected).alias("present"),
+        # A cell that does not occur adds its expectation.
+        (F.max(n) - F.sum(expected)).alias("rest"),
+        (F.count(F.lit(1)) < F.max("row_k") * F.max("column_k")).alias("holes"),
+        F.max(F.abs(gap)).alias("gap"),
+        *[F.max(c).alias(c) for c in ("dof", "row_n", "row_k", "column_k", "row_inverse", "column_inverse")],
+    )
+    # In a table of two by two all four differences are equal.
+    kept = F.greatest(F.col("gap") - 0.5, F.lit(0.0))
+    corrected = kept * kept * n * F.col("row_inverse") * F.col("column_inverse")
+    plain = F.col("present") + F.when(F.col("holes"), F.col("rest")).otherwise(0.0)
+    statistic = F.when(F.col("dof") == 0, F.lit(0.0)).when(F.col("dof") == 1, corrected).otherwise(plain)
+    least = F.least("row_k", "column_k") - 1
     return (
-        joined.groupBy("factor")
-        .agg(
-            F.sum(parts).alias("statistic"),
-            F.max("dof").alias("dof"),
-            F.max("n").cast("bigint").alias("n"),
+        summed.withColumn("statistic", statistic)
+        .select(
+            "factor",
+            "statistic",
+            "dof",
+            n.cast("bigint").alias("n"),
+            F.sqrt(F.try_divide("statistic", n * least)).alias("cramers_v"),
         )
         .withColumn("p_value", chi2_sf(F.col("statistic"), F.col("dof")))
     )
 
 
 def chi2_test(
-    df: DataFrame, factor: str, outcome: str = "contacted", outcomes: Sequence = (0, 1)
+    df: DataFrame, factor: str, outcome: str = "contacted", outcomes: Sequence | None = None
 ) -> DataFrame:
     """Chi-square test of one factor."""
     return chi2_tests(df, [factor], outcome, outcomes)
@@ -141,6 +152,8 @@ def mann_whitney(
             "z",
             F.when((F.col("n_x") > 0) & (F.col("n_y") > 0), F.col("p_value")).alias("p_value"),
             F.lit("asymptotic").alias("method"),
+            # Share of pairs that x wins less the share that it loses.
+            F.try_divide(F.lit(2.0) * F.col("statistic") - n1 * n2, n1 * n2).alias("rank_biserial"),
         )
         .withColumn("reject", (F.col("p_value") < alpha).cast("int"))
     )
