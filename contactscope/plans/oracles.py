@@ -411,13 +411,18 @@ ORACLES: dict[str, str] = {
         )
     ),
     "date_coverage": _sql(
-        _union(
+        """SELECT *, CAST(first_date - (SELECT CAST(min(order_created_at) AS DATE) FROM bookings) AS INTEGER)
+          AS first_gap_days,
+        CAST(last_date - (SELECT CAST(max(order_created_at) AS DATE) FROM bookings) AS INTEGER)
+          AS last_gap_days FROM ("""
+        + _union(
             [
                 """SELECT 'orders' AS "table", CAST(min(order_created_at) AS DATE) AS first_date,
                 CAST(max(order_created_at) AS DATE) AS last_date FROM bookings""",
                 "SELECT 'contacts', CAST(min(created) AS DATE), CAST(max(created) AS DATE) FROM raw",
             ]
         )
+        + ")"
     ),
     "test_share_by_month": _sql(
         """SELECT CAST(date_trunc('month', created) AS DATE) AS period, count(*) AS n,
@@ -585,7 +590,7 @@ ORACLES: dict[str, str] = {
     ),
     "cross_counts_wide": _sql(
         "SELECT errand_channel, "
-        + ", ".join(f"count(*) FILTER (errand_category = '{c}') AS {c}" for c in NAMED)
+        + ", ".join(f"count(*) FILTER (errand_category = 'cat{i}') AS cat{i}" for i in range(12))
         + " FROM contacts WHERE errand_category IS NOT NULL AND errand_channel IS NOT NULL GROUP BY 1"
     ),
     "contingency": _sql(
@@ -716,6 +721,45 @@ ORACLES: dict[str, str] = {
         (PARTITION BY contacted ORDER BY {_hash()}, order_id) AS rn FROM linked)"""
     ),
     **{f"chi2_{f}": _chi2("linked", f, "contacted") for f in [*FACTORS, "currency"]},
+    "chi2_three_outcomes": _chi2(
+        "wide", "journey_type_id", "times", "wide AS (SELECT *, least(n_contacts, 2) AS times FROM linked)"
+    ),
+    "effect_sizes": _sql(
+        """SELECT factor, 'cramers_v' AS measure, round(sqrt(x / n), 6) AS value FROM chi
+        UNION ALL SELECT 'value_group', 'rank_biserial', round(2 * u / pairs - 1, 6) FROM test""",
+        VALUE_SPLIT,
+        *_chi2_ctes("linked", FACTORS, "contacted"),
+        *_mwu_ctes("split", "contacted", "'high'", "'low'", "value_group"),
+    ),
+    "contact_flag_in_window": _sql(
+        """SELECT order_id, count(c.errand_id) AS n_contacts, CAST(count(c.errand_id) > 0 AS INTEGER)
+        AS contacted FROM bookings b LEFT JOIN (SELECT errand_id, order_id FROM contacts WHERE created <=
+        (SELECT max(order_created_at) FROM bookings) + INTERVAL 90 DAY) c USING (order_id) GROUP BY 1"""
+    ),
+    "csv_quoted_text": _sql(
+        """SELECT order_id, 'A "' || device || '", b|' || coalesce(partner, '-') AS device,
+        CAST(0 AS BIGINT) AS malformed, CAST(0 AS BIGINT) AS empty_cells FROM bookings"""
+    ),
+    "assemble": _sql(
+        """SELECT order_id, CAST(5 AS INTEGER) AS size, round(
+        coalesce(ln(1 + CASE WHEN order_amount < 0 THEN 0 ELSE order_amount END), 0)
+        + hour(order_created_at) + isodow(order_created_at) - 1 + month(order_created_at)
+        + CAST(partner IS NULL AS INTEGER), 6) AS total FROM linked"""
+    ),
+    "kmeans_check": _sql(
+        """SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS nearer_elsewhere, count(*) AS profile_rows
+        FROM bookings"""
+    ),
+    "logistic_check": _sql(
+        """SELECT contacted AS label, CAST(round(count(*) * 0.2::DOUBLE) AS BIGINT) AS n,
+        CAST(round(count(*) * 0.2::DOUBLE) AS BIGINT) AS in_range, CAST(1 AS INTEGER) AS at_optimum
+        FROM linked GROUP BY 1"""
+    ),
+    "forest_check": _sql(
+        """SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(n) AS BIGINT) AS in_range, CAST(10 AS BIGINT) AS top,
+        1.0::DOUBLE AS total_importance
+        FROM (SELECT round(count(*) * 0.2::DOUBLE) AS n FROM linked GROUP BY contacted)"""
+    ),
     "repeat_chi2": _chi2(
         "chosen",
         "first_category",
@@ -811,6 +855,15 @@ ORACLES: dict[str, str] = {
         "FROM points, sizes",
         SCORED,
     ),
+    "compare_check": _sql(
+        """SELECT 'rule' AS model, CAST(p AS BIGINT) AS positives, CAST(n AS BIGINT) AS negatives,
+        (SELECT round((sum(r) FILTER (label = 1) - p::DOUBLE * (p + 1) / 2) / (p::DOUBLE * n), 9)
+         FROM (SELECT label, rank() OVER (ORDER BY score)
+                 + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS r FROM scored)) AS roc_auc,
+        (SELECT round(sum(pos::DOUBLE / p * tp::DOUBLE / (tp + fp)), 9) FROM points) AS average_precision,
+        CAST(1 AS INTEGER) AS same_auc FROM sizes""",
+        SCORED,
+    ),
     "roc_curve": _sql(
         """SELECT threshold, fp::DOUBLE / n AS fpr, tp::DOUBLE / p AS tpr FROM points, sizes
         UNION ALL SELECT NULL, 0.0::DOUBLE, 0.0::DOUBLE""",

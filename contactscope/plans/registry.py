@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ from contactscope.operators import (
     stats,
 )
 from contactscope.sources import schemas, star
-from contactscope.sources.tables import read_table, shared_folder, write_result
+from contactscope.sources.tables import malformed_rows, read_table, shared_folder, write_result
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -400,7 +401,7 @@ def share_within_channel(spark, folder):
 
 @query
 def cross_counts_wide(spark, folder):
-    return mix.cross_counts(C(spark, folder), "errand_channel", "errand_category", NAMED)
+    return mix.cross_counts(C(spark, folder), "errand_channel", "errand_category")
 
 
 @query
@@ -431,7 +432,7 @@ def out_of_window_categories(spark, folder):
 
 @query
 def head_tail(spark, folder):
-    ranking_table = rates.rate_by(L(spark, folder), ["currency"])
+    ranking_table = rates.rate_by(LK(spark, folder), ["currency"])
     return mix.head_tail(ranking_table, 8, 4, "contact_rate", "level").select(
         "level", "orders", "contact_rate"
     )
@@ -538,7 +539,8 @@ def stratified_split(spark, folder):
 
 def _chi2(factor: str) -> Query:
     def run(spark, folder):
-        out = stats.chi2_test(L(spark, folder), factor)
+        orders = L if factor == "customer_group_type" else LK
+        out = stats.chi2_test(orders(spark, folder), factor)
         return out.select(
             "factor",
             F.round("statistic", 4).alias("statistic"),
@@ -555,9 +557,54 @@ for _factor in [*stats.CHI2_FACTORS, "currency"]:
 
 
 def _rounded_test(df: DataFrame) -> DataFrame:
+    df = df.drop("rank_biserial")
     return df.withColumn("z", F.round("z", 6)).withColumn("p_value", F.round("p_value", 6))
 
 
+@query
+def chi2_three_outcomes(spark, folder):
+    """An outcome with three levels, over those that occur."""
+    wide = LK(spark, folder).withColumn("times", F.least("n_contacts", F.lit(2)))
+    out = stats.chi2_test(wide, "journey_type_id", "times")
+    return out.select("factor", F.round("statistic", 4).alias("statistic"), "dof", "n",
+                      F.round("p_value", 6).alias("p_value"))
+
+
+@query
+def effect_sizes(spark, folder):
+    """Cramer's V of each factor, and the rank-biserial correlation of the value split."""
+    linked = L(spark, folder)
+    tables = stats.chi2_tests(linked, list(stats.CHI2_FACTORS)).select(
+        "factor", F.lit("cramers_v").alias("measure"), F.round("cramers_v", 6).alias("value")
+    )
+    ranks = stats.value_test(linked).select(
+        F.lit("value_group").alias("factor"), F.lit("rank_biserial").alias("measure"),
+        F.round("rank_biserial", 6).alias("value"),
+    )
+    return tables.unionByName(ranks)
+
+
+@query
+def contact_flag_in_window(spark, folder):
+    """The label of in-window modelling: contacted within the time the orders cover."""
+    recent = clean.in_window(C(spark, folder), K(spark, folder))
+    linked = link.with_contact_counts(K(spark, folder), recent)
+    return linked.select("order_id", "n_contacts", "contacted")
+
+
+@query
+def csv_quoted_text(spark, folder):
+    """Texts with quotes, separators and line breaks, written as CSV and read back."""
+    hard = F.concat(F.lit('A "'), F.col("device"), F.lit('", b\n'), F.coalesce("partner", F.lit("-")))
+    core = K(spark, folder).select("order_id", hard.alias("device"))
+    out = f"{shared_folder(spark).rstrip('/')}/contactscope"
+    target = write_result(core, f"quoted-{uuid.uuid4().hex}", out, "csv")
+    back = read_table(spark, target, schemas.ORDERS, "csv")
+    return back.select("order_id", F.replace("device", F.lit("\n"), F.lit("|")).alias("device")).join(
+        F.broadcast(malformed_rows(spark, target)), how="cross"
+    ).drop("n_rows")
+
+
 @query
 def repeat_chi2(spark, folder):
     out = stats.repeat_chi2(repeat.repeat_per_order(C(spark, folder)), min_volume=MIN_VOLUME)
@@ -651,6 +698,97 @@ def pr_curve(spark, folder):
 # Models and segments --------------------------------------------------------
 
 
+@query
+def assemble(spark, folder):
+    """The feature vector, as its length and sum."""
+    vector = vector_to_array("features")
+    out = features.assemble(features.booking_features(L(spark, folder)), features.NUMERIC)
+    return out.select(
+        "order_id",
+        F.size(vector).alias("size"),
+        F.round(F.aggregate(vector, F.lit(0.0), lambda a, b: a + b), 6).alias("total"),
+    )
+
+
+@query
+def kmeans_check(spark, folder):
+    """Rows assigned, rows that lie nearer to the centre of another cluster, and the profile's rows."""
+    table = segments.segment_table(L(spark, folder))
+    model = segments.kmeans(table, segments.FINAL_K, 2)
+    clustered = segments.assign(model, table)
+    x = vector_to_array("features")
+    far = [
+        F.aggregate(
+            F.zip_with(x, F.array(*[F.lit(float(v)) for v in centre]), lambda a, b: (a - b) * (a - b)),
+            F.lit(0.0), lambda a, b: a + b,
+        )
+        for centre in model.clusterCenters()
+    ]
+    own = F.element_at(F.array(*far), F.col("cluster") + 1)
+    profile = segments.cluster_profile(clustered).agg(F.sum("n")).scalar()
+    return clustered.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.least(*far) < own - 1e-9).alias("nearer_elsewhere"),
+    ).withColumn("profile_rows", profile)
+
+
+@query
+def logistic_check(spark, folder):
+    """Held-out rows and scores in [0, 1] per label, and whether the fit is at its optimum.
+
+    There the penalised gradient vanishes: it is compared with the mean absolute feature values.
+    """
+    table = models.training_table(L(spark, folder))
+    train = table.where("is_test = 0")
+    model = models.fit_logistic(train)
+    scored = models.score(model, table.where("is_test = 1"))
+    beta = [*model.coefficients.toArray().tolist()]
+    p = vector_to_array("probability")[1]
+    x = vector_to_array("features")
+    miss = F.col("weight") * (p - F.col("label"))
+    row = model.transform(train).agg(
+        F.sum("weight").alias("w"),
+        *[F.sum(miss * x[i]).alias(f"g{i}") for i in range(len(beta))],
+        *[F.sum(F.col("weight") * F.abs(x[i])).alias(f"a{i}") for i in range(len(beta))],
+    ).first()
+    reg = 1.0 / (models.INVERSE_PENALTY * row["w"])
+    worst = max(abs(row[f"g{i}"] / row["w"] + reg * b) / max(row[f"a{i}"] / row["w"], 1e-9) for i, b in enumerate(beta))
+    return scored.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("score").between(0, 1)).alias("in_range"),
+    ).withColumn("at_optimum", F.lit(int(worst < 1e-2)))
+
+
+@query
+def forest_check(spark, folder):
+    """Held-out rows, scores in [0, 1], the ten largest importances, and the sum of all."""
+    table = models.training_table(L(spark, folder))
+    model = models.fit_forest(table.where("is_test = 0"), trees=20)
+    scored = models.score(model, table.where("is_test = 1"))
+    top = models.top_importances(model, table).agg(F.count(F.lit(1))).scalar()
+    total = models.importances(model, table).agg(F.round(F.sum("importance"), 6)).scalar()
+    return scored.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("score").between(0, 1)).alias("in_range")
+    ).withColumns({"top": top, "total_importance": total})
+
+
+@query
+def compare_check(spark, folder):
+    """The comparison of a scored table, and whether its area is that of the rank test."""
+    table = _scored(spark, folder)
+    ranks = stats.mann_whitney(table, "score", "label", 1, 0)
+    area = ranks.select(F.col("statistic") / (F.col("n_x").cast("double") * F.col("n_y"))).scalar()
+    out = models.compare_models({"rule": table}).withColumn("__area", area)
+    return out.select(
+        "model",
+        "positives",
+        "negatives",
+        F.round("roc_auc", 9).alias("roc_auc"),
+        F.round("average_precision", 9).alias("average_precision"),
+        (F.abs(F.col("roc_auc") - F.col("__area")) < 1e-9).cast("int").alias("same_auc"),
+    )
+
+
 @query
 def logistic_scores(spark, folder):
     table = models.training_table(L(spark, folder))

@@ -117,7 +117,7 @@ def statistics(
 
 
 def modelling(
-    data: Linked, rows: int | None = models.SAMPLE_ROWS, in_window_only: bool = False
+    data: Linked, rows: int | None = models.FIT_ROWS, in_window_only: bool = False
 ) -> dict[str, DataFrame]:
     """Contact prediction: model comparison, curves and feature importances.
 
@@ -138,7 +138,7 @@ def modelling(
     }
 
 
-def segmentation(data: Linked, rows: int | None = segments.SAMPLE_ROWS) -> dict[str, DataFrame]:
+def segmentation(data: Linked, rows: int | None = None) -> dict[str, DataFrame]:
     """Silhouettes, the four-cluster profile with names, and plot data."""
     table = segments.segment_table(data.orders, rows)
     model = segments.kmeans(table, segments.FINAL_K, segments.FINAL_RESTARTS)

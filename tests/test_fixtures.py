@@ -36,7 +36,9 @@ def ts(text):
 DECODED = [
     ("24770FC", 4607513832), ("24770fc", 4607513832), (" 1Z ", 71), ("12-3", None), ("!!", None),
     ("", None), (None, None), ("nan", 30191), ("-1Z", -71), ("+1z", 71), ("1_Z", 71), ("_1", None),
-    ("1_", None), ("1__2", None), ("000", 0), ("ZZZZZZZZZZZZ", 36**12 - 1), ("1" + "0" * 12, None),
+    ("1_", None), ("1__2", None), ("000", 0), ("ZZZZZZZZZZZZ", 36**12 - 1), ("1" + "0" * 12, 36**12), ("1Y2P0IJ32E8E7", 2**63 - 1),
+    ("1y2p0ij32e8e7", 2**63 - 1), ("1Y2P0IJ32E8E8", None), ("Z" * 13, None), ("-1Y2P0IJ32E8E7", 1 - 2**63),
+    ("000_1Y2P0IJ32E8E7", 2**63 - 1), ("1" + "0" * 13, None),
     ("0" * 30 + "1Z", 71),
 ]
 

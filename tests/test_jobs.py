@@ -94,9 +94,9 @@ def test_segments(spark, folder):
     named = segments.name_segments(segments.cluster_profile(clustered)).collect()
     assert {r.segment for r in named} == {"cancelled", "changed", "round trip"}
     assert sum(r.n for r in named) == 1500
-    scan = segments.silhouette_scan(table, ks=(2, 3), restarts=1, rows=500).collect()
+    scan = segments.silhouette_scan(table, ks=(2, 3), restarts=1).collect()
     assert {r.k for r in scan} == {2, 3} and sum(r.is_best for r in scan) == 1
-    assert all(-1 <= r.silhouette <= 1 and r.n == 500 for r in scan)
+    assert all(-1 <= r.silhouette <= 1 and r.n == 1500 for r in scan)
     assert -1 <= segments.squared_silhouette(clustered) <= 1
 
 

@@ -125,9 +125,17 @@ def test_sample_of_skewed_groups(spark):
     df = spark.range(6000).selectExpr("id", "case when id < 5990 then 'hot' when id < 5999 then 'cold' end as g")
     got = sampling.sample_per_group(df, "g", 20, 1, ["id"]).groupBy("g").count().collect()
     assert {r.g: r["count"] for r in got} == {"hot": 20, "cold": 9}
-    with pytest.raises(Exception, match="groups to sample from"):
-        many = spark.range(sampling.MAX_GROUPS + 1)
-        sampling.sample_per_group(many.withColumn("g", F.col("id")), "g", 1, 1, ["id"]).collect()
+    many = spark.range(20_100).selectExpr("id", "id % 10050 as g")
+    assert sampling.sample_per_group(many, "g", 1, 1, ["id"]).groupBy("g").count().where("count = 1").count() == 10_050
+
+
+def test_samples_of_repeated_keys_are_exact(spark):
+    df = spark.range(100).selectExpr("id % 50 as k", "id div 50 as copy")
+    for n in (1, 11, 50, 99):
+        rows = sampling.sample_n(df, n, 3, ["k"]).collect()
+        assert len(rows) == len(set(rows)) == n
+    same = spark.range(90).selectExpr("1 as k")
+    assert sampling.sample_n(same, 31, 3, ["k"]).count() == 31
 
 
 @pytest.fixture(scope="module")
@@ -173,15 +181,15 @@ def test_hot_keys_change_nothing(spark, hot, threshold):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-def test_hot_key_is_spread(spark, hot):
+def test_links_read_contacts_once_and_split_missing_keys(spark, hot):
     orders, contacts = hot
-    left, right = link._in_slots(contacts, orders)
-    slots = left.groupBy("order_id").agg(F.countDistinct("__slot").alias("s")).collect()
-    spread = {r.order_id: r.s for r in slots}
-    assert spread[7] == link.SLOTS and spread[None] == link.SLOTS
-    assert max(s for k, s in spread.items() if k not in (7, None)) == 1
-    copies = {r.order_id: r["count"] for r in right.groupBy("order_id").count().collect()}
-    assert copies[7] == link.SLOTS and copies[8] == 1
+    parts = 8
+    linked = link.link_contacts(contacts.repartition(parts), orders)
+    plan = linked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1
+    spread = contacts.select(link._spread().alias("s"), "order_id")
+    assert spread.where("order_id is null").select("s").distinct().count() > 1000
+    assert spread.where("order_id is not null").select("s").distinct().count() == 1
 
 
 def test_partition_independence(hot):
@@ -218,7 +226,7 @@ def test_silhouette_brute_force(spark):
     points.append((150, 50.0, 50.0, 9, 0))  # alone in its cluster
     df = spark.createDataFrame(points, "order_id long, a double, b double, k3 int, k2 int")
     df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
-    got = {r.labelling: r.silhouette for r in segments.silhouette(df, ["k3", "k2"]).collect()}
+    got = {r.labelling: r.silhouette for r in segments.pairwise_silhouette(df, ["k3", "k2"], 10_000).collect()}
     xy = np.array([p[1:3] for p in points])
     distance = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(axis=2))
     for column, name in ((3, "k3"), (4, "k2")):
