@@ -129,15 +129,18 @@ def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """
     index = index or DigestIndex(docs.sparkSession)
     names = docs.columns
+
+    def key(doc_id: Column, hashed: Column) -> Column:
+        return F.concat_ws(":", hashed, F.coalesce(doc_id.cast("string"), F.lit("none")))
+
     marked = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"),
-        F.col("doc_id").cast("bigint").alias("_id"),
-        digest(F.col("text")).alias("_digest"),
+        key(F.col("doc_id").cast("bigint"), digest(F.col("text"))).alias("_key"),
         _rank(F.col("text"), F.col("doc_id")).alias("_rank"),
     )
-    kept = index.dedup(docs).where("kept").select("doc_id", F.col("text_sha256").alias("digest"), F.lit(True).alias("stays"))
-    kept = kept.dropDuplicates(["digest"])
-    found = marked.join(kept, (marked["_id"].eqNullSafe(kept["doc_id"])) & (marked["_digest"] == kept["digest"]))
-    # Only a repeated id can give a digest twice here; the longest of its rows is the kept one.
-    ranked = found.groupBy("_digest").agg(F.max_by("_row", "_rank").alias("_row"))
+    kept = index.dedup(docs).where("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("_key"))
+    # Only a repeated id can give a key twice; the longest of its rows is the kept one. Both steps
+    # need the rows by key, so the texts are shuffled once.
+    found = marked.hint("merge").join(kept.distinct(), "_key")
+    ranked = found.groupBy("_key").agg(F.max_by("_row", "_rank").alias("_row"))
     return ranked.select(*[F.col("_row").getField(c).alias(c) for c in names])
