@@ -85,7 +85,53 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mix_sources": mix_sources,
 }
 
+#: Components of the links (x, y): everything that can be reached.
+_REACHED = """
+        reach AS (
+          SELECT x, y FROM links UNION SELECT y, x FROM links
+          UNION SELECT r.x, l.y FROM reach r JOIN (SELECT x, y FROM links UNION SELECT y, x FROM links) l
+            ON r.y = l.x
+        ), low AS (SELECT x, least(x, min(y)) AS component FROM reach GROUP BY x)"""
+
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard": rf"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+          FROM documents
+        ), s AS (
+          SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN []
+            WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+            ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) END)) AS sh
+          FROM w
+        ), c AS (
+          SELECT doc_id, len(sh) AS n, sh, min(doc_id) OVER (PARTITION BY sh) AS class_id,
+            count(*) OVER (PARTITION BY sh) AS class_size FROM s
+        ), e AS (
+          SELECT doc_id, n, unnest(sh) AS g FROM c WHERE doc_id = class_id
+        ), links AS (
+          SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+        ), {_REACHED}
+        SELECT doc_id, n AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE class_id END AS class_id,
+          CASE WHEN n = 0 THEN 1 ELSE class_size END AS class_size,
+          CASE WHEN n = 0 THEN doc_id ELSE coalesce(component, class_id) END AS component_id
+        FROM c LEFT JOIN low ON class_id = x
+    """,
+    "op4_embedding_dedup": f"""
+        WITH RECURSIVE v AS (
+          SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,
+            count(*) OVER (PARTITION BY embedding) AS class_size FROM embeddings
+        ), links AS (
+          SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id < b.vec_id
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.9::DOUBLE
+        ), n AS (
+          SELECT x, count(*) AS n FROM (SELECT x FROM links UNION ALL SELECT y FROM links) GROUP BY x
+        ), {_REACHED}
+        SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id,
+          vec_id = coalesce(component, vec_id) AS kept, class_size
+        FROM v LEFT JOIN n ON vec_id = n.x LEFT JOIN low ON vec_id = low.x
+    """,
     "op2_exact_dedup": r"""
         WITH d AS (
           SELECT doc_id, length(coalesce(text, '')) AS n,
