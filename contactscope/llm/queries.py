@@ -34,7 +34,8 @@ def warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revisits derived from all pages, resolved; headers as sorted lines."""
     found = resolve(captures(table(spark, sf_dir, "pages")))
     lines = F.transform(F.map_entries("headers"), lambda e: F.concat_ws(": ", e["key"], e["value"]))
-    return found.withColumn("headers", F.array_join(F.array_sort(lines), "\n"))
+    text = F.array_join(F.array_sort(lines), "\n")
+    return found.withColumns({"headers": text, "ts": F.col("ts").cast("timestamp_ntz")})
 
 
 def embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +119,52 @@ ORACLES: dict[str, str] = {
           CASE WHEN n = 0 THEN doc_id ELSE coalesce(component, class_id) END AS component_id
         FROM c LEFT JOIN low ON class_id = x
     """,
+    "op3_warc_revisits": r"""
+        WITH rest AS (
+          SELECT page_id, coalesce(html, '') AS html,
+            make_timestamp((1700000000 + (page_id * 7919) % 5000000) * 1000000) AS t0,
+            regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS u
+          FROM pages
+        ), parts AS (
+          SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)),
+              '^.*@', ''), ':(80|443)$', ''), '^www[0-9]*\.', '') AS host,
+            regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+            array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'),
+              lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=.*)?$'))),
+              '&') AS query
+          FROM rest
+        ), r AS (
+          SELECT page_id, t0, CASE WHEN host <> '' THEN host || path ||
+              CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS url_key,
+            '"' || substr(md5(html), 1, 16) || '"' AS tag, sha256(html) AS digest, length(html) AS size,
+            strftime(t0 - INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS changed
+          FROM parts
+        ), v AS (
+          SELECT page_id, url_key, k, t0 + to_hours(CASE k WHEN 1 THEN 24 WHEN 2 THEN 72 ELSE -48 END) AS ts,
+            CASE WHEN k = 1 THEN tag WHEN k = 2 AND page_id % 5 = 0 THEN '"changed"' WHEN k = 2 THEN tag END AS tag,
+            CASE WHEN k = 3 AND page_id % 7 <> 0 THEN changed END AS changed
+          FROM r, (SELECT unnest([1, 2, 3]) AS k)
+        ), m AS (
+          SELECT v.*, r.page_id AS old_id, r.tag AS old_tag, r.changed AS old_changed, r.size, r.digest
+          FROM v LEFT JOIN r ON r.url_key = v.url_key AND r.t0 < v.ts
+          QUALIFY row_number() OVER (PARTITION BY v.page_id, k ORDER BY r.t0 DESC NULLS LAST, r.page_id DESC) = 1
+        ), s AS (
+          SELECT *, CASE WHEN old_id IS NULL THEN 'no_response'
+            WHEN tag IS NULL AND changed IS NULL THEN 'no_validator'
+            WHEN tag <> old_tag OR changed <> old_changed THEN 'mismatch' ELSE 'resolved' END AS status FROM m
+        )
+        SELECT page_id * 4 + k AS record_id, url_key, ts, status,
+          CASE WHEN status = 'resolved' THEN old_id * 4 END AS refers_to,
+          CASE WHEN status = 'resolved' THEN
+            CASE WHEN k = 2 THEN 'age: ' || page_id || chr(10) ELSE '' END
+            || 'cache-control: max-age=' || CASE k WHEN 1 THEN '600' ELSE '60' END || chr(10)
+            || 'content-length: ' || size || chr(10) || 'content-type: text/html' || chr(10)
+            || 'etag: ' || CASE k WHEN 1 THEN tag WHEN 2 THEN 'W/' || tag ELSE old_tag END || chr(10)
+            || 'last-modified: ' || CASE WHEN k = 3 THEN changed ELSE old_changed END
+            || CASE WHEN k = 3 THEN chr(10) || 'vary: Accept' ELSE '' END END AS headers,
+          CASE WHEN status = 'resolved' THEN digest END AS payload_digest
+        FROM s
+    """,
     "op4_embedding_dedup": f"""
         WITH RECURSIVE v AS (
           SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,
