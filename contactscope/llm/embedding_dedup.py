@@ -332,7 +332,8 @@ def near_duplicates(
         .applyInPandas(gather, "size int, cell long, part int, keys string, weights binary, rows binary")
     )
     tiles = stored(tiles, "vector-tiles")
-    pairs = F.broadcast(spark.createDataFrame(met, "size int, c1 long, c2 long, t1 int, t2 int"))
+    # Pairs of cells are bounded by CELLS, pairs of tiles are not: Spark sizes that join.
+    pairs = spark.createDataFrame(met, "size int, c1 long, c2 long, t1 int, t2 int")
     pairs = pairs.select("size", "c1", "c2", "t2", F.explode(F.expr("sequence(0, t1 - 1)")).alias("p1"))
     pairs = pairs.select("size", "c1", "c2", "p1", F.explode(F.expr("sequence(0, t2 - 1)")).alias("p2"))
     pairs = pairs.where("c1 < c2 or p1 <= p2")
