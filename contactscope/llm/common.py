@@ -11,8 +11,10 @@ from contactscope.sources.tables import materialise
 
 #: Bytes of text that one vectorised step takes; a longer text is taken alone.
 STEP_BYTES = 1 << 20
+#: Bytes of text in one run of ``text_runs``.
+RUN_BYTES = 4 << 20
 #: Rows in one bucket of ``ranked``, about.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +64,7 @@ def ranked(
     for m in match[1:]:
         condition = condition & m
     return (
-        dealt.join(totals, condition)
+        dealt.hint("merge").join(totals, condition)
         .withColumn("_rank", F.col("_rank") + F.col("_n0"))
         .withColumns({k: F.col(k) + F.col(f"_s_{k}") for k in sums})
         .drop("_bucket", "_n0", *[f"_k_{k}" for k in keys], *[f"_s_{k}" for k in sums])
@@ -129,6 +131,25 @@ def mixed(x):
         return x ^ (x >> np.uint64(31))
 
 
+def text_runs(batches, column: str = "text", limit: int = RUN_BYTES):
+    """The batches cut into runs of rows with about ``limit`` bytes in ``column`` at most.
+
+    What a task holds besides a batch is bounded by a run; a longer text is a run of its own.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < batch.num_rows:
+            start = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, start + limit, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def word_hasher() -> Callable:
     """A function from an Arrow string array to (word hashes, offsets of each text, begin, end).
 
