@@ -136,7 +136,9 @@ class Mix:
             "base",
             F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK})")).alias("chunk"),
         )
-        each = chunks.repartition("sid", "chunk").select(
+        # By number: rows this small would be dealt to one task otherwise, and grow there.
+        tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        each = chunks.repartition(tasks, "sid", "chunk").select(
             "sid",
             "blocks",
             "base",
@@ -175,18 +177,19 @@ class Mix:
 
     def blocks(self) -> DataFrame:
         """The output: shard, slot, and the document parts (doc_id, words lo to hi) in it."""
-        return self.slots().join(self.parts(), ["sid", "number"])
+        return self.slots().hint("merge").join(self.parts(), ["sid", "number"])
 
     def taken(self) -> DataFrame:
         """One row per document: doc_id, source, size, source_size, target, taken."""
         times = self.slots().groupBy("sid", "number").agg(F.count(F.lit(1)).alias("times"))
         words = (
             self.parts()
+            .hint("merge")
             .join(times, ["sid", "number"])
             .groupBy("sid", "_rank")
             .agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"))
         )
-        return self.placed.join(words, ["sid", "_rank"], "left").select(
+        return self.placed.hint("merge").join(words, ["sid", "_rank"], "left").select(
             "doc_id",
             "source",
             "size",
@@ -214,7 +217,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("_id"),
         F.xxhash64("doc_id", "source", text).alias("_tie"),
     ).agg(*[F.first(F.col(f"`{c}`")).alias(f"_v_{c}") for c in names])
-    met = ranges.join(
+    met = ranges.hint("merge").join(
         texts, (F.coalesce("doc_id", F.lit(-1)) == F.col("_id")) & (F.col("tie") == F.col("_tie"))
     )
     words = F.regexp_extract_all("_v_text", F.lit(f"({WORD})"), F.lit(1))
