@@ -5,23 +5,28 @@ documents link when the Jaccard similarity of their rows is at least ``num / den
 transpose holds the overlaps. Only blocks of it that can hold a link are computed:
 
 1. Rows with equal sets are one class; a class is one row of the matrix from here on.
-2. Columns are cut into 2^l ranges of their hash, l by the row's size, so that a linking pair,
-   whose rows differ in fewer columns than there are ranges (a bound from the two sizes), agrees
-   on a whole range. Rows that agree on one non-empty range (a hash each) form a row block, closed
-   over shared ranges. A row with so many empty ranges that the bound could rest on them also
-   offers its smallest hashes, of which a linking pair must share one. No candidate is lost.
+2. Columns are cut into ranges of their hash. A linking pair differs in fewer columns than a bound
+   from its sizes, so with more ranges than that it agrees on a whole range. Rows that agree on a
+   range that is not empty are candidates; a row block is closed over them. Columns that are frequent
+   in a bounded sample are left out of the ranges. That only moves work: a row with so many empty
+   ranges that the bound could rest on them offers its first ``a - ceil(a * num / den) + 1`` columns
+   (a: its size; frequent columns last), of which two such linking rows share one.
 3. Within a row block the product is accumulated over slices of columns. After each slice the
    pairs that cannot reach their least overlap any more, given the sizes that remain, are
-   discarded. Blocks of more than ``BLOCK_ROWS`` rows are tiled, and the tiles are separate tasks.
+   discarded. Blocks of more than ``BLOCK_ROWS`` rows are cut into bands of sizes, of which only
+   neighbours can link, and bands into tiles; pairs of tiles are separate tasks.
 4. A tile returns a spanning forest of its links, never all pairs; links are closed into components.
 
 Defined results: null text counts as empty; an empty row links with nothing; repeated rows and
-repeated ids are rows of one class; the component of a row without an id is that of its class.
-Other columns are ignored. An empty table gives an empty result.
+repeated ids are rows of one class; the component of a row without an id is that of its class, and
+texts that only rows without an id have link with nothing. Other columns are ignored. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +35,17 @@ from contactscope.llm.common import (
     forest,
     mixed,
     stored,
+    text_runs,
     window_hashes,
     word_hasher,
 )
 
 BLOCK_ROWS = 1024  # rows of one tile's side, and about the rows of small blocks in one task
 SLICE_COLUMNS = 4096
+SAMPLE_DOCS = 8_000  # about; documents in which frequent columns are looked for
+FREQUENT_DOCS = 8  # a column in so many of them is frequent
+FREQUENT_COLUMNS = 1 << 18  # at most, the most frequent ones
+FLUSH_ROWS = 500_000  # offers that a task gathers before it passes them on
 
 
 def _incidence(n: int, extra: str):
@@ -45,7 +55,7 @@ def _incidence(n: int, extra: str):
         import numpy as np
 
         hashes_of = word_hasher()
-        for batch in batches:
+        for batch in text_runs(batches):
             words, offsets, _, _ = hashes_of(batch.column("text"))
             cut = [
                 np.unique(window_hashes(words[a:b], n))
@@ -56,71 +66,186 @@ def _incidence(n: int, extra: str):
     return rows
 
 
-def _signature_rows(n: int, num: int, den: int):
-    def symmetric(total: int) -> int:
+def _columns(n: int):
+    """The columns of the batch's rows with the number of rows in each."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for _, rows in _incidence(n, "doc_id")(batches):
+            found, times = np.unique(np.concatenate([*rows, np.empty(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))], ["col", "n"]
+            )
+
+    return run
+
+
+def _frequent(docs: DataFrame, n: int):
+    """The sample's frequent columns as sorted hashes, and the rank of each: rarer ones first."""
+    import numpy as np
+
+    total = docs.count()
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20))
+    sample = docs.where(draw < math.ceil((1 << 20) * min(1.0, SAMPLE_DOCS / max(total, 1))))
+    counts = sample.mapInArrow(_columns(n), "col bigint, n bigint").groupBy("col").agg(F.sum("n").alias("n"))
+    top = counts.where(F.col("n") >= FREQUENT_DOCS).orderBy(F.desc("n"), "col").limit(FREQUENT_COLUMNS)
+    found = top.collect()
+    columns = np.array([r["col"] for r in found], np.int64).view(np.uint64)
+    order = np.argsort(columns)
+    ranks = np.arange(len(found), 0, -1)  # the most frequent one comes last
+    return columns[order], ranks[order]
+
+
+def _set_key(h) -> tuple[int, int]:
+    """Two 64-bit sums that stand for the set of hashes."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        one = mixed(h + np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)
+        two = mixed(h ^ np.uint64(0xE7037ED1A0B428DB)).sum(dtype=np.uint64)
+    return int(one.view(np.int64)), int(two.view(np.int64))
+
+
+def _sizes(n: int):
+    """Id, size and set key of each row."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for ids, rows in _incidence(n, "doc_id")(batches):
+            keys = [_set_key(h) for h in rows]
+            arrays = [ids, *[pa.array(c, pa.int64()) for c in ([len(h) for h in rows], [k[0] for k in keys], [k[1] for k in keys])]]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "d1", "d2"])
+
+    return run
+
+
+def ranges_for(differ: int) -> int:
+    """The number of ranges used where rows may differ in so many columns: the next of 1.5^i."""
+    count = 1
+    while count < differ + 1:
+        count = -(-count * 3 // 2)
+    return count
+
+
+def offers(h, num: int, den: int, known, ranks):
+    """Hashes of which two linking rows share one; ``h`` is a sorted row, its equals are no matter."""
+    import numpy as np
+
+    def differ(total: int) -> int:
         """The most columns in which linking rows of so many columns in total can differ."""
         return total * (den - num) // (den + num)
 
-    def level(size: int) -> int:
-        return symmetric(size + size * den // num).bit_length()
+    def own_ranges(size: int) -> int:
+        """As many as a partner of this size or larger needs; 1 where only an equal row can link."""
+        return ranges_for(differ(size + size * den // num))
+
+    a = len(h)
+    rank = np.zeros(a, np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        rank = np.where(known[at] == h, ranks[at], 0)
+    rare = h[rank == 0]
+    with np.errstate(over="ignore"):
+        x = mixed(rare + np.uint64(0xA0761D6478BD642F))
+        out, short = [], False
+        # The smallest partner decides the lowest number of ranges under which this row is sought.
+        lowest, highest = own_ranges(-(-a * num // den)), own_ranges(a)
+        count = lowest
+        while count <= highest:
+            if count > 1:
+                block = (rare >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)
+                first = np.flatnonzero(np.append(True, np.diff(block) != 0)) if len(rare) else np.empty(0, np.int64)
+                if len(first):
+                    salt = np.uint64(count) * np.uint64(0x9E3779B97F4A7C15)
+                    out.append(mixed(np.add.reduceat(x, first) + mixed(block[first] + salt)))
+                bound = differ(a + a * den // num) if count == highest else differ(2 * a)
+                short |= len(first) - min(bound, count - 1) < 1
+            count = -(-count * 3 // 2)
+        if short:
+            take = a - -(-a * num // den) + 1
+            order = np.argsort(rank, kind="stable")[:take]
+            out.append(mixed(h[order] ^ np.uint64(0x94D049BB133111EB)))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def _offered(n: int, num: int, den: int, frequent):
+    """(offer, d1) of each class, once a task; of classes that share an offer within the task only the
+    smallest goes on under it, and the others are tied to that one (offer null, d1, b)."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        salt = mixed(np.arange(1, 66, dtype=np.uint64))
-        done = set()
-        for ids, rows in _incidence(n, "doc_id")(batches):
-            one, two, sizes, sigs, ends = [], [], [], [], [0]
-            count = 0
-            for h in rows:
-                a = len(h)
-                sizes.append(a)
-                with np.errstate(over="ignore"):
-                    x = mixed(h + np.uint64(0xA0761D6478BD642F))
-                key = _set_key(h)
-                one.append(key[0])
-                two.append(key[1])
-                if a and key not in done:
-                    done.add(key)
-                    own = level(a)
-                    for at in range(level(-(-a * num // den)), own + 1):
-                        if at == 0:
-                            continue  # such a pair has equal rows
-                        block = h >> np.uint64(64 - at)
-                        first = np.flatnonzero(np.diff(block, prepend=block[0] + np.uint64(1)))
-                        with np.errstate(over="ignore"):
-                            found = mixed(
-                                np.add.reduceat(x, first)
-                                + salt[at] * (block[first] + np.uint64(1))
-                            )
-                        sigs.append(found)
-                        count += len(found)
-                        bound = symmetric(a + a * den // num) if at == own else symmetric(2 * a)
-                        if len(first) - min(bound, (1 << at) - 1) < 1:
-                            prefix = mixed(h[: a - (-(-a * num // den)) + 1] ^ salt[64])
-                            sigs.append(prefix)
-                            count += len(prefix)
-                    if len(done) > 1_000_000:
-                        done.clear()  # only saves work: a class may offer its ranges twice
-                ends.append(count)
-            flat = np.concatenate(sigs) if sigs else np.empty(0, np.uint64)
+        known, ranks = frequent.value
+        done: set = set()
+        held: list = []
+        rows = 0
+
+        def flush():
+            offer = np.concatenate([o for o, _ in held])
+            d1 = np.concatenate([np.full(len(o), d, np.int64) for o, d in held])
+            order = np.lexsort((d1, offer))
+            offer, d1 = offer[order], d1[order]
+            new = np.append(True, offer[1:] != offer[:-1])
+            least = d1[new][np.cumsum(new) - 1]
+            ties = np.unique(np.stack([d1[~new], least[~new]], axis=1), axis=0) if (~new).any() else np.empty((0, 2), np.int64)
+            ties = ties[ties[:, 0] != ties[:, 1]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(offer[new].view(np.int64)), pa.array(d1[new]), pa.nulls(int(new.sum()), pa.int64())],
+                ["offer", "d1", "b"],
+            )
             yield pa.RecordBatch.from_arrays(
-                [
-                    ids.cast(pa.int64()),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(one, pa.int64()),
-                    pa.array(two, pa.int64()),
-                    pa.ListArray.from_arrays(
-                        pa.array(ends, pa.int32()), pa.array(flat.view(np.int64))
-                    ),
-                ],
-                ["doc_id", "n_shingles", "d1", "d2", "sigs"],
+                [pa.nulls(len(ties), pa.int64()), pa.array(ties[:, 0]), pa.array(ties[:, 1])],
+                ["offer", "d1", "b"],
             )
 
+        for _, incidence in _incidence(n, "doc_id")(batches):
+            for h in incidence:
+                key = _set_key(h)
+                if not len(h) or key in done:
+                    continue
+                if len(done) > 1_000_000:
+                    done.clear()  # only saves work: a class may make its offers twice
+                done.add(key)
+                found = offers(h, num, den, known, ranks)
+                if len(found):
+                    held.append((found, key[0]))
+                    rows += len(found)
+            if rows > FLUSH_ROWS:
+                yield from flush()
+                held, rows = [], 0
+        if held:
+            yield from flush()
+
     return run
 
 
+def _tied(batches):
+    """Rows sorted by (offer, d1): each class tied to the smallest with its offer; ties pass through."""
+    import numpy as np
+    import pyarrow as pa
+
+    offer = least = None
+    for batch in batches:
+        given = batch.column("b")
+        ties = batch.filter(given.is_valid())
+        yield pa.RecordBatch.from_arrays([ties.column("d1"), ties.column("b")], ["a", "b"])
+        batch = batch.filter(given.is_null())
+        if not batch.num_rows:
+            continue
+        offers_, d1 = batch.column("offer").to_numpy(), batch.column("d1").to_numpy()
+        new = np.append(offers_[0] != offer if offer is not None else True, offers_[1:] != offers_[:-1])
+        group = np.cumsum(new)
+        firsts = np.append(least if least is not None else d1[0], d1[new])
+        b = firsts[group]
+        offer, least = offers_[-1], b[-1]
+        keep = d1 != b
+        yield pa.RecordBatch.from_arrays([pa.array(d1[keep]), pa.array(b[keep])], ["a", "b"])
+
+
 def tile_links(left: list, right: list | None, num: int, den: int, slice_columns: int):
     """A spanning forest of the links within ``left``, or between ``left`` and ``right``.
 
@@ -136,8 +261,7 @@ def tile_links(left: list, right: list | None, num: int, den: int, slice_columns
     _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
     shared = times[column] > 1
     owner, column = owner[shared], column[shared]
-    rank = np.cumsum(times > 1) - 1
-    column = rank[column]
+    column = (np.cumsum(times > 1) - 1)[column]
     cut = len(left)
     a, b = sizes[:cut], sizes if same else sizes[cut:]
     total = a[:, None] + b[None, :]
@@ -152,6 +276,8 @@ def tile_links(left: list, right: list | None, num: int, den: int, slice_columns
     width = int(column[-1]) + 1 if len(column) else 0
     left_of = np.bincount(owner, minlength=len(rows))
     for at in range(0, width, slice_columns):
+        rest = np.minimum(left_of[:cut, None], (left_of if same else left_of[cut:])[None, :])
+        alive &= overlap + rest >= least
         if not alive.any():
             return
         lo, hi = np.searchsorted(column, [at, at + slice_columns])
@@ -159,10 +285,6 @@ def tile_links(left: list, right: list | None, num: int, den: int, slice_columns
         part[owner[lo:hi], column[lo:hi] - at] = 1
         overlap += part[:cut] @ (part if same else part[cut:]).T
         left_of = left_of - np.bincount(owner[lo:hi], minlength=len(rows))
-        rest = np.minimum(
-            left_of[:cut, None], (left_of if same else left_of[cut:])[None, :]
-        )
-        alive &= overlap + rest >= least
     x, y = np.nonzero(alive & (overlap >= least))
     yield from forest(len(rows), zip(x.tolist(), (y if same else y + cut).tolist(), strict=True))
 
@@ -173,37 +295,26 @@ def _links(num: int, den: int, slice_columns: int):
         import pandas as pd
 
         found = []
-        for _, block in frame.groupby(["family", "i", "j"]):
+        for _, block in frame.groupby(["family", "one", "two"]):
             block = block.drop_duplicates("cls")
             cls = block["cls"].to_numpy()
             rows = [np.frombuffer(h, np.uint64) for h in block["row"]]
-            i, j = int(block["i"].iloc[0]), int(block["j"].iloc[0])
-            if i == j:
+            first = (block["own"] == block["one"]).to_numpy()
+            cut = int(first.sum())
+            if cut == len(rows):
                 pairs = tile_links(rows, None, num, den, slice_columns)
-            else:
-                part = block["part"].to_numpy()
-                order = np.argsort(part != i, kind="stable")
+            elif cut:
+                order = np.argsort(~first, kind="stable")
                 cls, rows = cls[order], [rows[k] for k in order]
-                cut = int((part == i).sum())
-                if cut in (0, len(rows)):
-                    continue
                 pairs = tile_links(rows[:cut], rows[cut:], num, den, slice_columns)
+            else:
+                continue
             found += [(cls[x], cls[y]) for x, y in pairs]
         return pd.DataFrame(found, columns=["a", "b"], dtype="object")
 
     return run
 
 
-def _set_key(h) -> tuple[int, int]:
-    """Two 64-bit sums that stand for the set of hashes."""
-    import numpy as np
-
-    with np.errstate(over="ignore"):
-        one = mixed(h + np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)
-        two = mixed(h ^ np.uint64(0xE7037ED1A0B428DB)).sum(dtype=np.uint64)
-    return int(one.view(np.int64)), int(two.view(np.int64))
-
-
 def _rows(n: int):
     """The rows of the classes' own documents; other texts under a repeated id are left out."""
 
@@ -221,6 +332,33 @@ def _rows(n: int):
     return run
 
 
+def _tile_tasks(chosen: DataFrame, num: int, den: int, block_rows: int) -> DataFrame:
+    """cls, family, its own tile, and the pair of tiles (one, two) of each task it takes part in."""
+    size = F.count(F.lit(1)).alias("n")
+    many = chosen.join(chosen.groupBy("family").agg(size), "family")
+    # Sizes of a linking pair differ by at most one band.
+    band = F.floor(F.log(F.col("n_shingles")) / math.log(den / num)).cast("int")
+    many = many.withColumn("band", F.when(F.col("n") > block_rows, band).otherwise(0))
+    cells = many.groupBy("family", "band").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("tiles"))
+    own = many.join(cells, ["family", "band"])
+    own = own.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
+    met = own.join(cells.select("family", F.col("band").alias("b2"), F.col("tiles").alias("t2")), "family")
+    met = met.where(F.abs(F.col("band") - F.col("b2")) <= 1).withColumn(
+        "p2", F.explode(F.expr("sequence(0, t2 - 1)"))
+    )
+    here = F.struct(F.col("band").alias("b"), F.col("part").alias("p"))
+    there = F.struct(F.col("b2").alias("b"), F.col("p2").alias("p"))
+    name = lambda s: F.concat_ws(".", s["b"], s["p"])
+    return met.select(
+        "cls",
+        "family",
+        F.col("n") > block_rows,
+        name(here).alias("own"),
+        name(F.least(here, there)).alias("one"),
+        name(F.greatest(here, there)).alias("two"),
+    ).toDF("cls", "family", "large", "own", "one", "two")
+
+
 def jaccard_classes(
     docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
@@ -230,74 +368,51 @@ def jaccard_classes(
     links of similarity ``num / den`` or more reach. The result reads tables written on the way.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranges = stored(
-        docs.mapInArrow(
-            _signature_rows(n, num, den),
-            "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sigs array<bigint>",
-        ),
-        "ngram-ranges",
+    docs = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
-    key = F.concat(F.hex("d1"), F.lit(":"), F.hex("d2"))
-    sigs = ranges.select(F.explode("sigs").alias("sig"), "d1")
-    shared = sigs.groupBy("sig").agg(F.min("d1").alias("b"), F.max("d1").alias("top")).where("b < top")
-    star = (
-        sigs.join(shared.select("sig", "b"), "sig").where("d1 <> b").select(F.col("d1").alias("a"), "b")
-    ).distinct()
-    family = stored(components(star, "ngram-families"), "ngram-family").select(
-        F.col("node").alias("d1"), F.col("root").alias("family")
+    frequent = spark.sparkContext.broadcast(_frequent(docs, n))  # bounded by FREQUENT_COLUMNS
+    rows = stored(
+        docs.mapInArrow(_sizes(n), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint"), "ngram-rows"
     )
+    # Candidates: classes that share an offer, each tied to the smallest one. Offers are sorted, not
+    # grouped, so that a task streams over its part.
+    offered = docs.mapInArrow(_offered(n, num, den, frequent), "offer bigint, d1 bigint, b bigint")
+    spread = F.coalesce("offer", F.xxhash64("d1"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    offered = offered.repartition(parts, spread).sortWithinPartitions("offer", "d1")
+    star = stored(offered.mapInArrow(_tied, "a bigint, b bigint").distinct(), "ngram-candidates")
+    family = components(star, "ngram-families").select(F.col("node").alias("d1"), F.col("root").alias("family"))
+    cls = F.concat(F.hex("d1"), F.lit(":"), F.hex("d2")).alias("cls")
     members = (
-        ranges.where("n_shingles > 0")
-        .groupBy("d1", "d2")
+        rows.where("n_shingles > 0")
+        .groupBy("d1", "d2", "n_shingles")
         .agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+        .hint("merge")
+        .join(family, "d1", "left")
+        .select("d1", "d2", cls, "class_id", "class_size", "n_shingles", "family")
     )
-    members = stored(members.join(family, "d1", "left").withColumn("cls", key), "ngram-classes")
-    chosen = members.where("family is not null")
-    sizes = chosen.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-    tiles = F.ceil(F.col("n") / F.lit(block_rows)).cast("int")
-    chosen = stored(
-        chosen.join(sizes, "family").select("family", "cls", "class_id", "n", tiles.alias("tiles")),
-        "ngram-chosen",
-    )
-    rows = docs.join(chosen.select("cls", "class_id"), F.col("doc_id") == F.col("class_id")).select("cls", "text")
-    rows = rows.mapInArrow(_rows(n), "cls string, row binary")
-    placed = chosen.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
-    placed = placed.join(rows, "cls").select(
-        "family",
-        "cls",
-        "part",
-        "row",
-        "tiles",
-        F.explode(F.expr("sequence(0, tiles - 1)")).alias("other"),
-    )
-    placed = placed.select(
-        "family",
-        "cls",
-        "part",
-        "row",
-        "tiles",
-        F.least("part", "other").alias("i"),
-        F.greatest("part", "other").alias("j"),
-    )
-    tasks = max(1, chosen.agg(F.count(F.lit(1))).first()[0] // block_rows)
-    small = F.pmod(F.xxhash64("family"), F.lit(tasks))
-    task = F.when(F.col("tiles") == 1, F.struct(F.lit(0).cast("bigint").alias("f"), small.alias("x"), F.lit(0).alias("y")))
-    task = task.otherwise(F.struct(F.col("family").alias("f"), F.col("i").cast("bigint").alias("x"), F.col("j").alias("y")))
+    members = stored(members, "ngram-classes")
+    chosen = members.where("family is not null").select("cls", "class_id", "n_shingles", "family")
+    texts = docs.hint("merge").join(chosen, F.col("doc_id") == F.col("class_id")).select("cls", "text")
+    sets = stored(texts.mapInArrow(_rows(n), "cls string, row binary"), "ngram-sets")
+    placed = _tile_tasks(chosen, num, den, block_rows).join(sets, "cls")
+    tasks = max(1, chosen.count() // block_rows)
+    small = F.pmod(F.xxhash64("family"), F.lit(tasks)).cast("string")
+    task = F.when(F.col("large"), F.concat_ws(":", "family", "one", "two")).otherwise(small)
     links = (
-        placed.withColumn("task", task)
-        .select("task", "family", "i", "j", "cls", "part", "row")
+        placed.select(task.alias("task"), "family", "own", "one", "two", "cls", "row")
         .groupBy("task")
         .applyInPandas(_links(num, den, SLICE_COLUMNS), "a string, b string")
     )
     linked = components(stored(links, "ngram-links"), "ngram-components")
     named = linked.join(members.select("cls", "class_id"), F.col("node") == F.col("cls"))
     lowest = named.groupBy("root").agg(F.min("class_id").alias("component"))
-    named = stored(named.join(lowest, "root").select("cls", "component"), "ngram-named")
+    named = named.join(lowest, "root").select("cls", "component")
     classes = members.join(named, "cls", "left").select(
         "d1", "d2", "class_id", "class_size", F.coalesce("component", "class_id").alias("component")
     )
-    found = ranges.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
+    found = rows.select("doc_id", "n_shingles", "d1", "d2").hint("merge").join(classes, ["d1", "d2"], "left")
     alone = F.col("n_shingles") == 0
     return found.select(
         "doc_id",
@@ -311,8 +426,8 @@ def jaccard_classes(
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The documents without near copies: of each component the row of the smallest id stays.
 
-    Rows with a repeated id, or without one, stay or go by their own class.
+    Rows that share an id go together, when one of them goes; rows without an id stay.
     """
     found = jaccard_classes(docs, **how)
-    gone = stored(found.where("component_id <> doc_id").select("doc_id").distinct(), "ngram-gone")
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(stored(gone, "ngram-gone"), "doc_id", "left_anti").select(docs.columns)

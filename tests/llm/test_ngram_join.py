@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from contactscope.llm.ngram_join import jaccard_classes, keep_one, tile_links
+from contactscope.llm.ngram_join import jaccard_classes, keep_one, offers, tile_links
 from contactscope.llm.queries import QUERIES
 
 
@@ -90,3 +90,23 @@ def test_tiles_discard_without_loss():
     two = set(tile_links(rows[:10], rows[10:], 8, 10, 7))
     assert all((max(p), min(p)) in links for p in one | two)
     assert bool(one) == bool(links)
+
+
+def test_linking_rows_share_an_offer():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for num, den in ((90, 100), (8, 10), (1, 2)):
+        for size in [1, 2, 3, 5, 8, 9, 10, 11, 19, 20, 21, 40, 75, 150, 400]:
+            for _ in range(40):
+                a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2))
+                known = np.sort(rng.choice(a, rng.integers(0, len(a) + 1), replace=False))
+                ranks = rng.permutation(len(known)) + 1
+                least = -(-num * 2 * len(a) // (den + num))
+                kept = rng.choice(a, rng.integers(max(1, least - 1), len(a) + 1), replace=False)
+                b = np.unique(np.append(kept, rng.integers(0, 1 << 63, rng.integers(0, 3 + size // 3)).astype(np.uint64)))
+                both = len(np.intersect1d(a, b))
+                if den * both < num * (len(a) + len(b) - both) or np.array_equal(a, b):
+                    continue
+                x, y = offers(a, num, den, known, ranks), offers(b, num, den, known, ranks)
+                assert len(np.intersect1d(x, y)), (num, den, len(a), len(b))
