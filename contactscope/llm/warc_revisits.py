@@ -12,7 +12,8 @@ partitions by a window over these few rows, and a window within each partition d
 Defined results (``status``): ``resolved``; ``no_response``, without an earlier response, without a URL or
 a time; ``no_validator``, where no validator is on both sides; ``mismatch``, where one differs. Only a
 resolved revisit refers to a response and has headers. Of responses at one time the largest record_id
-counts as the latest; a response at the revisit's own time is not earlier. Repeated rows are resolved
+counts as the latest, a missing one as the smallest, and of equal ones the largest hash of the headers,
+then the largest digest; an id need not be unique. A response at the revisit's own time is not earlier. Repeated rows are resolved
 each; header names are compared in lower case, null headers are none; extra columns are passed by. An
 empty table gives an empty result.
 """
@@ -84,36 +85,46 @@ def resolve(records: DataFrame) -> DataFrame:
         headers.alias("headers"),
         F.col("payload_digest").cast("string").alias("payload_digest"),
     )
-    rows = stored(rows.where("full is not null"), "warc-records")
+    rows = rows.where("full is not null").withColumn("x", F.xxhash64(F.map_entries("headers")))
+    rows = stored(rows, "warc-records")
     placed = rows.where("url_key is not null and ts is not null").select(
-        "url_key", "ts", "full", "record_id", F.struct("ts", "record_id", F.xxhash64(F.map_entries("headers")).alias("x")).alias("self")
+        "url_key", "ts", "full", "record_id", "x", F.struct("ts", "record_id", "x").alias("self")
     )
-    order = ["ts", "full", "record_id"]  # at one time a revisit comes before a response
+    order = ["ts", "full", "record_id", "x"]  # at one time a revisit comes before a response
     placed = placed.repartitionByRange("url_key", *order).withColumn("part", F.spark_partition_id())
     placed = stored(placed, "warc-placed")
-    response = F.when(F.col("full"), F.col("record_id"))
+    response = F.when(F.col("full"), F.col("self"))
     last = F.last(response, ignorenulls=True)
     ends = placed.where("full").groupBy("url_key", "part").agg(F.max("self").alias("last"))
     parts = placed.select("url_key", "part").distinct().join(ends, ["url_key", "part"], "left")
     earlier = Window.partitionBy("url_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     carried = parts.select(
-        "url_key", "part", F.last("last.record_id", ignorenulls=True).over(earlier).alias("carried")
+        "url_key", "part", F.last("last", ignorenulls=True).over(earlier).alias("carried")
     )
     within = Window.partitionBy("url_key", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     met = placed.withColumn("here", last.over(within)).where("not full").join(carried, ["url_key", "part"])
-    met = met.select("record_id", F.col("self.x").alias("x"), "ts", F.coalesce("here", "carried").alias("response_id"))
-    met = met.groupBy("record_id", "x", "ts").agg(F.max("response_id").alias("response_id"))
-
-    revisits = rows.where("not full").withColumn("x", F.xxhash64(F.map_entries("headers")))
-    found = revisits.join(
-        met,
-        revisits["record_id"].eqNullSafe(met["record_id"]) & (revisits["x"] == met["x"]) & revisits["ts"].eqNullSafe(met["ts"]),
-        "left",
-    ).select(revisits["record_id"], "url_key", revisits["ts"], "headers", "response_id")
-    responses = rows.where("full").groupBy(F.col("record_id").alias("response_id")).agg(
-        F.max_by(F.struct("headers", "payload_digest"), F.struct("ts", "payload_digest")).alias("r")
+    revisit = ["url_key", "record_id", "x", "ts"]
+    met = met.groupBy(*revisit).agg(F.max(F.coalesce("here", "carried")).alias("response"))
+
+    def same(left: DataFrame, right: DataFrame, names: dict[str, str]) -> Column:
+        found = F.lit(True)
+        for a, b in names.items():
+            found = found & left[a].eqNullSafe(right[b])
+        return found
+
+    revisits = rows.where("not full")
+    found = revisits.join(met, same(revisits, met, {c: c for c in revisit}), "left").select(
+        *[revisits[c] for c in ("record_id", "url_key", "ts", "headers")],
+        F.col("response.ts").alias("response_ts"),
+        F.col("response.record_id").alias("response_id"),
+        F.col("response.x").alias("response_x"),
     )
-    found = found.join(responses, "response_id", "left")
+    responses = rows.where("full and url_key is not null and ts is not null").groupBy(*revisit).agg(
+        F.max_by(F.struct("headers", "payload_digest"), F.struct("payload_digest")).alias("r")
+    )
+    responses = responses.toDF("of_url", "of_id", "of_x", "of_ts", "r")
+    names = {"url_key": "of_url", "response_ts": "of_ts", "response_id": "of_id", "response_x": "of_x"}
+    found = found.join(responses, same(found, responses, names), "left")
     own, old = F.col("headers"), F.col("r.headers")
     tags = _tag(own["etag"]), _tag(old["etag"])
     times = F.trim(own["last-modified"]), F.trim(old["last-modified"])

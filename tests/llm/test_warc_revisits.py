@@ -104,3 +104,18 @@ def test_canonical_urls(spark):
     urls = ["HTTPS://user:pw@WWW2.A.example:443/x//?b&a&&gclid=1", "a.example", "a.example/?ref=1", " http://a.example/#f", "", None, "http://", "a.example?q"]
     got = spark.createDataFrame([(u,) for u in urls], "u string").select(canonical_url(__import__("pyspark").sql.functions.col("u")).alias("k")).collect()
     assert [r["k"] for r in got] == [key(u) for u in urls]
+
+
+def test_ids_that_are_missing_or_shared_by_urls(spark):
+    rows = [
+        (1, "response", "a.example", at(0), {"etag": "old"}, "a0"),
+        (None, "response", "a.example", at(2), {"etag": "a"}, "a2"),
+        (1, "response", "b.example", at(9), {"etag": "b"}, "b9"),
+        (7, "revisit", "a.example", at(1), {"etag": "old"}, None),
+        (7, "revisit", "a.example", at(3), {"etag": "a"}, None),
+        (8, "revisit", "a.example", at(10), {"etag": "a"}, None),
+        (8, "revisit", "b.example", at(10), {"etag": "a"}, None),
+        (None, "revisit", "b.example", at(11), {"etag": "b"}, None),
+        (None, "revisit", "c.example", at(11), {"etag": "b"}, None),
+    ]
+    assert plain(resolve(spark.createDataFrame([(*r, 1, 2) for r in rows], SCHEMA))) == brute(rows)
