@@ -11,6 +11,7 @@ from contactscope.llm import toxicity as toxic
 from contactscope.llm.common import table
 from contactscope.llm.digest_index import DigestIndex
 from contactscope.llm.embedding_dedup import near_duplicates
+from contactscope.llm.kneser_ney import language_scores
 from contactscope.llm.license_scan import licence_report
 from contactscope.llm.mix_sources import Mix
 from contactscope.llm.ngram_join import jaccard_classes
@@ -73,6 +74,11 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(table(spark, sf_dir, "documents")).taken()
 
 
+def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a model of those that are not held out."""
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": ngram_jaccard,
     "op2_exact_dedup": exact_dedup,
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity,
     "op9_token_counts": token_counts,
     "op10_mix_sources": mix_sources,
+    "op11_lm_scores": lm_scores,
 }
 
 #: Components of the links (x, y): everything that can be reached.
