@@ -150,17 +150,17 @@ def text_runs(batches, column: str = "text", limit: int = RUN_BYTES):
             at = to
 
 
-def word_hasher() -> Callable:
+def word_hasher(gaps: bytes = b" \t\n\v\f\r") -> Callable:
     """A function from an Arrow string array to (word hashes, offsets of each text, begin, end).
 
-    Words are runs of bytes other than space and 0x09 to 0x0D, with A-Z lower-cased. ``begin`` and
+    Words are runs of bytes other than ``gaps``, with A-Z lower-cased. ``begin`` and
     ``end`` are byte places in the text. Hashes are 64 bits; null counts as empty.
     """
     import numpy as np
     import pyarrow as pa
 
     gap = np.zeros(256, dtype=bool)
-    gap[[0x20, 9, 10, 11, 12, 13]] = True
+    gap[list(gaps)] = True
     values = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     values[65:91] = values[97:123]
     base, inverse = 0x2545F4914F6CDD1D, pow(0x2545F4914F6CDD1D, -1, 1 << 64)

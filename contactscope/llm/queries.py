@@ -11,6 +11,7 @@ from contactscope.llm import toxicity as toxic
 from contactscope.llm.common import table
 from contactscope.llm.digest_index import DigestIndex
 from contactscope.llm.embedding_dedup import near_duplicates
+from contactscope.llm.impact_search import search
 from contactscope.llm.kneser_ney import language_scores
 from contactscope.llm.license_scan import licence_report
 from contactscope.llm.mix_sources import Mix
@@ -79,6 +80,11 @@ def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(table(spark, sf_dir, "documents"))
 
 
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of all for every benchmark item."""
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": ngram_jaccard,
     "op2_exact_dedup": exact_dedup,
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": token_counts,
     "op10_mix_sources": mix_sources,
     "op11_lm_scores": lm_scores,
+    "op12_ranked_search": ranked_search,
 }
 
 #: Components of the links (x, y): everything that can be reached.
@@ -198,4 +205,29 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256
         FROM d JOIN g USING (h)
     """,
+    "op12_ranked_search": r"""
+        WITH words AS (
+          SELECT doc_id AS id, TRUE AS of_document, regexp_extract_all(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
+          UNION ALL
+          SELECT item_id, FALSE, regexp_extract_all(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') FROM benchmark
+        ), each AS (SELECT id, of_document, len(ws) AS n, unnest(ws) AS term FROM words),
+        c AS (SELECT id, of_document, term, n, count(*) AS tf FROM each GROUP BY ALL),
+        totals AS (SELECT count(*) AS documents, CAST(sum(len(ws)) AS BIGINT) AS occurrences
+          FROM words WHERE of_document AND len(ws) > 0),
+        df AS (SELECT term, count(*) AS df FROM c WHERE of_document GROUP BY term),
+        s AS (
+          SELECT i.id AS item_id, d.id AS doc_id, CAST(sum(i.tf
+            * CAST(floor(1000 * ln((2 * documents + 2) / (2 * df + 1))) AS BIGINT)
+            * ((1000000000 * d.tf) // (1000 * d.tf + 12 * (75 + (25 * d.n * documents) // occurrences)))) AS BIGINT) AS score
+          FROM c i JOIN c d ON i.term = d.term JOIN df ON i.term = df.term, totals
+          WHERE NOT i.of_document AND d.of_document GROUP BY i.id, d.id
+        )
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+          doc_id, score
+        FROM s WHERE score > 0 QUALIFY rank <= 20
+    """,
 }
