@@ -13,6 +13,7 @@ from contactscope.llm.digest_index import DigestIndex
 from contactscope.llm.embedding_dedup import near_duplicates
 from contactscope.llm.impact_search import search
 from contactscope.llm.kneser_ney import language_scores
+from contactscope.llm.lemp_negatives import hard_negatives as mined_negatives
 from contactscope.llm.license_scan import licence_report
 from contactscope.llm.mix_sources import Mix
 from contactscope.llm.ngram_join import jaccard_classes
@@ -85,6 +86,13 @@ def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels that score nearly as high as an anchor's positives; every 100th row is an anchor."""
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mined_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": ngram_jaccard,
     "op2_exact_dedup": exact_dedup,
@@ -98,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mix_sources": mix_sources,
     "op11_lm_scores": lm_scores,
     "op12_ranked_search": ranked_search,
+    "op13_hard_negatives": hard_negatives,
 }
 
 #: Components of the links (x, y): everything that can be reached.
@@ -230,4 +239,25 @@ ORACLES: dict[str, str] = {
           doc_id, score
         FROM s WHERE score > 0 QUALIFY rank <= 20
     """,
+    "op13_hard_negatives": """
+        WITH v AS (
+          SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+          FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+          SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+            CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+          FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+        ), p AS (
+          SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+        )
+        SELECT p.anchor_id, positive_id,
+          CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+          other_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same
+          AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+        QUALIFY rank <= 5
+    """,
 }
