@@ -589,9 +589,9 @@ ORACLES: dict[str, str] = {
         CELLS,
     ),
     "cross_counts_wide": _sql(
-        "SELECT errand_channel, "
-        + ", ".join(f"count(*) FILTER (errand_category = 'cat{i}') AS cat{i}" for i in range(12))
-        + " FROM contacts WHERE errand_category IS NOT NULL AND errand_channel IS NOT NULL GROUP BY 1"
+        "PIVOT crossed ON errand_category USING count(*) GROUP BY errand_channel",
+        """crossed AS (SELECT errand_channel, errand_category FROM contacts
+        WHERE errand_category IS NOT NULL AND errand_channel IS NOT NULL)""",
     ),
     "contingency": _sql(
         """SELECT l.level, o.outcome, count(k.contacted) AS n

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contactscope.functions.timeparts import parse_ts
+from contactscope.sources.csv_splits import records
 
 # Cell texts that a CSV scan reads as missing.
 MISSING_TEXT = [
@@ -35,13 +36,26 @@ def _csv(spark: SparkSession, multi_line: bool):
     return spark.read.option("quote", '"').option("escape", '"').option("multiLine", multi_line)
 
 
+def _cells(spark: SparkSession, path: str, multi_line: bool, misfits: bool = False) -> tuple[list[str], DataFrame]:
+    """The header's names, and one text column c0, c1, ... for each of them; _misfit marks other numbers of cells."""
+    names = _csv(spark, multi_line).option("header", True).csv(path).columns
+    fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
+    if misfits:
+        fields.append(T.StructField("_misfit", T.StringType()))
+    schema = T.StructType(fields)
+    if not multi_line or not names:
+        reader = _csv(spark, multi_line).option("header", True).option("enforceSchema", True)
+        return names, reader.option("columnNameOfCorruptRecord", "_misfit").schema(schema).csv(path)
+    options = {
+        "quote": '"', "escape": '"', "multiLine": "true", "lineSep": "\n", "columnNameOfCorruptRecord": "_misfit",
+    }
+    row = F.from_csv("value", ", ".join(f"{name} string" for name in schema.names), options)
+    return names, records(spark, path).select(row.alias("r")).select("r.*")
+
+
 def malformed_rows(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """One row: rows of a CSV table, those with more or fewer cells than its header, empty cells."""
-    names = _csv(spark, multi_line).option("header", True).csv(path).columns
-    cells = [T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
-    schema = T.StructType([*cells, T.StructField("_misfit", T.StringType())])
-    reader = _csv(spark, multi_line).option("header", True).option("enforceSchema", True)
-    rows = reader.option("columnNameOfCorruptRecord", "_misfit").schema(schema).csv(path)
+    names, rows = _cells(spark, path, multi_line, misfits=True)
     # All cells are asked for: the parser does not look at cells that nobody reads.
     empty = sum((F.col(f"c{i}").isNull().cast("bigint") for i in range(len(names))), F.lit(0))
     return rows.agg(
@@ -62,15 +76,17 @@ def read_table(
     """Scan a table with a declared schema, never an inferred one.
 
     CSV cells may be quoted, with quotes doubled inside. Line breaks inside quotes are read too
-    while ``multi_line`` is on; a file is then one task, so very large files without such cells
-    are better read with it off. Short rows end in NULL, see ``malformed_rows`` for a count.
+    while ``multi_line`` is on, by one more pass over the text that finds where records begin, see
+    ``csv_splits``; either way a file is read in many tasks. Short rows end in NULL, see
+    ``malformed_rows`` for a count.
 
     Column names are matched in any letter case and come out in lower case;
     columns that the file lacks are left out, extra columns are not read.
     NaN in a floating-point column is read as NULL.
     """
     if fmt == "csv":
-        raw = _csv(spark, multi_line).option("header", True).csv(path)
+        names, raw = _cells(spark, path, multi_line)
+        raw = raw.toDF(*names)
     elif fmt == "parquet":
         raw = spark.read.parquet(path)
     else:
