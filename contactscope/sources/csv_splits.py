@@ -15,50 +15,26 @@ outside quotes are no records. A cell that is never closed takes the rest of its
 
 from __future__ import annotations
 
-import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A longer record is taken for a quote that was never closed.
 MAX_RECORD = 256 << 20
-#: Up to so many splits are told to the scan by number.
-MOST_LISTED = 10_000
 
-# A cell that is quoted as a whole, or has no quote.
-CELL = r'(?:"(?:[^"]|"")*"|[^",]*)'
-QUOTED = r'(?:[^"]|"")*'
-# The lines that need no closer look, by the state they begin and end in.
+# A cell: quoted, perhaps with plain text behind the closing quote; or plain, with quotes as they are; or empty.
+CELL = r'(?:"(?:[^"]|"")*"(?:[^",][^,]*)?|[^",][^,]*|)'
+# Lines that end outside quotes, by the state they begin in; all others end inside.
 OUT_OUT = f"(?s)^{CELL}(?:,{CELL})*$"
-OUT_IN = f'(?s)^(?:{CELL},)*"{QUOTED}$'
-IN_IN = f"(?s)^{QUOTED}$"
-IN_OUT = f'(?s)^{QUOTED}"(?:,{CELL}(?:,{CELL})*)?$'
-CLOSED = re.compile(r'(?:[^"]++|"")*+"')
-
-PIECES = "file long, owner long, part long, value string"
-
-
-def ends_inside(line: str, inside: bool) -> bool:
-    """Whether the end of the line is inside a quoted cell."""
-    at = 0
-    while True:
-        if inside:
-            closed = CLOSED.match(line, at)
-            if closed is None:
-                return True
-            at = closed.end()
-        elif line.startswith('"', at):
-            inside, at = True, at + 1
-            continue
-        at = line.find(",", at)
-        if at < 0:
-            return False
-        inside, at = False, at + 1
+IN_OUT = f'(?s)^(?:[^"]|"")*"(?:[^",][^,]*)?(?:,{CELL})*$'
+
+PIECES = "file long, start long, opens boolean, value string"
 
 
 def _steps(lines: pa.Array) -> tuple:
@@ -66,14 +42,9 @@ def _steps(lines: pa.Array) -> tuple:
     outside, inside = np.zeros(len(lines), bool), np.ones(len(lines), bool)
     quoted = np.flatnonzero(pc.match_substring(lines, '"').to_numpy(zero_copy_only=False))
     if len(quoted):
-        some = pc.utf8_rtrim(lines.take(pa.array(quoted)), "\r")
-        for out, begins, pattern_out, pattern_in in ((outside, False, OUT_OUT, OUT_IN), (inside, True, IN_OUT, IN_IN)):
-            to_out, to_in = (
-                pc.match_substring_regex(some, p).to_numpy(zero_copy_only=False) for p in (pattern_out, pattern_in)
-            )
-            out[quoted] = to_in
-            for odd in np.flatnonzero(~to_out & ~to_in):
-                out[quoted[odd]] = ends_inside(some[odd].as_py(), begins)
+        some = lines.take(pa.array(quoted))
+        for out, pattern in ((outside, OUT_OUT), (inside, IN_OUT)):
+            out[quoted] = ~pc.match_substring_regex(some, pattern).to_numpy(zero_copy_only=False)
     return outside, inside
 
 
@@ -100,19 +71,14 @@ def _runs(batches: Iterable) -> Iterable:
 
 
 def _summaries(batches):
-    """One row a split: the state after it, and whether a record begins in it, for either state before it."""
-    found: dict[tuple, list] = {}
+    """One row a split with quotes: the state after it, if it begins outside, and if it begins inside."""
+    found: dict[tuple, tuple] = {}
     for split, lines in _runs(batches):
-        now = found.setdefault(split, [False, True, False, False])
-        steps = _steps(lines)
-        for begins in (False, True):
-            states = _states(*steps, now[begins])
-            now[begins] = bool(states[-1])
-            now[2 + begins] |= bool((~states[:-1]).any())
+        now, steps = found.get(split, (False, True)), _steps(lines)
+        found[split] = tuple(bool(_states(*steps, begins)[-1]) for begins in now)
     if found:
         file, start = zip(*found)
-        columns = [file, start, *zip(*found.values())]
-        yield pa.record_batch([pa.array(c) for c in columns], ["file", "start", "out", "ins", "new_out", "new_in"])
+        yield pa.record_batch([pa.array(c) for c in (file, start, *zip(*found.values()))], ["file", "start", "out", "ins"])
 
 
 def _joined(lines: pa.Array, starts) -> pa.Array:
@@ -165,14 +131,21 @@ class _Cutter:
             yield _joined(lines.slice(before, stop - before), whole - before), was_first
 
 
-def _by_split(batches, begins_inside: set, work: Callable) -> Iterable:
+def _begins_inside(turns: dict, split: tuple) -> bool:
+    """``turns`` has for each file the splits that end in another state than they begin in, and that state."""
+    own = turns.get(split[0], [])
+    at = bisect_left(own, (split[1],))
+    return at > 0 and own[at - 1][1]
+
+
+def _by_split(batches, turns: dict, work: Callable) -> Iterable:
     """``work(split, cutter, lines)`` for all lines, then ``work(split, cutter, None)``, split by split."""
     split = cutter = None
     for now, lines in _runs(batches):
         if now != split:
             if cutter:
                 yield from work(split, cutter, None)
-            split, cutter = now, _Cutter(now in begins_inside)
+            split, cutter = now, _Cutter(_begins_inside(turns, now))
         yield from work(split, cutter, lines)
     if cutter:
         yield from work(split, cutter, None)
@@ -185,7 +158,7 @@ def _fine(records: pa.Array) -> pa.Array:
     return records.filter(pc.not_equal(records, ""))
 
 
-def _records(begins_inside: set, header: bool):
+def _records(turns: dict, header: bool):
     def work(split, cutter, lines):
         if lines is None:
             return
@@ -193,31 +166,31 @@ def _records(begins_inside: set, header: bool):
             yield pa.record_batch([_fine(records.slice(int(header and first and split[1] == 0)))], ["value"])
 
     def run(batches):
-        return _by_split(batches, begins_inside, work)
+        return _by_split(batches, turns, work)
 
     return run
 
 
-def _pieces(begins_inside: set, owners: dict, header: bool):
-    """The lines of each split that belong to records which cross its begin or end."""
+def _pieces(turns: dict, header: bool):
+    """The lines of each split that belong to records which cross its begin or end, and whether they open one."""
 
     def work(split, cutter, lines):
         if lines is not None:
             for _ in cutter.cut(lines):
                 pass
             return
-        file, start = split
-        rows = []
-        if cutter.head:
-            rows.append((file, owners[split], start, "\n".join(cutter.head)))
-        if cutter.open and not (header and cutter.open_is_first and start == 0):
-            rows.append((file, start, start, "\n".join(cutter.open)))
+        rows = [(*split, False, "\n".join(cutter.head))] if cutter.head else []
+        if cutter.open:
+            is_header = header and cutter.open_is_first and split[1] == 0
+            rows.append((*split, True, None if is_header else "\n".join(cutter.open)))
         if rows:
-            names = ["file", "owner", "part", "value"]
-            yield pa.record_batch([pa.array(c) for c in zip(*rows)], names)
+            yield pa.record_batch(
+                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.bool_(), pa.string()))],
+                ["file", "start", "opens", "value"],
+            )
 
     def run(batches):
-        return _by_split(batches, begins_inside, work)
+        return _by_split(batches, turns, work)
 
     return run
 
@@ -228,36 +201,28 @@ def records(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     lines = lines.select(
         "value", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
     )
-    schema = "file long, start long, out boolean, ins boolean, new_out boolean, new_in boolean"
+    quoted = lines.where(F.contains("value", F.lit('"')))  # other lines change nothing
     files = defaultdict(list)
-    for r in lines.mapInArrow(_summaries, schema).collect():
-        files[r.file].append((r.start, (r.out, r.ins), (r.new_out, r.new_in)))
-    begins_inside: set[tuple] = set()
-    owners: dict[tuple, int] = {}
-    crossed: set[tuple] = set()
+    for file, *split in quoted.mapInArrow(_summaries, "file long, start long, out boolean, ins boolean").collect():
+        files[file].append(split)
+    # A split without quotes that lies inside a record is found as one that does not come up here.
+    turns: dict[int, list[tuple]] = {}
+    crossed = False
     for file, splits in files.items():
-        state, owner = False, 0
-        for start, after, begins in sorted(splits):
-            if state:
-                begins_inside.add((file, start))
-                owners[file, start] = owner
-            if begins[state]:
-                owner = start
-            if state or after[state]:
-                crossed.add((file, start))
-            state = after[state]
-    whole = lines.mapInArrow(_records(begins_inside, header), "value string")
+        state, turns[file] = False, []
+        for start, out, ins in sorted(splits):
+            after = ins if state else out
+            crossed |= after
+            if after != state:
+                turns[file].append((start, after))
+            state = after
+    whole = lines.mapInArrow(_records(turns, header), "value string")
     if not crossed:
         return whole
-    pieces = lines
-    if len(crossed) <= MOST_LISTED:  # else the lines of all splits are looked at
-        split = F.col("file").bitwiseXOR(F.col("start"))
-        pieces = lines.where(split.isin([file ^ start for file, start in crossed]))
-    pieces = pieces.mapInArrow(_pieces(begins_inside, owners, header), PIECES).groupBy("file", "owner")
-    parts = pieces.agg(
-        F.array_sort(F.collect_list(F.struct("part", "value"))).alias("p"), F.min("part").alias("first")
-    )
-    put = parts.where("first = owner").select(F.array_join("p.value", "\n").alias("value"))
-    put = put.select(F.regexp_replace("value", "\\r\\z", "").alias("value"))
-    # A header that crosses splits: its own lines were left out, and what follows has no first part.
-    return whole.union(put.where("value <> ''"))
+    pieces = lines.mapInArrow(_pieces(turns, header), PIECES)
+    in_order = Window.partitionBy("file").orderBy("start", "opens")  # two pieces a split at most
+    pieces = pieces.withColumn("record", F.count_if("opens").over(in_order)).groupBy("file", "record")
+    parts = pieces.agg(F.array_sort(F.collect_list(F.struct("start", "opens", "value"))).alias("p"))
+    parts = parts.where(F.col("p")[0]["value"].isNotNull())  # not a header
+    value = F.regexp_replace(F.array_join("p.value", "\n"), "\\r\\z", "")
+    return whole.union(parts.select(value.alias("value")).where("value <> ''"))
