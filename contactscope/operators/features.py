@@ -26,7 +26,8 @@ POST_BOOKING = [
 CLUSTER_CATEGORICAL = [
     "customer_group_type", "journey_type_id", "device", "brand", "booking_system_source_type",
 ]
-BROADCAST_LEVELS = 1_000_000  # more levels than this are shuffled to the rows instead
+BROADCAST_LEVELS = 1_000_000  # columns with more levels than this together are coded by a join
+LEVELS_PER_TASK = 1_000_000
 CLUSTER_NUMERIC = ["contacted", "n_contacts", "is_changed", "is_canceled"]
 
 
@@ -55,30 +56,73 @@ def booking_features(
     return fill_zero(fill_unknown(numeric, categorical), NUMERIC)
 
 
+def level_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(__column, __level, __code): every level of the columns and its position among the column's sorted levels.
+
+    All columns share one sorted order. It is cut into ranges of some ``LEVELS_PER_TASK`` levels, each sorted on its own;
+    a level's position is its place in its range after the lengths of the ranges before.
+    The driver holds one number a range and one a column.
+    """
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "__column", "__level")
+    levels = materialise(long.where(F.col("__level").isNotNull()).distinct(), "levels")
+    ranges = -(-levels.count() // LEVELS_PER_TASK)
+    order = ["__column", "__level"]
+    if ranges > 1:
+        levels = levels.repartitionByRange(ranges, *order)
+    else:
+        levels = levels.coalesce(1)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    levels = materialise(
+        levels.sortWithinPartitions(*order).select(*order, F.spark_partition_id().alias("__range"), place.alias("__place")),
+        "level-order",
+    )
+    sizes = levels.groupBy("__column", "__range").agg(F.min("__place").alias("low"), F.count(F.lit(1)).alias("n")).collect()
+    before, starts = [0] * (ranges + 1), {}
+    for r in sorted(sizes, key=lambda r: r["__range"]):
+        before[r["__range"]] += r.n
+    before = [sum(before[:i]) for i in range(len(before))]
+    for r in sizes:
+        at = before[r["__range"]] + r.low
+        starts[r["__column"]] = min(at, starts.get(r["__column"], at))
+    offset = F.element_at(F.array(*[F.lit(n).cast("bigint") for n in before]), F.col("__range") + 1)
+    start = F.lit(0)
+    for c, at in starts.items():
+        start = F.when(F.col("__column") == c, F.lit(at)).otherwise(start)
+    return levels.select(*order, (F.col("__place") + offset - start).cast("int").alias("__code"))
+
+
 def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Add ``<col>_enc``: the position of the level among the sorted levels.
 
-    The levels of all columns are found in one pass, numbered and stored while this is
-    called, and joined back. The codes are plain integers, so tree learners take them as
-    ordinal numbers. A missing level has no code.
+    The levels of all columns are found, numbered and stored while this is called. Columns with
+    ``BROADCAST_LEVELS`` levels together are coded from one dictionary that every task holds; the levels of
+    all other columns meet theirs in one join and come back by row. The codes are plain integers, so tree
+    learners take them as ordinal numbers. A missing level has no code.
     """
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
-    levels = (
-        long.unpivot([], list(cols), "__column", "__level")
-        .where(F.col("__level").isNotNull())
-        .distinct()
-    )
-    place = F.row_number().over(Window.partitionBy("__column").orderBy("__level")) - 1
-    levels = materialise(levels.withColumn("__code", place), "levels")
-    few = levels.count() <= BROADCAST_LEVELS
+    levels = level_codes(df, cols)
+    counts = {r["__column"]: r["count"] for r in levels.groupBy("__column").count().collect()}
+    few, total = [], 0
+    for c in sorted(cols, key=lambda c: counts.get(c, 0)):
+        total += counts.get(c, 0)
+        if total <= BROADCAST_LEVELS:
+            few.append(c)
     coded = df
-    for c in cols:
-        own = levels.where(F.col("__column") == c).select(
-            F.col("__level").alias("__l"), F.col("__code").alias(f"{c}_enc")
+    many = [c for c in cols if c not in few]
+    if many:
+        coded = materialise(coded.withColumn("__row", F.monotonically_increasing_id()), "rows-to-code")
+        named = [F.struct(F.lit(c).alias("__column"), F.col(c).cast("string").alias("__level")) for c in many]
+        long = coded.select("__row", F.inline(F.array(*named))).where(F.col("__level").isNotNull())
+        wide = long.join(levels, ["__column", "__level"]).groupBy("__row")
+        codes = [F.max(F.when(F.col("__column") == c, F.col("__code"))).alias(f"{c}_enc") for c in many]
+        coded = coded.join(wide.agg(*codes), "__row", "left").drop("__row")
+    dictionary = levels.where(F.col("__column").isin(few))
+    for c in few:
+        own = dictionary.select(
+            F.col("__column").alias("__c"), F.col("__level").alias("__l"), F.col("__code").alias(f"{c}_enc")
         )
-        own = F.broadcast(own) if few else own
-        coded = coded.join(own, F.col(c).cast("string") == F.col("__l"), "left").drop("__l")
-    return coded
+        same = (F.lit(c) == F.col("__c")) & (F.col(c).cast("string") == F.col("__l"))
+        coded = coded.join(F.broadcast(own), same, "left").drop("__c", "__l")
+    return coded.select(*df.columns, *[f"{c}_enc" for c in cols])
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:

@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -16,6 +13,7 @@ from pyspark.sql import functions as F
 
 from contactscope.functions.numeric import clip, log_amount
 from contactscope.operators.features import CLUSTER_CATEGORICAL, assemble, cluster_features
+from contactscope.operators.kmeans import Fit, assign, fit_all
 from contactscope.operators.rates import winsor_mean
 from contactscope.operators.sampling import sample_n, sample_per_group, spread_sample
 from contactscope.sources.tables import materialise
@@ -55,41 +53,16 @@ def segment_table(orders: DataFrame, rows: int | None = None, seed: int = SEED)
     return materialise(assemble(scaled, cols).select(*KEPT, "features"), "segments")
 
 
-def kmeans_all(
-    df: DataFrame, ks: Sequence[int], restarts: int, seed: int = SEED, parallelism: int = 4
-) -> dict[int, KMeansModel]:
-    """For every k the best of several runs by total squared distance.
+def kmeans_all(df: DataFrame, ks: Sequence[int], restarts: int, seed: int = SEED) -> dict[int, Fit]:
+    """For every k the best of several runs by total squared distance; all runs share their scans."""
+    return fit_all(df, ks, restarts, seed)
 
-    The runs are independent jobs over the same cached rows; a few are kept going at
-    a time, as model selection in pyspark.ml does.
-    """
-    rows = df.select("features").persist()
-
-    def run(task: tuple[int, int]) -> tuple[int, int, KMeansModel]:
-        k, i = task
-        return k, i, KMeans(k=k, seed=seed + i, maxIter=300, featuresCol="features").fit(rows)
-
-    tasks = [(k, i) for k in ks for i in range(restarts)]
-    try:
-        with ThreadPool(min(parallelism, len(tasks))) as pool:
-            models = pool.map(inheritable_thread_target(df.sparkSession)(run), tasks)
-    finally:
-        rows.unpersist()
-    return {
-        k: min((m.summary.trainingCost, i, m) for of, i, m in models if of == k)[2] for k in ks
-    }
 
-
-def kmeans(df: DataFrame, k: int, restarts: int, seed: int = SEED) -> KMeansModel:
+def kmeans(df: DataFrame, k: int, restarts: int, seed: int = SEED) -> Fit:
     """The best of several runs by total squared distance; ties go to the earlier run."""
     return kmeans_all(df, [k], restarts, seed)[k]
 
 
-def assign(model: KMeansModel, df: DataFrame, name: str = "cluster") -> DataFrame:
-    """Add the cluster of each row."""
-    return model.transform(df).withColumnRenamed("prediction", name)
-
-
 def squared_silhouette(df: DataFrame, cluster: str = "cluster") -> float:
     """Silhouette with squared distances over all rows, in one pass per cluster centre."""
     return ClusteringEvaluator(

@@ -747,8 +747,8 @@ ORACLES: dict[str, str] = {
         + CAST(partner IS NULL AS INTEGER), 6) AS total FROM linked"""
     ),
     "kmeans_check": _sql(
-        """SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS nearer_elsewhere, count(*) AS profile_rows
-        FROM bookings"""
+        """SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS nearer_elsewhere, CAST(1 AS INTEGER) AS cost_agrees,
+        count(*) AS profile_rows FROM bookings"""
     ),
     "logistic_check": _sql(
         """SELECT contacted AS label, CAST(round(count(*) * 0.2::DOUBLE) AS BIGINT) AS n,

@@ -712,9 +712,10 @@ def assemble(spark, folder):
 
 @query
 def kmeans_check(spark, folder):
-    """Rows assigned, rows that lie nearer to the centre of another cluster, and the profile's rows."""
+    """Rows assigned, rows that lie nearer to the centre of another cluster, the profile's rows, and whether the
+    fit's squared distance and centres are those of the assigned rows."""
     table = segments.segment_table(L(spark, folder))
-    model = segments.kmeans(table, segments.FINAL_K, 2)
+    model = segments.kmeans(table, segments.FINAL_K, segments.FINAL_RESTARTS)
     clustered = segments.assign(model, table)
     x = vector_to_array("features")
     far = [
@@ -729,6 +730,7 @@ def kmeans_check(spark, folder):
     return clustered.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.least(*far) < own - 1e-9).alias("nearer_elsewhere"),
+        (F.abs(F.sum(own) / F.lit(model.trainingCost) - 1) < 1e-9).cast("int").alias("cost_agrees"),
     ).withColumn("profile_rows", profile)
 
 
@@ -763,7 +765,7 @@ def logistic_check(spark, folder):
 def forest_check(spark, folder):
     """Held-out rows, scores in [0, 1], the ten largest importances, and the sum of all."""
     table = models.training_table(L(spark, folder))
-    model = models.fit_forest(table.where("is_test = 0"), trees=20)
+    model = models.fit_forest(table.where("is_test = 0"))
     scored = models.score(model, table.where("is_test = 1"))
     top = models.top_importances(model, table).agg(F.count(F.lit(1))).scalar()
     total = models.importances(model, table).agg(F.round(F.sum("importance"), 6)).scalar()
