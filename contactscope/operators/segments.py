@@ -16,6 +16,7 @@ from contactscope.operators.features import CLUSTER_CATEGORICAL, assemble, clust
 from contactscope.operators.kmeans import Fit, assign, fit_all
 from contactscope.operators.rates import winsor_mean
 from contactscope.operators.sampling import sample_n, sample_per_group, spread_sample
+from contactscope.operators.silhouette import euclidean_silhouette
 from contactscope.sources.tables import materialise
 
 # Numbers of clusters and restarts, plot sample, profile columns.
@@ -150,18 +151,27 @@ def pairwise_silhouette(
 
 
 def silhouette_scan(
-    df: DataFrame, ks: Sequence[int] = SCAN_KS, restarts: int = SCAN_RESTARTS
+    df: DataFrame,
+    ks: Sequence[int] = SCAN_KS,
+    restarts: int = SCAN_RESTARTS,
+    metric: str = "squared euclidean",
+    tolerance: float = 1e-3,
 ) -> DataFrame:
     """(k, metric, silhouette, n, is_best) for each number of clusters; ties go to the smaller k.
 
-    The measure is taken over all rows with squared Euclidean distances, for which one pass per
-    labelling is enough.
+    The measure is taken over all rows. With squared distances one pass per labelling is enough; with
+    ``euclidean`` ones it is bounded by cells and known to ``tolerance``.
     """
-    n = df.count()
-    scores = [
-        (k, "squared euclidean", squared_silhouette(assign(model, df)), n)
-        for k, model in kmeans_all(df, ks, restarts).items()
-    ]
+    if metric not in ("squared euclidean", "euclidean"):
+        raise ValueError(f"unknown metric: {metric}")
+    n, scores = df.count(), []
+    for k, model in kmeans_all(df, ks, restarts).items():
+        clustered = assign(model, df)
+        if metric == "euclidean":
+            value = euclidean_silhouette(clustered, tolerance=tolerance).first().silhouette
+        else:
+            value = squared_silhouette(clustered)
+        scores.append((k, metric, value, n))
     rows = df.sparkSession.createDataFrame(scores, "k int, metric string, silhouette double, n long")
     best = F.row_number().over(Window.orderBy(F.desc("silhouette"), "k"))  # one row per k
     return rows.withColumn("is_best", (best == 1).cast("int"))

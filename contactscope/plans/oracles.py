@@ -750,6 +750,21 @@ ORACLES: dict[str, str] = {
         """SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS nearer_elsewhere, CAST(1 AS INTEGER) AS cost_agrees,
         count(*) AS profile_rows FROM bookings"""
     ),
+    "silhouette": _sql(
+        """SELECT count(*) AS n, round(avg(CASE WHEN s.n = 1 THEN 0.0 ELSE (b - a) / greatest(a, b) END), 3) AS silhouette,
+        TRUE AS is_known
+        FROM (SELECT id, own, max(d) FILTER (own = k) / (max(z.n) FILTER (own = k) - 1) AS a,
+                min(d / z.n) FILTER (own <> k) AS b
+              FROM sums JOIN sizes z ON z.cluster = k GROUP BY 1, 2) t
+        JOIN sizes s ON s.cluster = own""",
+        """p AS (SELECT order_id AS id, is_canceled * 2 + is_changed AS cluster, n_contacts AS y,
+          ln(1 + greatest(coalesce(order_amount, 0), 0)) AS x FROM linked),
+        sizes AS (SELECT cluster, count(*) AS n FROM p GROUP BY 1),
+        cells AS (SELECT cluster, x, y, count(*) AS w FROM p GROUP BY 1, 2, 3),
+        sums AS (SELECT p.id, p.cluster AS own, c.cluster AS k,
+          sum(w * sqrt((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y))) AS d
+          FROM p, cells c GROUP BY 1, 2, 3)""",
+    ),
     "logistic_check": _sql(
         """SELECT contacted AS label, CAST(round(count(*) * 0.2::DOUBLE) AS BIGINT) AS n,
         CAST(round(count(*) * 0.2::DOUBLE) AS BIGINT) AS in_range, CAST(1 AS INTEGER) AS at_optimum

@@ -32,6 +32,7 @@ from contactscope.operators import (
     segments,
     stats,
 )
+from contactscope.operators.silhouette import euclidean_silhouette
 from contactscope.sources import schemas, star
 from contactscope.sources.tables import malformed_rows, read_table, shared_folder, write_result
 
@@ -819,6 +820,12 @@ def kmeans_scan(spark, folder):
     return segments.silhouette_scan(segments.segment_table(L(spark, folder)))
 
 
+@query
+def kmeans_scan_euclidean(spark, folder):
+    """The scan by plain distances, as the report prints it, over all orders."""
+    return segments.silhouette_scan(segments.segment_table(L(spark, folder)), metric="euclidean")
+
+
 @query
 def kmeans_profile(spark, folder):
     table = segments.segment_table(L(spark, folder))
@@ -832,6 +839,17 @@ def _ruled(spark, folder) -> DataFrame:
     return L(spark, folder).withColumn("cluster", rule)
 
 
+@query
+def silhouette(spark, folder):
+    """Silhouette of the ruled clusters in the plane of log amount and contacts, with plain distances, over all orders."""
+    table = _ruled(spark, folder).withColumn("order_amt_log", log_amount(F.col("order_amount")))
+    table = features.assemble(table, ["order_amt_log", "n_contacts"])
+    found = euclidean_silhouette(table, tolerance=1e-4)
+    return found.select(
+        "n", F.round("silhouette", 3).alias("silhouette"), (F.col("high") - F.col("low") <= 2e-4).alias("is_known")
+    )
+
+
 def _rounded_profile(df: DataFrame) -> DataFrame:
     rounded = {c: F.round(c, 9) for c in [*segments.PROFILE_RATES, "avg_contacts"]}
     return df.withColumns({**rounded, "avg_order_amt": F.round("avg_order_amt", 4)})
