@@ -8,7 +8,9 @@ before a block, and the last end before it, give the start of its first document
 
 Defined results: null and empty texts are documents of 0 tokens; the end id's own string in a text is
 ordinary text, so it never splits a document; tokens after a file's last end are one document that is
-not ``complete``; an odd last byte is not a token; empty files and folders have no documents.
+not ``complete``; an odd last byte is not a token; empty files and folders have no documents. Repeated
+rows are documents of their own, and other columns than ``text`` are not read. Texts are encoded in
+bounded runs, a very long one alone; a file holds ``FILE_DOCS`` documents and is read as one row.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from contactscope.llm.common import only, text_runs
 from contactscope.llm.tokens import END_OF_TEXT, VOCABULARY, batch_encoder
 from contactscope.sources.tables import shared_folder
 
@@ -31,7 +34,7 @@ def _bodies(vocabulary: str, end_id: int):
 
         encode = batch_encoder(vocabulary, special=False)
         head = bytes([end_id >> 8])
-        for batch in batches:
+        for batch in text_runs(batches):
             ids, offsets = encode(batch.column("text"))
             raw = ids.astype(">u2").tobytes()
             cut = (2 * offsets).tolist()
@@ -56,7 +59,7 @@ def write_flat(
     if not 0 <= end_id < 1 << 16 or not 0 < end_id & 0xFF < 0x80:
         raise ValueError(f"the low byte of the end id must be ASCII: {end_id}")
     path = path or f"{shared_folder(docs.sparkSession).rstrip('/')}/tokens-{uuid.uuid4().hex}"
-    bodies = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(
+    bodies = only(docs, "text").select(F.col("text").cast("string").alias("text")).mapInArrow(
         _bodies(vocabulary, end_id), "body binary"
     )
     lines = bodies.select(F.col("body").cast("string").alias("value"))
