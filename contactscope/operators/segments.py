@@ -155,7 +155,7 @@ def silhouette_scan(
     ks: Sequence[int] = SCAN_KS,
     restarts: int = SCAN_RESTARTS,
     metric: str = "squared euclidean",
-    tolerance: float = 1e-3,
+    tolerance: float = 5e-3,
 ) -> DataFrame:
     """(k, metric, silhouette, n, is_best) for each number of clusters; ties go to the smaller k.
 
