@@ -40,6 +40,8 @@ from contactscope.llm.common import (
     word_hasher,
 )
 
+#: Up to so many rows of ids (of some 100 bytes) are sent to every task.
+BROADCAST_ROWS = 250_000
 BLOCK_ROWS = 1024  # rows of one tile's side, and about the rows of small blocks in one task
 SLICE_COLUMNS = 4096
 SAMPLE_DOCS = 8_000  # about; documents in which frequent columns are looked for
@@ -359,6 +361,11 @@ def _tile_tasks(chosen: DataFrame, num: int, den: int, block_rows: int) -> DataF
     ).toDF("cls", "family", "large", "own", "one", "two")
 
 
+def _by_size(rows: int) -> str:
+    """How a list of so many rows meets the texts: sent to all tasks while it is short, so that texts stay in place."""
+    return "broadcast" if rows <= BROADCAST_ROWS else "merge"
+
+
 def jaccard_classes(
     docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
@@ -394,10 +401,12 @@ def jaccard_classes(
     )
     members = stored(members, "ngram-classes")
     chosen = members.where("family is not null").select("cls", "class_id", "n_shingles", "family")
-    texts = docs.hint("merge").join(chosen, F.col("doc_id") == F.col("class_id")).select("cls", "text")
+    n_chosen = chosen.count()
+    wanted = chosen.select("cls", "class_id").hint(_by_size(n_chosen))
+    texts = docs.join(wanted, F.col("doc_id") == F.col("class_id")).select("cls", "text")
     sets = stored(texts.mapInArrow(_rows(n), "cls string, row binary"), "ngram-sets")
     placed = _tile_tasks(chosen, num, den, block_rows).join(sets, "cls")
-    tasks = max(1, chosen.count() // block_rows)
+    tasks = max(1, n_chosen // block_rows)
     small = F.pmod(F.xxhash64("family"), F.lit(tasks)).cast("string")
     task = F.when(F.col("large"), F.concat_ws(":", "family", "one", "two")).otherwise(small)
     links = (
@@ -429,5 +438,5 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     Rows that share an id go together, when one of them goes; rows without an id stay.
     """
     found = jaccard_classes(docs, **how)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(stored(gone, "ngram-gone"), "doc_id", "left_anti").select(docs.columns)
+    gone = stored(found.where("component_id <> doc_id").select("doc_id").distinct(), "ngram-gone")
+    return docs.join(gone.hint(_by_size(gone.count())), "doc_id", "left_anti").select(docs.columns)

@@ -2,6 +2,7 @@ import re
 
 import pytest
 
+from contactscope.llm import ngram_join
 from contactscope.llm.ngram_join import jaccard_classes, keep_one, offers, tile_links
 from contactscope.llm.queries import QUERIES
 
@@ -64,7 +65,9 @@ def test_edits_chains_and_odd_rows(spark, n, num, den, block_rows):
     assert found == brute(rows, n, num, den)
 
 
-def test_one_large_group_of_near_copies(spark):
+@pytest.mark.parametrize("rows", [250_000, 0])
+def test_one_large_group_of_near_copies(spark, monkeypatch, rows):
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", rows)  # either way of meeting the texts
     base = [f"w{k}" for k in range(200)]
     rows = [(k, " ".join([*base[: k % 190], f"new{k}", *base[k % 190 + 1 :]])) for k in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
