@@ -925,3 +925,4 @@ ORACLES: dict[str, str] = {
         RULED,
     ),
 }
+ORACLES |= {"layout_counts": ORACLES["contact_counts"], "layout_links": ORACLES["link_contacts"]}

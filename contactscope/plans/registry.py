@@ -34,6 +34,7 @@ from contactscope.operators import (
 )
 from contactscope.operators.silhouette import euclidean_silhouette
 from contactscope.sources import schemas, star
+from contactscope.sources.layout import stored_by_order
 from contactscope.sources.tables import malformed_rows, read_table, shared_folder, write_result
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -257,6 +258,29 @@ def link_contacts(spark, folder):
     return linked.select("errand_id", "order_id", "order_created_at", "hours_to_contact")
 
 
+def _layout(spark, folder):
+    """Orders and contacts of the folder stored by order, the contacts of each year as a batch."""
+    contacts = C(spark, folder)
+    year = F.coalesce(F.year("created"), F.lit(0))
+    batches = [(str(r.y), contacts.where(year == r.y)) for r in contacts.select(year.alias("y")).distinct().collect()]
+    name = f"layout_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/contactscope/{name}"
+    return stored_by_order(spark, name, path, K(spark, folder), batches, 16)
+
+
+@query
+def layout_counts(spark, folder):
+    """Contact counts over tables stored by order."""
+    return _layout(spark, folder).contact_counts().select("order_id", "n_contacts", "contacted")
+
+
+@query
+def layout_links(spark, folder):
+    """Linked contacts over tables stored by order."""
+    linked = _layout(spark, folder).link_contacts()
+    return linked.select("errand_id", "order_id", "order_created_at", "hours_to_contact")
+
+
 @query
 def uncontacted_orders(spark, folder):
     return link.uncontacted(K(spark, folder), C(spark, folder)).select("order_id", "device")
