@@ -13,13 +13,16 @@ from contactscope.functions.numeric import share
 from contactscope.operators.ranking import running_totals
 
 
-def thresholds(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """Per distinct score: hits and misses at it, and above it."""
+def thresholds(
+    scored: DataFrame, label: str = "label", score: str = "score", following: bool = False
+) -> DataFrame:
+    """Per distinct score: hits and misses at it, and above it; with ``following`` those at the next lower one too."""
     return running_totals(
         scored.select(score, label),
         score,
         {"pos": F.count_if(F.col(label) == 1), "neg": F.count_if(F.col(label) == 0)},
         descending=True,
+        following=following,
     )
 
 
@@ -68,11 +71,23 @@ def average_precision(scored: DataFrame, label: str = "label", score: str = "sco
     return ranking_metrics(scored, label, score).select("average_precision")
 
 
-def roc_curve(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """False and true positive rate at every threshold; the first point has none (0, 0)."""
+def roc_curve(
+    scored: DataFrame, label: str = "label", score: str = "score", drop_straight: bool = False
+) -> DataFrame:
+    """False and true positive rate at every threshold; the first point has none (0, 0).
+
+    With ``drop_straight`` a point goes if the step to it equals the step from it, which changes neither
+    the curve nor its area; the first and the last threshold stay. The curve then has as many points as
+    it has turns, not as the table has scores.
+    """
     sizes = _sizes(scored, label, score)
+    steps = thresholds(scored, label, score, following=drop_straight)
+    if drop_straight:
+        same = (F.col("pos") == F.col("pos_next")) & (F.col("neg") == F.col("neg_next"))
+        first = F.col("pos_before") + F.col("neg_before") == 0
+        steps = steps.where(first | F.col("pos_next").isNull() | ~same)
     points = (
-        thresholds(scored, label, score)
+        steps
         .withColumn("s", sizes)
         .select(
             F.col(score).alias("threshold"),

@@ -30,13 +30,14 @@ def value_bucket(value: Column) -> Column:
 
 
 def running_totals(
-    df: DataFrame, value: str, measures: Mapping[str, Column], descending: bool = False
+    df: DataFrame, value: str, measures: Mapping[str, Column], descending: bool = False, following: bool = False
 ) -> DataFrame:
     """One row per distinct value with each measure and its exclusive running total.
 
     ``measures`` maps names to aggregates that can be summed. For measure ``m``
     the result has ``m`` (of that value) and ``m_before`` (of all values that come
-    earlier in the order). Rows whose value is NULL are left out.
+    earlier in the order), and with ``following`` also ``m_next`` (of the next value in the order, NULL
+    at the last one). Rows whose value is NULL are left out.
     """
     names = list(measures)
     direction = F.desc if descending else F.asc
@@ -46,16 +47,18 @@ def running_totals(
         .agg(*[agg.alias(name) for name, agg in measures.items()])
         .withColumn(BUCKET, value_bucket(F.col(value)))
     )
-    buckets = per_value.groupBy(BUCKET).agg(*[F.sum(n).alias(n) for n in names])
-    earlier = Window.orderBy(direction(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
+    at_head = F.max_by if descending else F.min_by
+    heads = [at_head(n, value).alias(f"__head_{n}") for n in names] if following else []
+    buckets = per_value.groupBy(BUCKET).agg(*[F.sum(n).alias(n) for n in names], *heads)
+    in_order = Window.orderBy(direction(BUCKET))
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select(
-        BUCKET, *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"__{n}") for n in names]
-    )
-    inside = (
-        Window.partitionBy(BUCKET)
-        .orderBy(direction(value))
-        .rowsBetween(Window.unboundedPreceding, -1)
+        BUCKET,
+        *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"__{n}") for n in names],
+        *[F.lead(f"__head_{n}").over(in_order).alias(f"__next_{n}") for n in names if following],
     )
+    values = Window.partitionBy(BUCKET).orderBy(direction(value))
+    inside = values.rowsBetween(Window.unboundedPreceding, -1)
     # Join and window both need the values by bucket, so the join adds no shuffle.
     return per_value.join(offsets, BUCKET).select(
         value,
@@ -64,6 +67,8 @@ def running_totals(
             (F.col(f"__{n}") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(f"{n}_before")
             for n in names
         ],
+        # The last value of a bucket is followed by the first one of the next bucket.
+        *[F.coalesce(F.lead(n).over(values), f"__next_{n}").alias(f"{n}_next") for n in names if following],
     )
 
 

@@ -884,6 +884,14 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT NULL, 0.0::DOUBLE, 0.0::DOUBLE""",
         SCORED,
     ),
+    "roc_corners": _sql(
+        """SELECT threshold, fp::DOUBLE / n AS fpr, tp::DOUBLE / p AS tpr
+        FROM (SELECT *, lag(tp) OVER w AS tp0, lag(fp) OVER w AS fp0, lead(tp) OVER w AS tp2, lead(fp) OVER w AS fp2
+              FROM points WINDOW w AS (ORDER BY threshold DESC)), sizes
+        WHERE tp0 IS NULL OR tp2 IS NULL OR tp2 - tp <> tp - tp0 OR fp2 - fp <> fp - fp0
+        UNION ALL SELECT NULL, 0.0::DOUBLE, 0.0::DOUBLE""",
+        SCORED,
+    ),
     "pr_curve": _sql(
         """SELECT threshold, tp::DOUBLE / (tp + fp) AS precision, tp::DOUBLE / p AS recall,
           p::DOUBLE / (p + n) AS base_rate FROM points, sizes

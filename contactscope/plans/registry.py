@@ -259,12 +259,12 @@ def link_contacts(spark, folder):
 
 
 def _layout(spark, folder):
-    """Orders and contacts of the folder stored by order, the contacts of each year as a batch."""
+    """Orders and contacts of the folder stored by order, the contacts in two batches by time."""
     contacts = C(spark, folder)
-    year = F.coalesce(F.year("created"), F.lit(0))
-    batches = [(str(r.y), contacts.where(year == r.y)) for r in contacts.select(year.alias("y")).distinct().collect()]
+    early = F.coalesce(F.year("created") < 1995, F.lit(False))
     name = f"layout_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark).rstrip('/')}/contactscope/{name}"
+    batches = [("early", contacts.where(early)), ("late", contacts.where(~early))]
     return stored_by_order(spark, name, path, K(spark, folder), batches, 16)
 
 
@@ -715,6 +715,12 @@ def roc_curve(spark, folder):
     return metrics.roc_curve(_scored(spark, folder))
 
 
+@query
+def roc_corners(spark, folder):
+    """The ROC curve without the points on its straight stretches."""
+    return metrics.roc_curve(_scored(spark, folder), drop_straight=True)
+
+
 @query
 def pr_curve(spark, folder):
     return metrics.pr_curve(_scored(spark, folder))
