@@ -341,6 +341,21 @@ ORACLES: dict[str, str] = {
         FROM contacts c LEFT JOIN bookings b ON c.order_id = b.order_id
         LEFT JOIN bookings q ON TRY_CAST(c.order_number AS BIGINT) = q.order_id"""
     ),
+    "audit_by_period": _sql(
+        """SELECT m.metric, CAST(m.n AS BIGINT) AS n, m.n::DOUBLE / s.n_rows * 100 AS pct FROM s, LATERAL (VALUES
+          ('n_rows', s.n_rows), ('nulls_order_number', s.a), ('nulls_errand_category', s.b),
+          ('nulls_errand_channel', s.c), ('rule_test', s.d), ('rule_undecodable', s.e),
+          ('repeated_keys', s.f)) AS m(metric, n)""",
+        """s AS (SELECT count(*) AS n_rows, count(*) FILTER (order_number IS NULL) AS a,
+          count(*) FILTER (errand_category IS NULL) AS b, count(*) FILTER (errand_channel IS NULL) AS c,
+          count(*) FILTER (is_test_errand = 1) AS d, count(*) FILTER (order_number LIKE '#%') AS e,
+          count(*) - count(DISTINCT errand_id) AS f FROM raw)""",
+    ),
+    "sketch_ranks": _sql(
+        """SELECT customer_group_type, prob, n, TRUE AS rank_is_near
+        FROM (SELECT customer_group_type, count(order_amount) AS n FROM bookings GROUP BY 1),
+          (SELECT unnest([0.05::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE, 0.9::DOUBLE, 0.99::DOUBLE]) AS prob)"""
+    ),
     "test_flag_audit": _sql(
         """SELECT count(*) AS contacts, count(*) FILTER (is_test_errand = 1) AS test_contacts,
         count(*) FILTER (is_test_errand = 0) AS real_contacts,

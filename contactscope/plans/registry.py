@@ -17,6 +17,7 @@ from contactscope.functions.keys import decode_base36, encode_base36, row_hash
 from contactscope.functions.numeric import clip, log_amount, relabel, round_even
 from contactscope.functions.timeparts import parse_ts, plus_days
 from contactscope.operators import (
+    audit_state,
     clean,
     curves,
     features,
@@ -30,12 +31,13 @@ from contactscope.operators import (
     repeat,
     sampling,
     segments,
+    sketches,
     stats,
 )
 from contactscope.operators.silhouette import euclidean_silhouette
 from contactscope.sources import schemas, star
 from contactscope.sources.layout import stored_by_order
-from contactscope.sources.tables import malformed_rows, read_table, shared_folder, write_result
+from contactscope.sources.tables import malformed_rows, read_table, replace_periods, shared_folder, write_result
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -715,6 +717,39 @@ def roc_curve(spark, folder):
     return metrics.roc_curve(_scored(spark, folder))
 
 
+@query
+def sketch_ranks(spark, folder):
+    """Amount quantiles by customer group from sketches by group and month, written and merged, and whether their exact
+    ranks are as near as the sketch promises."""
+    bookings = B(spark, folder)
+    path = f"{shared_folder(spark).rstrip('/')}/contactscope/sketches-{uuid.uuid4().hex}"
+    monthly = sketches.sketch_by_period(bookings, ["customer_group_type"], "order_created_at", "order_amount", "month")
+    replace_periods(monthly, path, "period")
+    by_group = sketches.merged(spark.read.parquet(path), ["customer_group_type"])
+    found = sketches.quantiles(by_group, ["customer_group_type"], [0.05, 0.25, 0.5, 0.9, 0.99])
+    ranks = sketches.exact_ranks(found, bookings, ["customer_group_type"], "order_amount")
+    error = 2 * sketches.rank_error()
+    near = (F.col("share_below") <= F.col("prob") + error) & (F.col("share_upto") >= F.col("prob") - error)
+    return ranks.select("customer_group_type", "prob", "n", near.alias("rank_is_near"))
+
+
+@query
+def audit_by_period(spark, folder):
+    """The audit of all contacts from states kept by month; the latest months are written again, as a rerun would."""
+    raw = star.contacts(spark, folder).withColumn("order_id", decode_base36(F.col("order_number")))
+    rules = {
+        "test": F.col("is_test_errand") == 1,
+        "undecodable": F.col("order_number").isNotNull() & F.col("order_id").isNull(),
+    }
+    columns = ["order_number", "errand_category", "errand_channel"]
+    path = f"{shared_folder(spark).rstrip('/')}/contactscope/audit-{uuid.uuid4().hex}"
+    latest = F.year("created") >= 1998
+    for part in (raw, raw.where(latest)):
+        replace_periods(audit_state.period_state(part, "created", columns, rules, "month"), f"{path}/state", "period")
+        replace_periods(audit_state.key_state(part, "created", "errand_id", "month"), f"{path}/keys", "period")
+    return audit_state.audit(spark.read.parquet(f"{path}/state"), spark.read.parquet(f"{path}/keys"))
+
+
 @query
 def roc_corners(spark, folder):
     """The ROC curve without the points on its straight stretches."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -112,19 +113,112 @@ def read_table(
     return raw.select(columns)
 
 
-def write_result(df: DataFrame, name: str, path: str, fmt: str = "parquet") -> str:
-    """Write one named result below ``path`` and return where it went."""
-    target = f"{path.rstrip('/')}/{name}"
-    writer = df.write.mode("overwrite")
+def _write(df: DataFrame, target: str, fmt: str) -> None:
+    writer = df.write
     if fmt == "csv":
         writer.option("header", True).option("quote", '"').option("escape", '"').csv(target)
     elif fmt == "parquet":
         writer.parquet(target)
     else:
         raise ValueError(f"unknown format: {fmt}")
+
+
+def _files(spark: SparkSession, folder: str):
+    """Hadoop's path type and the file system of a folder."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make, make(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def write_result(df: DataFrame, name: str, path: str, fmt: str = "parquet") -> str:
+    """Write one named result below ``path`` and return where it went.
+
+    The result is written beside its place and moved there once it is whole, so a write that fails
+    leaves the result of before as it was. See ``publish`` for readers that must never find none.
+    """
+    folder = path.rstrip("/")
+    target, run = f"{folder}/{name}", uuid.uuid4().hex
+    staged, old = f"{folder}/_staged-{run}", f"{folder}/_old-{run}"
+    make, system = _files(df.sparkSession, folder)
+    try:
+        _write(df, f"{staged}/{name}", fmt)
+        if system.exists(make(target)):
+            system.mkdirs(make(old))
+            if not system.rename(make(target), make(f"{old}/{name}")):
+                raise OSError(f"could not move {target}")
+        if not system.rename(make(f"{staged}/{name}"), make(target)):
+            if system.exists(make(f"{old}/{name}")):
+                system.rename(make(f"{old}/{name}"), make(target))
+            raise OSError(f"could not move a result to {target}")
+    finally:
+        for leftover in (staged, old):
+            system.delete(make(leftover), True)
     return target
 
 
+def publish(df: DataFrame, name: str, path: str, fmt: str = "parquet", keep: int = 2) -> str:
+    """Write a new version of a result and make it the current one in one step; gives the version's folder.
+
+    Versions lie in folders of their own. A small manifest, replaced by a single rename, says which one counts,
+    so a reader finds the version of before or the new one, whole either way. The latest ``keep`` versions stay
+    for readers that are under way; older ones, and what failed writes left, are removed.
+    """
+    spark, folder = df.sparkSession, f"{path.rstrip('/')}/{name}"
+    make, system = _files(spark, folder)
+    before = manifest(spark, name, path)
+    number = (before["versions"][-1]["number"] if before else 0) + 1
+    version = f"v{number:08d}-{uuid.uuid4().hex}"
+    _write(df, f"{folder}/{version}", fmt)
+    entry = {"number": number, "folder": version, "format": fmt, "columns": df.dtypes}
+    versions = [*(before["versions"] if before else []), entry][-max(1, keep) :]
+    part = make(f"{folder}/_manifest-{uuid.uuid4().hex}")
+    out = system.create(part, True)
+    out.write(bytearray(json.dumps({"versions": versions}).encode()))
+    out.close()
+    jvm = spark._jvm.org.apache.hadoop.fs
+    files = jvm.FileContext.getFileContext(system.getUri(), spark._jsparkSession.sessionState().newHadoopConf())
+    overwrite = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+    overwrite[0] = jvm.Options.Rename.OVERWRITE
+    files.rename(part, make(f"{folder}/_manifest"), overwrite)
+    kept = {v["folder"] for v in versions}
+    for status in system.listStatus(make(folder)):
+        if status.getPath().getName().startswith("v") and status.getPath().getName() not in kept:
+            system.delete(status.getPath(), True)
+    return f"{folder}/{version}"
+
+
+def manifest(spark: SparkSession, name: str, path: str) -> dict | None:
+    """The versions of a published result, the current one last; None where there is none."""
+    folder = f"{path.rstrip('/')}/{name}"
+    make, system = _files(spark, folder)
+    if not system.exists(make(f"{folder}/_manifest")):
+        return None
+    source = system.open(make(f"{folder}/_manifest"))
+    try:
+        return json.loads(bytes(source.readAllBytes()))
+    finally:
+        source.close()
+
+
+def read_published(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """The current version of a published result."""
+    found = manifest(spark, name, path)
+    if not found:
+        raise ValueError(f"nothing published as {name} in {path}")
+    current = found["versions"][-1]
+    target = f"{path.rstrip('/')}/{name}/{current['folder']}"
+    if current["format"] == "csv":
+        schema = ", ".join(f"`{c}` {t}" for c, t in current["columns"])
+        return _csv(spark, True).option("header", True).schema(schema).csv(target)
+    return spark.read.parquet(target)
+
+
+def replace_periods(df: DataFrame, path: str, column: str) -> None:
+    """Write rows by period: periods that ``df`` has are replaced, all others stay."""
+    together = df.hint("rebalance", F.col(column))  # a period is one file, or several if it is large
+    writer = together.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(column).parquet(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it.
 
