@@ -16,8 +16,8 @@ def parse_ts(col: Column, strict: bool = False) -> Column:
 
 
 def period(col: Column, unit: str) -> Column:
-    """First day of the week (Monday), month, quarter or year."""
-    return F.trunc(F.to_date(col), unit)
+    """The day, or the first day of the week (Monday), month, quarter or year."""
+    return F.to_date(col) if unit == "day" else F.trunc(F.to_date(col), unit)
 
 
 def hours_between(start: Column, end: Column) -> Column:

@@ -356,6 +356,21 @@ ORACLES: dict[str, str] = {
         FROM (SELECT customer_group_type, count(order_amount) AS n FROM bookings GROUP BY 1),
           (SELECT unnest([0.05::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE, 0.9::DOUBLE, 0.99::DOUBLE]) AS prob)"""
     ),
+    "test_burst": _sql(
+        """SELECT first_period, last_period, CAST(n AS BIGINT) AS n, CAST(c AS BIGINT) AS flagged,
+        round((CASE WHEN c > 0 THEN c * ln(c / n) ELSE 0 END + CASE WHEN c < n THEN (n - c) * ln((n - c) / n) ELSE 0 END)
+          + (CASE WHEN oc > 0 THEN oc * ln(oc / o) ELSE 0 END + CASE WHEN oc < o THEN (o - oc) * ln((o - oc) / o) ELSE 0 END)
+          - (CASE WHEN ac > 0 THEN ac * ln(ac / a) ELSE 0 END + CASE WHEN ac < a THEN (a - ac) * ln((a - ac) / a) ELSE 0 END), 6) AS ratio, TRUE AS p_is_share
+        FROM w WHERE o > 0 AND c * o > oc * n
+        ORDER BY round((CASE WHEN c > 0 THEN c * ln(c / n) ELSE 0 END + CASE WHEN c < n THEN (n - c) * ln((n - c) / n) ELSE 0 END) + (CASE WHEN oc > 0 THEN oc * ln(oc / o) ELSE 0 END + CASE WHEN oc < o THEN (o - oc) * ln((o - oc) / o) ELSE 0 END), 9) DESC, first_period, last_period LIMIT 1""",
+        """e AS (SELECT CAST(date_trunc('week', created) AS DATE) AS period, count(*) AS n,
+          count(*) FILTER (is_test_errand = 1) AS c FROM raw WHERE created IS NOT NULL GROUP BY 1),
+        s AS (SELECT period, n, c, sum(n) OVER (ORDER BY period) AS nt, sum(c) OVER (ORDER BY period) AS ct FROM e),
+        t AS (SELECT sum(n)::DOUBLE AS a, sum(c)::DOUBLE AS ac FROM e),
+        w AS (SELECT x.period AS first_period, y.period AS last_period, (y.nt - x.nt + x.n)::DOUBLE AS n,
+          (y.ct - x.ct + x.c)::DOUBLE AS c, a, ac, a - (y.nt - x.nt + x.n) AS o, ac - (y.ct - x.ct + x.c) AS oc
+          FROM s x JOIN s y ON x.period <= y.period, t)""",
+    ),
     "test_flag_audit": _sql(
         """SELECT count(*) AS contacts, count(*) FILTER (is_test_errand = 1) AS test_contacts,
         count(*) FILTER (is_test_errand = 0) AS real_contacts,

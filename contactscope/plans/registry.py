@@ -18,6 +18,7 @@ from contactscope.functions.numeric import clip, log_amount, relabel, round_even
 from contactscope.functions.timeparts import parse_ts, plus_days
 from contactscope.operators import (
     audit_state,
+    bursts,
     clean,
     curves,
     features,
@@ -750,6 +751,15 @@ def audit_by_period(spark, folder):
     return audit_state.audit(spark.read.parquet(f"{path}/state"), spark.read.parquet(f"{path}/keys"))
 
 
+@query
+def test_burst(spark, folder):
+    """The weeks in which test records cluster most, over all windows of weeks, with a p-value between 0 and 1."""
+    found = bursts.burst(star.contacts(spark, folder), "is_test_errand", "created", "week", draws=199)
+    p = F.col("p_value")
+    return found.select("first_period", "last_period", "n", "flagged", F.round("ratio", 6).alias("ratio"),
+                        ((p > 0) & (p <= 1)).alias("p_is_share"))
+
+
 @query
 def roc_corners(spark, folder):
     """The ROC curve without the points on its straight stretches."""
