@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 MAX_ROWS = 20_000
 MAX_TERMS = 2_000
-LEAST_EVIDENCE = 24.0  # G statistic of a lexicon term
 LEAST_WEIGHT = 3.0  # log-odds of a lexicon term
 STEMS = (4, 5, 6)  # lengths of word beginnings that can be terms
 EXCEPTIONS = (
@@ -177,10 +176,13 @@ def fit(
         F.col("pos") * F.log(F.col("pos") / (n * share))
         + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (n * (1 - share)))).otherwise(0.0)
     )
-    counts = counts.where("pos >= 3").withColumns({"weight": weight, "proof": proof})
-    counts = counts.where((F.col("weight") >= LEAST_WEIGHT) & (F.col("proof") >= LEAST_EVIDENCE))
+    counts = stored(counts.where("pos >= 3").withColumns({"weight": weight, "proof": proof}), "toxicity-terms")
+    # The best of m terms that say nothing has a statistic of some 2 log m; a term must have more, and its weight
+    # is shrunk by the share of that in its own.
+    evidence = 2 * np.log(max(1, counts.count()))
+    counts = counts.where((F.col("weight") >= LEAST_WEIGHT) & (F.col("proof") >= F.lit(float(evidence))))
     found = counts.orderBy(F.desc("proof"), "term").limit(max_terms).collect()
-    terms = {r["term"]: r["weight"] for r in found}
+    terms = {r["term"]: r["weight"] * np.sqrt(1 - evidence / r["proof"]) for r in found if r["proof"] > evidence}
     lexicon = Lexicon(terms, tuple(p for p in exceptions))
 
     def measure(batches):
