@@ -404,8 +404,12 @@ def jaccard_classes(
     n_chosen = chosen.count()
     wanted = chosen.select("cls", "class_id").hint(_by_size(n_chosen))
     texts = docs.join(wanted, F.col("doc_id") == F.col("class_id")).select("cls", "text")
-    sets = stored(texts.mapInArrow(_rows(n), "cls string, row binary"), "ngram-sets")
-    placed = _tile_tasks(chosen, num, den, block_rows).join(sets, "cls")
+    sets = texts.mapInArrow(_rows(n), "cls string, row binary")
+    tiles = stored(_tile_tasks(chosen, num, den, block_rows), "ngram-tiles")
+    by_size = _by_size(tiles.count())
+    if by_size == "merge":  # the shuffle then reads a table, and a lost executor does not make the sets anew
+        sets = stored(sets, "ngram-sets")
+    placed = sets.join(tiles.hint(by_size), "cls")
     tasks = max(1, n_chosen // block_rows)
     small = F.pmod(F.xxhash64("family"), F.lit(tasks)).cast("string")
     task = F.when(F.col("large"), F.concat_ws(":", "family", "one", "two")).otherwise(small)
