@@ -895,12 +895,6 @@ def kmeans_scan(spark, folder):
     return segments.silhouette_scan(segments.segment_table(L(spark, folder)))
 
 
-@query
-def kmeans_scan_euclidean(spark, folder):
-    """The scan by plain distances, as the report prints it, over all orders."""
-    return segments.silhouette_scan(segments.segment_table(L(spark, folder)), metric="euclidean")
-
-
 @query
 def kmeans_profile(spark, folder):
     table = segments.segment_table(L(spark, folder))
