@@ -13,9 +13,11 @@ transpose holds the overlaps. Only blocks of it that can hold a link are compute
    (a: its size; frequent columns last), of which two such linking rows share one.
 3. Within a row block the product is accumulated over slices of columns. After each slice the
    pairs that cannot reach their least overlap any more, given the sizes that remain, are
-   discarded. Blocks of more than ``BLOCK_ROWS`` rows are cut into bands of sizes, of which only
-   neighbours can link, and bands into tiles; pairs of tiles are separate tasks.
-4. A tile returns a spanning forest of its links, never all pairs; links are closed into components.
+   discarded. Blocks of more than ``BLOCK_ROWS`` rows are tasks of their own. Those with more than
+   ``TILE_COLUMNS`` entries for each of them are cut into bands of sizes, of which only neighbours can link, and
+   bands into tiles of so many entries; pairs of tiles are separate tasks. A row travels once for
+   every tile it is compared with, so tiles are large; a task takes them in parts, ordered by size.
+4. A task returns a spanning forest of its links, never all pairs; links are closed into components.
 
 Defined results: null text counts as empty; an empty row links with nothing; repeated rows and
 repeated ids are rows of one class; the component of a row without an id is that of its class, and
@@ -42,7 +44,9 @@ from contactscope.llm.common import (
 
 #: Up to so many rows of ids (of some 100 bytes) are sent to every task.
 BROADCAST_ROWS = 250_000
-BLOCK_ROWS = 1024  # rows of one tile's side, and about the rows of small blocks in one task
+BLOCK_ROWS = 1024  # rows of one product's side, and about the rows of small blocks in one task
+TILE_COLUMNS = 1024  # entries of one tile's side (8 bytes each), times BLOCK_ROWS
+PART_COLUMNS = 256  # entries of one product's side, times BLOCK_ROWS; a longer row is taken alone
 SLICE_COLUMNS = 4096
 SAMPLE_DOCS = 8_000  # about; documents in which frequent columns are looked for
 FREQUENT_DOCS = 8  # a column in so many of them is frequent
@@ -291,7 +295,47 @@ def tile_links(left: list, right: list | None, num: int, den: int, slice_columns
     yield from forest(len(rows), zip(x.tolist(), (y if same else y + cut).tolist(), strict=True))
 
 
-def _links(num: int, den: int, slice_columns: int):
+def _parts(rows: list, block_rows: int) -> list:
+    """Runs of places of ``rows``, by size, with a bounded number of rows and entries each."""
+    import numpy as np
+
+    sizes = np.array([len(r) for r in rows], np.int64)
+    order = np.argsort(sizes, kind="stable")
+    ends = np.cumsum(sizes[order])
+    out, at = [], 0
+    while at < len(order):
+        start = int(ends[at - 1]) if at else 0
+        to = int(np.searchsorted(ends, start + block_rows * PART_COLUMNS, side="right"))
+        to = max(at + 1, min(to, at + block_rows))
+        out.append(order[at:to])
+        at = to
+    return out
+
+
+def block_links(left: list, right: list | None, num: int, den: int, slice_columns: int, block_rows: int):
+    """``tile_links`` in parts of bounded size; parts whose sizes are too far apart to link are not compared."""
+
+    def near(a: list, b: list) -> bool:
+        """Whether a row of ``a`` and one of ``b``, both by size, can link."""
+        return len(a[-1]) * den >= len(b[0]) * num and len(b[-1]) * den >= len(a[0]) * num
+
+    ours = [(at, [left[k] for k in at]) for at in _parts(left, block_rows)]
+    theirs = [] if right is None else [(at + len(left), [right[k] for k in at]) for at in _parts(right, block_rows)]
+
+    def found():
+        for i, (at, rows) in enumerate(ours):
+            if right is None:
+                for x, y in tile_links(rows, None, num, den, slice_columns):
+                    yield int(at[x]), int(at[y])
+            for at2, rows2 in ours[i + 1 :] if right is None else theirs:
+                if near(rows, rows2):
+                    for x, y in tile_links(rows, rows2, num, den, slice_columns):
+                        yield int(at[x]), int(at2[y - len(rows)])
+
+    return forest(len(left) + len(right or []), found())
+
+
+def _links(num: int, den: int, slice_columns: int, block_rows: int):
     def run(frame):
         import numpy as np
         import pandas as pd
@@ -304,11 +348,11 @@ def _links(num: int, den: int, slice_columns: int):
             first = (block["own"] == block["one"]).to_numpy()
             cut = int(first.sum())
             if cut == len(rows):
-                pairs = tile_links(rows, None, num, den, slice_columns)
+                pairs = block_links(rows, None, num, den, slice_columns, block_rows)
             elif cut:
                 order = np.argsort(~first, kind="stable")
                 cls, rows = cls[order], [rows[k] for k in order]
-                pairs = tile_links(rows[:cut], rows[cut:], num, den, slice_columns)
+                pairs = block_links(rows[:cut], rows[cut:], num, den, slice_columns, block_rows)
             else:
                 continue
             found += [(cls[x], cls[y]) for x, y in pairs]
@@ -336,12 +380,13 @@ def _rows(n: int):
 
 def _tile_tasks(chosen: DataFrame, num: int, den: int, block_rows: int) -> DataFrame:
     """cls, family, its own tile, and the pair of tiles (one, two) of each task it takes part in."""
-    size = F.count(F.lit(1)).alias("n")
-    many = chosen.join(chosen.groupBy("family").agg(size), "family")
+    most = block_rows * TILE_COLUMNS
+    size = [F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("entries")]
+    many = chosen.join(chosen.groupBy("family").agg(*size), "family")
     # Sizes of a linking pair differ by at most one band.
     band = F.floor(F.log(F.col("n_shingles")) / math.log(den / num)).cast("int")
-    many = many.withColumn("band", F.when(F.col("n") > block_rows, band).otherwise(0))
-    cells = many.groupBy("family", "band").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("tiles"))
+    many = many.withColumn("band", F.when(F.col("entries") > most, band).otherwise(0))
+    cells = many.groupBy("family", "band").agg(F.ceil(F.sum("n_shingles") / most).cast("int").alias("tiles"))
     own = many.join(cells, ["family", "band"])
     own = own.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
     met = own.join(cells.select("family", F.col("band").alias("b2"), F.col("tiles").alias("t2")), "family")
@@ -354,7 +399,7 @@ def _tile_tasks(chosen: DataFrame, num: int, den: int, block_rows: int) -> DataF
     return met.select(
         "cls",
         "family",
-        F.col("n") > block_rows,
+        (F.col("n") > block_rows) | (F.col("entries") > most),
         name(here).alias("own"),
         name(F.least(here, there)).alias("one"),
         name(F.greatest(here, there)).alias("two"),
@@ -416,7 +461,7 @@ def jaccard_classes(
     links = (
         placed.select(task.alias("task"), "family", "own", "one", "two", "cls", "row")
         .groupBy("task")
-        .applyInPandas(_links(num, den, SLICE_COLUMNS), "a string, b string")
+        .applyInPandas(_links(num, den, SLICE_COLUMNS, block_rows), "a string, b string")
     )
     linked = components(stored(links, "ngram-links"), "ngram-components")
     named = linked.join(members.select("cls", "class_id"), F.col("node") == F.col("cls"))

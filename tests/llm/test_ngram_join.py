@@ -113,3 +113,37 @@ def test_linking_rows_share_an_offer():
                     continue
                 x, y = offers(a, num, den, known, ranks), offers(b, num, den, known, ranks)
                 assert len(np.intersect1d(x, y)), (num, den, len(a), len(b))
+
+
+def test_a_large_family_travels_once(spark):
+    """Rows went to a task for each pair of tiles of 16 rows; a family that fits one task is now one tile."""
+    rows = [(f"c{k}", "f", 20 + k % 5) for k in range(200)]
+    chosen = spark.createDataFrame(rows, "cls string, family string, n_shingles long")
+    placed = ngram_join._tile_tasks(chosen, 80, 100, 16)
+    assert placed.count() == 200
+    long = chosen.withColumn("n_shingles", chosen.n_shingles * 20)  # more than one tile of 16 * 1024 entries
+    counts = {r["count"] for r in ngram_join._tile_tasks(long, 80, 100, 16).groupBy("cls").count().collect()}
+    assert 1 < max(counts) < 40
+
+
+def test_parts_lose_no_link():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(1, 1 << 60, 300).astype(np.uint64)
+    rows = [np.unique(rng.choice(base, n, replace=False)) for n in rng.integers(1, 300, 120)]
+    for num, den in ((8, 10), (1, 2)):
+        for cut in (None, 50):
+            left, right = (rows, None) if cut is None else (rows[:cut], rows[cut:])
+            whole = list(tile_links(left, right, num, den, 64))
+            got = ngram_join.block_links(left, right, num, den, 64, 7)
+
+            def groups(pairs):
+                parent = list(range(len(rows)))
+                for a, b in pairs:
+                    a, b = parent[a], parent[b]
+                    parent = [a if p == b else p for p in parent]
+                return {tuple(k for k, p in enumerate(parent) if p == q) for q in parent}
+
+            assert whole and groups(got) == groups(whole)
+            assert len(got) == len(rows) - len(groups(whole))
