@@ -38,7 +38,7 @@ from contactscope.operators import (
 from contactscope.operators.silhouette import euclidean_silhouette
 from contactscope.sources import schemas, star
 from contactscope.sources.layout import stored_by_order
-from contactscope.sources.tables import malformed_rows, read_table, replace_periods, shared_folder, write_result
+from contactscope.sources.tables import malformed_rows, materialise, read_table, replace_periods, shared_folder, write_result
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -738,6 +738,7 @@ def sketch_ranks(spark, folder):
 def audit_by_period(spark, folder):
     """The audit of all contacts from states kept by month; the latest months are written again, as a rerun would."""
     raw = star.contacts(spark, folder).withColumn("order_id", decode_base36(F.col("order_number")))
+    raw = materialise(raw, "audit-contacts")  # four states are made of it: one join of the tables, not four
     rules = {
         "test": F.col("is_test_errand") == 1,
         "undecodable": F.col("order_number").isNotNull() & F.col("order_id").isNull(),
