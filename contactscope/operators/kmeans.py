@@ -1,6 +1,6 @@
 """K-means for several numbers of clusters and several restarts, one scan an iteration for all of them.
 
-Rows are packed into blocks once. An iteration is one pass over the blocks: every task assigns its rows to the centres of
+Rows are packed into small blocks once, so that what a task holds is bounded. An iteration is one pass over the blocks: every task assigns its rows to the centres of
 all runs that go on and adds up, for each centre, rows, squared distances and coordinates; the
 sums of the tasks meet in one small grouping. Runs that have settled are left out of later passes.
 Every run starts from k-means++ centres that were settled on a bounded sample; the sample moves where
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from contactscope.operators.sampling import sample_n
 from contactscope.sources.tables import materialise
 
-BLOCK_ROWS = 8192
+BLOCK_BYTES = 4096  # a task gets up to 10,000 blocks at once, however many rows a file holds
+STEP_BLOCKS = 256  # blocks assigned together
 START_ROWS = 20_000
 MAX_ITERATIONS = 300
 TOLERANCE = 1e-4  # of the mean variance of the coordinates, for the squared move of all centres
@@ -49,25 +50,21 @@ def pack(df: DataFrame, features: str = "features") -> DataFrame:
     """(n, data): the feature vectors as blocks of doubles, stored. All vectors have the same length."""
 
     def run(batches):
-        held, n = [], 0
         for batch in batches:
-            held.append(batch.column("x").flatten().to_numpy(zero_copy_only=False))
-            n += batch.num_rows
-            if n >= BLOCK_ROWS:
-                yield _block(held, n)
-                held, n = [], 0
-        if n:
-            yield _block(held, n)
+            n = batch.num_rows
+            if not n:
+                continue
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            size = x.nbytes // n
+            cuts = np.append(np.arange(0, n, max(1, BLOCK_BYTES // max(size, 1))), n)
+            data, ends = x.tobytes(), (cuts * size).tolist()
+            blocks = [data[a:b] for a, b in zip(ends[:-1], ends[1:])]
+            yield pa.record_batch([pa.array(np.diff(cuts), pa.int32()), pa.array(blocks, pa.binary())], ["n", "data"])
 
     rows = df.where(F.col(features).isNotNull()).select(vector_to_array(features).alias("x"))
     return materialise(rows.mapInArrow(run, "n int, data binary"), "kmeans-blocks")
 
 
-def _block(parts: list, n: int) -> pa.RecordBatch:
-    data = np.concatenate(parts).astype(np.float64).tobytes()
-    return pa.record_batch([pa.array([n], pa.int32()), pa.array([data], pa.binary())], ["n", "data"])
-
-
 def _scan(centres: list[np.ndarray]):
     """Blocks to one row a run and centre: rows, squared distance, and the sums of the coordinates."""
     stacked = np.concatenate(centres)
@@ -78,12 +75,13 @@ def _scan(centres: list[np.ndarray]):
         n, cost = np.zeros(len(stacked)), np.zeros(len(stacked))
         sums = np.zeros(stacked.shape)
         for batch in batches:
-            for rows, data in zip(batch.column("n").to_pylist(), batch.column("data").to_pylist()):
-                x = np.frombuffer(data).reshape(rows, -1)
+            for first in range(0, batch.num_rows, STEP_BLOCKS):
+                part = batch.column("data").slice(first, STEP_BLOCKS).to_pylist()
+                x = np.frombuffer(b"".join(part)).reshape(-1, stacked.shape[1])
                 near = lengths - 2 * (x @ stacked.T)  # squared distances, less the squared length of x
                 own = (x**2).sum(axis=1)
                 hits = np.zeros(near.shape)
-                every = np.arange(rows)
+                every = np.arange(len(x))
                 for a, b in zip(cuts[:-1], cuts[1:]):
                     at = a + near[:, a:b].argmin(axis=1)
                     hits[every, at] = 1
