@@ -100,6 +100,29 @@ def _seeds(k: int, window: int, min_words: int):
     return run
 
 
+def _shared(batches):
+    """Rows sorted by (seed, doc_id): those whose seed occurs in several documents.
+
+    Of a seed only the rows of its first document are held, until another one has it too.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    held, known = [], None  # rows whose seed may yet be shared; the last seed that is
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+        seed, doc = rows.column("seed").to_numpy(), rows.column("doc_id").to_numpy()
+        new = np.append(True, seed[1:] != seed[:-1])
+        starts = np.flatnonzero(new)
+        shared = doc[starts] != doc[np.append(starts[1:], len(doc)) - 1]
+        shared[0] |= known is not None and seed[0] == known
+        known = seed[-1] if shared[-1] else None
+        held = [] if shared[-1] else [rows.slice(int(starts[-1]))]
+        yield rows.filter(pa.array(shared[np.cumsum(new) - 1]))
+
+
 def chains(x, y, k: int, gap_cost: float) -> list[list[int]]:
     """Disjoint chains of the anchors (x, y), best first, as lists of indices in order.
 
@@ -430,9 +453,9 @@ def passages(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
     ).where("doc_id is not null")
     kind = "seed bigint, doc_id bigint, at int, pair int, run int"
-    seeds = stored(docs.mapInArrow(_seeds(k, window, min_words), kind), "passage-seeds")
-    shared = seeds.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top")).where("low < top")
-    met = stored(seeds.join(shared.select("seed"), "seed"), "passage-shared")
+    # Most seeds are in one document only; one sorted shuffle tells them, and they are not stored.
+    seeds = docs.mapInArrow(_seeds(k, window, min_words), kind).repartition("seed").sortWithinPartitions("seed", "doc_id")
+    met = stored(seeds.mapInArrow(_shared, kind), "passage-shared")
     place = F.struct(F.col("doc_id").alias("src_id"), F.col("at").alias("src_at"))
     tied = met
     for level, more in (("one", []), ("two", ["pair"]), ("long", ["run"])):

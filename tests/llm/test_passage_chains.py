@@ -204,3 +204,31 @@ def test_fuzzy_passages_against_brute_force(spark):
     found = {r["doc_id"] for r in got if r["src_id"] == r["doc_id"] - 1}
     assert found >= {k for k in want if every[k] >= 10}
     assert len(found) >= 0.9 * len(want)
+
+
+def test_seeds_of_one_document_are_not_stored(spark, monkeypatch):
+    from contactscope.llm import passage_chains
+
+    names, store = [], passage_chains.stored
+    monkeypatch.setattr(passage_chains, "stored", lambda df, name: names.append(name) or store(df, name))
+    docs = [(k, " ".join(f"w{k}.{j}" if j < 40 else f"same{j}" for j in range(80))) for k in range(6)]
+    got = passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.src_id, r.lo, r.hi) for r in got} == {(k, 0, 40, 80) for k in range(1, 6)}
+    assert "passage-shared" in names and "passage-seeds" not in names
+
+
+def test_shared_seeds_over_any_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    from contactscope.llm.passage_chains import _shared
+
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        rows = sorted(zip(rng.integers(-9, 9, 40).tolist(), rng.integers(0, 3, 40).tolist()))
+        cuts = [0, *sorted(rng.integers(0, 41, 12).tolist()), 40]
+        kind = pa.schema([("seed", pa.int64()), ("doc_id", pa.int64())])
+        parts = [rows[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in p], pa.int64()) for k in (0, 1)], schema=kind) for p in parts]
+        got = [(r["seed"], r["doc_id"]) for b in _shared(batches) for r in b.to_pylist()]
+        assert got == [r for r in rows if len({d for s, d in rows if s == r[0]}) > 1]
