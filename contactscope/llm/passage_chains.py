@@ -9,7 +9,7 @@
 3. The anchors (place, place in the other document) of a pair are chained: the best chain that goes
    forward in both, worth ``k`` for each anchor less a cost for the words skipped on either side. The
    best predecessor is a prefix maximum, held in a Fenwick tree over the places in the other document.
-4. The words under each chain are fetched from both documents. A chain is cut where its identity would
+4. The words under chains that lie close together are fetched once from both documents. A chain is cut where its identity would
    fall below ``min_identity``, down to single anchors; the parts are extended while they agree, and
    parts of at least ``min_words`` words and ``min_identity`` identity are passages. Parts are aligned
    without a band; those of over ``BIT_WORDS`` words between their anchors, unless few edits do.
@@ -28,7 +28,7 @@ import bisect
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactscope.llm.common import mixed, stored, text_runs, window_hashes, word_hasher
+from contactscope.llm.common import RUN_BYTES, mixed, stored, text_runs, window_hashes, word_hasher
 
 K = 4  # MIN_WORDS words with every fifth one replaced have four equal ones in a row
 WINDOW = 6
@@ -36,6 +36,9 @@ MIN_WORDS = 30
 MIN_IDENTITY = 0.8
 GAP_COST = 0.05  # for each word skipped on either side, in words
 BIN_ANCHORS = 20_000
+RANGE = 1024  # words; chains of a pair that begin in the same ones are fetched together
+REQUESTS = 256  # slices that are cut from one copy of a text
+FLUSH_ROWS = 4096  # chains that a task gathers before it passes them on
 MARGIN = 16  # words fetched on either side of a chain at first; more where an extension needs them
 BAND, FEW_EDITS = 16, 64  # diagonals beside the corners', edits: where a long part is tried first
 BIT_WORDS = 4096  # words up to which a row of the alignment is one number
@@ -57,6 +60,17 @@ def winnowed(hashes, window: int):
     return np.unique(np.argmin(views, axis=1) + np.arange(n - window + 1))
 
 
+def _run_hashes(words, n: int):
+    """A hash of the ``n`` words from each place on, from sums of powers; ``words`` has ``n`` or more."""
+    import numpy as np
+
+    base, inverse = 0x2545F4914F6CDD1D, pow(0x2545F4914F6CDD1D, -1, 1 << 64)
+    with np.errstate(over="ignore"):
+        up, down = np.full((2, len(words)), np.array([[base], [inverse]], np.uint64)).cumprod(axis=1, dtype=np.uint64)
+        total = np.append(np.uint64(0), np.cumsum(words * up, dtype=np.uint64))
+        return mixed((total[n:] - total[:-n]) * down[: len(words) - n + 1])
+
+
 def _seeds(k: int, window: int, min_words: int):
     def run(batches):
         import numpy as np
@@ -65,37 +79,33 @@ def _seeds(k: int, window: int, min_words: int):
         hashes_of = word_hasher()
         for batch in text_runs(batches):
             words, offsets, _, _ = hashes_of(batch.column("text"))
-            docs, places, found, pairs, runs = [], [], [], [], []
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for d, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-                if b - a < k:
-                    continue
-                grams = window_hashes(words[a:b], k)
-                at = winnowed(grams, window)
-                docs.append(np.full(len(at), ids[d], np.int64))
-                places.append(at)
-                found.append(grams[at])
-                # With the seed itself, half a hash is enough. Zero: there is no next seed or no whole run.
-                pair = np.zeros(len(at), np.uint64)
-                pair[:-1] = mixed(grams[at[1:]] + np.diff(at).astype(np.uint64)) >> np.uint64(32)
-                pairs.append(pair)
-                run = np.zeros(len(at), np.uint64)
-                if b - a >= min_words:
-                    long = window_hashes(words[a:b], min_words) >> np.uint64(32)
-                    whole = at < len(long)
-                    run[whole] = long[at[whole]]
-                runs.append(run)
-            if docs:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(found).view(np.int64)),
-                        pa.array(np.concatenate(docs)),
-                        pa.array(np.concatenate(places).astype(np.int32)),
-                        pa.array(np.concatenate(pairs).astype(np.uint32).view(np.int32)),
-                        pa.array(np.concatenate(runs).astype(np.uint32).view(np.int32)),
-                    ],
-                    ["seed", "doc_id", "at", "pair", "run"],
-                )
+            if len(words) < k:
+                continue
+            grams = window_hashes(words, k)  # those that go on into the next text are not used
+            runs = _run_hashes(words, min_words) if len(words) >= min_words else words[:0]
+            kept = np.flatnonzero(np.diff(offsets) >= k)
+            if not len(kept):
+                continue
+            found = [winnowed(grams[offsets[d] : offsets[d + 1] - k + 1], window) for d in kept]
+            owner = np.repeat(kept, [len(f) for f in found])
+            places = np.concatenate(found)
+            at = places + offsets[owner]
+            # With the seed itself, half a hash is enough. Zero: there is no next seed or no whole run.
+            pair, long = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+            pair[:-1] = mixed(grams[at[1:]] + np.diff(at).astype(np.uint64)) >> np.uint64(32)
+            pair[:-1][owner[1:] != owner[:-1]] = 0
+            whole = at + min_words <= offsets[owner + 1]
+            long[whole] = runs[at[whole]] >> np.uint64(32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(grams[at].view(np.int64)),
+                    batch.column("doc_id").take(pa.array(owner)),
+                    pa.array(places.astype(np.int32)),
+                    pa.array(pair.astype(np.uint32).view(np.int32)),
+                    pa.array(long.astype(np.uint32).view(np.int32)),
+                ],
+                ["seed", "doc_id", "at", "pair", "run"],
+            )
 
     return run
 
@@ -189,7 +199,7 @@ def _chained(k: int, gap_cost: float):
 
 
 def _sliced(margin: int):
-    """The words under each request with up to ``margin`` more on either side, as hash bytes."""
+    """The words under each of a text's requests with up to ``margin`` more on either side, as hash bytes."""
 
     def run(batches):
         import numpy as np
@@ -197,27 +207,32 @@ def _sliced(margin: int):
 
         hashes_of = word_hasher()
         for batch in text_runs(batches):
-            texts = batch.column("text").dictionary_encode()
-            words, offsets, _, _ = hashes_of(texts.dictionary.cast(pa.string()))
-            code = texts.indices.fill_null(0).to_numpy(zero_copy_only=False)
-            lo = batch.column("lo").to_numpy()
-            hi = batch.column("hi").to_numpy()
-            begin, end = offsets[code], offsets[code + 1]
-            a = np.maximum(begin, begin + lo - margin)
-            b = np.minimum(end, begin + hi + margin)
+            words, offsets, _, _ = hashes_of(batch.column("text"))
             # Four bytes a word are enough here: the words are compared side by side.
             small = (words >> np.uint64(32)).astype(np.uint32)
-            cut = [small[p:q].tobytes() for p, q in zip(a, np.maximum(a, b), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("chain"),
-                    batch.column("side"),
-                    pa.array((a - begin).astype(np.int64)),
-                    pa.array(cut, pa.binary()),
-                    pa.array(b < end),
-                ],
-                ["chain", "side", "from", "words", "more"],
-            )
+            asked = batch.column("asked")
+            rows = asked.flatten()
+            owner = np.repeat(np.arange(batch.num_rows), asked.value_lengths().to_numpy(zero_copy_only=False))
+            begin, end = offsets[owner], offsets[owner + 1]
+            a = np.maximum(begin, begin + rows.field("lo").to_numpy() - margin)
+            b = np.maximum(a, np.minimum(end, begin + rows.field("hi").to_numpy() + margin))
+            ends = np.cumsum(b - a)
+            at = 0
+            while at < len(a):  # many requests of a long text are more than the text
+                start = int(ends[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, start + RUN_BYTES // 4, side="right")))
+                cut = [small[p:q].tobytes() for p, q in zip(a[at:to], b[at:to], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        rows.field("unit").slice(at, to - at),
+                        rows.field("side").slice(at, to - at),
+                        pa.array((a - begin)[at:to].astype(np.int64)),
+                        pa.array(cut, pa.binary()),
+                        pa.array((b < end)[at:to]),
+                    ],
+                    ["unit", "side", "from", "words", "more"],
+                )
+                at = to
 
     return run
 
@@ -301,6 +316,10 @@ def blocks(a, b, x, y, k: int) -> list[tuple[int, int, int]]:
     """The anchors that hold in ``a`` and ``b`` as (place, place, words), without overlaps."""
     import numpy as np
 
+    if len(x) == 1:
+        p, q = int(x[0]), int(y[0])
+        fit = p >= 0 and q >= 0 and p + k <= len(a) and q + k <= len(b) and a[p : p + k].tobytes() == b[q : q + k].tobytes()
+        return [(p, q, k)] if fit else []
     fits = np.flatnonzero((x >= 0) & (y >= 0) & (x + k <= len(a)) & (y + k <= len(b)))
     for j in range(k):
         fits = fits[a[x[fits] + j] == b[y[fits] + j]]
@@ -333,7 +352,9 @@ def parts(a, b, x, y, k: int, min_words: int, min_identity: float, ends=(False,)
 
     found = blocks(a, b, x, y, k)
     out: list[tuple[int, int, int, int, int]] = []
-    if not found:
+    if len(found) < 2:
+        for i, j, m in found:
+            return _extended(a, b, (i, i + m, j, j + m), m, min_words, min_identity, ends)
         return out
     p, q, n = (np.array(v) for v in zip(*found, strict=True))
     gaps = [
@@ -347,57 +368,75 @@ def parts(a, b, x, y, k: int, min_words: int, min_identity: float, ends=(False,)
     while i < len(found):
         good = np.flatnonzero((stops[0][i:] >= begins[0][i] - 1e-9) & (stops[1][i:] >= begins[1][i] - 1e-9))
         j = i + int(good[-1])
-        lo, src_lo = int(p[i]), int(q[i])
-        hi, src_hi = int(p[j] + n[j]), int(q[j] + n[j])
+        core = (int(p[i]), int(p[j] + n[j]), int(q[i]), int(q[j] + n[j]))
         first, i = i, j + 1
-        if out and hi <= out[-1][1] and src_hi <= out[-1][3]:
+        if out and core[1] <= out[-1][1] and core[3] <= out[-1][3]:
             continue
-        left, right = _reach(a[:lo][::-1], b[:src_lo][::-1]), _reach(a[hi:], b[src_hi:])
-        if any(more and out_of for more, out_of in zip(ends, (left[2], right[2], left[3], right[3]), strict=True)):
+        got = _extended(a, b, core, int(end[j] - begin[first]), min_words, min_identity, ends)
+        if got is None:
             return None
-        wide = (lo - left[0], hi + right[0], src_lo - left[1], src_hi + right[1])
-        for s, t, u, v in dict.fromkeys((wide, (lo, hi, src_lo, src_hi))):
-            long = max(t - s, v - u)
-            if long < min_words:
-                continue
-            # Few edits are found along the diagonals; else long parts are aligned block by block.
-            matched = matched_words(a[s:t], b[u:v], BAND, long - FEW_EDITS // 2) if long > BIT_WORDS else 0
-            if not matched and long > BIT_WORDS:
-                inner = int(end[j] - begin[first])
-                matched = common_words(a[s:lo], b[u:src_lo]) + inner + common_words(a[hi:t], b[src_hi:v])
-            matched = matched or common_words(a[s:t], b[u:v])
-            if matched >= min_identity * long - 1e-9:
-                out.append((s, t, u, v, matched))
-                break
+        out += got
     return out
 
 
+def _extended(a, b, core, inner: int, min_words: int, min_identity: float, ends) -> list[tuple[int, ...]] | None:
+    """The part around a run of blocks (lo, hi, src_lo, src_hi) of ``inner`` matched words, if it is a passage."""
+    lo, hi, src_lo, src_hi = core
+    left, right = _reach(a[:lo][::-1], b[:src_lo][::-1]), _reach(a[hi:], b[src_hi:])
+    if any(more and out_of for more, out_of in zip(ends, (left[2], right[2], left[3], right[3]), strict=True)):
+        return None
+    wide = (lo - left[0], hi + right[0], src_lo - left[1], src_hi + right[1])
+    for s, t, u, v in dict.fromkeys((wide, core)):
+        long = max(t - s, v - u)
+        if long < min_words:
+            continue
+        # Few edits are found along the diagonals; else long parts are aligned block by block.
+        matched = matched_words(a[s:t], b[u:v], BAND, long - FEW_EDITS // 2) if long > BIT_WORDS else 0
+        if not matched and long > BIT_WORDS:
+            matched = common_words(a[s:lo], b[u:src_lo]) + inner + common_words(a[hi:t], b[src_hi:v])
+        matched = matched or common_words(a[s:t], b[u:v])
+        if matched >= min_identity * long - 1e-9:
+            return [(s, t, u, v, matched)]
+    return []
+
+
 def _aligned(k: int, min_words: int, min_identity: float):
+    """The passages of each chain of a unit, whose words are there once."""
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("matched", "lo", "hi", "src_lo", "src_hi")]))
+
+        def rows(out):
+            names = ["chain", "total", "cut", "parts"]
+            kinds = (pa.string(), pa.int64(), pa.bool_(), kind)
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), kinds, strict=True)], names)
+
+        out = []
         for batch in batches:
-            found, total, cut = [], [], []
-            names = ("xs", "ys", "from", "src_from", "more", "src_more")
-            rows = zip(*[batch.column(c).to_pylist() for c in names], strict=True)
-            texts = zip(batch.column("words").to_pylist(), batch.column("src_words").to_pylist(), strict=True)
-            for (xs, ys, at, src_at, more, src_more), (x, y) in zip(rows, texts, strict=True):
-                a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                ends = (at > 0, more, src_at > 0, src_more)
-                got = parts(a, b, np.array(xs) - at, np.array(ys) - src_at, k, min_words, min_identity, ends)
-                cut.append(got is None)
-                got = got or []
-                found.append(
-                    [
-                        {"matched": m, "lo": s + at, "hi": t + at, "src_lo": u + src_at, "src_hi": v + src_at}
-                        for s, t, u, v, m in got
-                    ]
-                )
-                total.append(sum(g[-1] for g in got))
-            arrays = [batch.column("chain"), pa.array(total, pa.int64()), pa.array(cut), pa.array(found, kind)]
-            yield pa.RecordBatch.from_arrays(arrays, ["chain", "total", "cut", "parts"])
+            for row in range(batch.num_rows):
+                unit = batch.slice(row, 1).to_pylist()[0]
+                a, b = np.frombuffer(unit["words"], np.uint32), np.frombuffer(unit["src_words"], np.uint32)
+                at, src_at = unit["from"], unit["src_from"]
+                ends = (at > 0, unit["more"], src_at > 0, unit["src_more"])
+                for c in unit["chains"]:
+                    x, y = np.array(c["xs"]) - at, np.array(c["ys"]) - src_at
+                    got = parts(a, b, x, y, k, min_words, min_identity, ends)
+                    if got is None:
+                        out.append((c["chain"], 0, True, []))
+                    elif got:
+                        named = [
+                            {"matched": m, "lo": s + at, "hi": t + at, "src_lo": u + src_at, "src_hi": v + src_at}
+                            for s, t, u, v, m in got
+                        ]
+                        out.append((c["chain"], sum(g[-1] for g in got), False, named))
+                if len(out) >= FLUSH_ROWS:
+                    yield rows(out)
+                    out = []
+        if out:
+            yield rows(out)
 
     return run
 
@@ -410,9 +449,15 @@ def _together(a, b) -> tuple[int, bool]:
     n = min(len(a), len(b))
     if n == 0:
         return 0, True
-    same = a[:n] == b[:n]
-    wrong = np.cumsum(~same)
-    far = np.flatnonzero(wrong * 5 > np.arange(1, n + 1))
+    if a[0] != b[0]:
+        return 0, False
+    size = 64
+    while True:  # words behind the stop are not looked at
+        same = a[: min(n, size)] == b[: min(n, size)]
+        far = np.flatnonzero(np.cumsum(~same) * 5 > np.arange(1, len(same) + 1))
+        if len(far) or size >= n:
+            break
+        size *= 8
     stop = int(far[0]) if len(far) else n
     agreed = np.flatnonzero(same[:stop])
     return (int(agreed[-1]) + 1 if len(agreed) else 0), not len(far)
@@ -422,7 +467,7 @@ def _reach(a, b) -> tuple[int, int, bool, bool]:
     """How far two runs of words go on, over short insertions and deletions too; and whether more words
     of ``a``, or of ``b``, could take it further."""
     i = j = 0
-    x, y, size = a.tobytes(), b.tobytes(), 4 * RESUME
+    size = 4 * RESUME
     far = RESUME + max(SKIPS)[0]
     out = [False, False]
     while True:
@@ -430,8 +475,9 @@ def _reach(a, b) -> tuple[int, int, bool, bool]:
         left = len(a) - i, len(b) - j
         out = [o or (ran_out and side == min(left)) for o, side in zip(out, left, strict=True)]
         i, j = i + n, j + n
+        x, y = a[i : i + far].tobytes(), b[j : j + far].tobytes()
         for s, t in SKIPS:
-            p, q = 4 * (i + s), 4 * (j + t)
+            p, q = 4 * s, 4 * t
             if p + size <= len(x) and q + size <= len(y) and x[p : p + size] == y[q : q + size]:
                 i, j = i + s, j + t
                 break
@@ -439,6 +485,32 @@ def _reach(a, b) -> tuple[int, int, bool, bool]:
             return i, j, out[0] or len(a) - i < far, out[1] or len(b) - j < far
 
 
+WORDS = "unit string, side int, from bigint, words binary, more boolean"
+
+
+def _units(chains_: DataFrame) -> DataFrame:
+    """Chains of a pair of documents that begin in the same ``RANGE`` words of both: their words are fetched once.
+
+    A place is in few anchors, so a unit has no more than a few times ``RANGE`` chains.
+    """
+    near = [F.floor(F.col(c) / RANGE).alias(f"_{c}") for c in ("lo", "src_lo")]
+    return chains_.groupBy("doc_id", "src_id", *near).agg(
+        F.min("chain").alias("unit"),
+        F.collect_list(F.struct("chain", "xs", "ys")).alias("chains"),
+        *[f(c).alias(c) for f, c in ((F.min, "lo"), (F.max, "hi"), (F.min, "src_lo"), (F.max, "src_hi"))],
+    ).drop("_lo", "_src_lo")
+
+
+def _asked(docs: DataFrame, units: DataFrame) -> DataFrame:
+    """(text, asked): each text with its requests (unit, side, lo, hi), about ``REQUESTS`` of them in a row."""
+    ours = units.select(F.col("doc_id").alias("_id"), "unit", F.lit(0).alias("side"), "lo", "hi")
+    asks = ours.union(units.select("src_id", "unit", F.lit(1), "src_lo", "src_hi"))
+    many = asks.groupBy("_id").agg(F.ceil(F.count(F.lit(1)) / REQUESTS).alias("rows"))
+    asked = asks.join(many, "_id").groupBy("_id", F.pmod(F.xxhash64("unit", "side"), F.col("rows")).alias("row"))
+    asked = asked.agg(F.collect_list(F.struct("unit", "side", "lo", "hi")).alias("asked"))
+    return docs.join(asked, F.col("doc_id") == F.col("_id")).select("text", "asked")
+
+
 def passages(
     docs: DataFrame,
     k: int = K,
@@ -480,18 +552,15 @@ def passages(
     part = "struct<matched: bigint, lo: bigint, hi: bigint, src_lo: bigint, src_hi: bigint>"
     best, todo, margin = None, found, MARGIN
     while True:
-        ours = todo.select("chain", F.lit(0).alias("side"), F.col("doc_id").alias("_id"), "lo", "hi")
-        theirs = todo.select("chain", F.lit(1), "src_id", "src_lo", "src_hi")
-        slices = docs.join(ours.union(theirs), F.col("doc_id") == F.col("_id")).select("chain", "side", "lo", "hi", "text")
-        kind = "chain string, side int, from bigint, words binary, more boolean"
-        slices = stored(slices.mapInArrow(_sliced(margin), kind), "passage-words")
+        units = stored(_units(todo), "passage-units")
+        slices = stored(_asked(docs, units).mapInArrow(_sliced(margin), WORDS), "passage-words")
         one = slices.where("side = 0").drop("side")
-        two = slices.where("side = 1").select("chain", *[F.col(c).alias(f"src_{c}") for c in ("from", "words", "more")])
-        both = todo.select("chain", "xs", "ys").join(one, "chain").join(two, "chain")
+        two = slices.where("side = 1").select("unit", *[F.col(c).alias(f"src_{c}") for c in ("from", "words", "more")])
+        both = units.select("unit", "chains").join(one, "unit").join(two, "unit")
         aligned = both.mapInArrow(
             _aligned(k, min_words, min_identity), f"chain string, total bigint, cut boolean, parts array<{part}>"
         )
-        aligned = aligned.where("total > 0 or cut").groupBy("chain")
+        aligned = aligned.groupBy("chain")
         aligned = aligned.agg(F.max(F.struct("total", "parts")).alias("b"), F.max("cut").alias("cut"))
         aligned = stored(aligned, "passage-parts")
         whole = aligned.where("not cut")

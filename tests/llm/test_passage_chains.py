@@ -232,3 +232,38 @@ def test_shared_seeds_over_any_batches():
         batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in p], pa.int64()) for k in (0, 1)], schema=kind) for p in parts]
         got = [(r["seed"], r["doc_id"]) for b in _shared(batches) for r in b.to_pylist()]
         assert got == [r for r in rows if len({d for s, d in rows if s == r[0]}) > 1]
+
+
+def test_words_of_repeated_lines_are_fetched_once(spark, monkeypatch):
+    """A line that a document repeats is a chain each time; its words are not fetched for each of them."""
+    from contactscope.llm import passage_chains
+
+    line = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, line), (2, " ".join([line] * 12)), (3, "a b c d e f")], "doc_id long, text string")
+    kept = {}
+
+    def record(df, name, plain=passage_chains.stored):
+        table = plain(df, name)
+        kept.setdefault(name, []).append(table.count())
+        return table
+
+    monkeypatch.setattr(passage_chains, "stored", record)
+    found = passages(docs).collect()
+    assert {(r.lo, r.hi) for r in found if r.src_id == 1 and r.matched == 40} >= {(0, 40), (40, 80), (440, 480)}
+    assert kept["passage-chains"][0] >= 12 and max(kept["passage-words"]) == 2
+
+
+def test_texts_serve_many_requests(spark, monkeypatch):
+    from contactscope.llm import passage_chains
+
+    monkeypatch.setattr(passage_chains, "REQUESTS", 4)
+    docs = spark.createDataFrame([(1, "a b c"), (2, "d e f")], "doc_id long, text string")
+    kind = "doc_id long, src_id long, unit string, lo long, hi long, src_lo long, src_hi long"
+    units = spark.createDataFrame([(1, 2, str(i), 0, 2, 1, 3) for i in range(40)], kind)
+    rows = passage_chains._asked(docs, units)
+    assert sorted({(r.text, a.unit, a.side) for r in rows.collect() for a in r.asked}) == sorted(
+        (t, str(i), s) for i in range(40) for s, t in enumerate(("a b c", "d e f"))
+    )
+    assert rows.count() <= 20
+    words = rows.mapInArrow(passage_chains._sliced(0), passage_chains.WORDS).collect()
+    assert len(words) == 80 and {(r.side, r["from"], len(r.words), r.more) for r in words} == {(0, 0, 8, True), (1, 1, 8, False)}
