@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from contactscope.sources.tables import materialise
 
 #: Bytes of text that one vectorised step takes; a longer text is taken alone.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 #: Bytes of text in one run of ``text_runs``.
 RUN_BYTES = 4 << 20
 #: Rows in one bucket of ``ranked``, about.
@@ -131,6 +131,32 @@ def mixed(x):
         return x ^ (x >> np.uint64(31))
 
 
+def lean(run: Callable) -> Callable:
+    """The batch function, giving its memory back at the end of a task.
+
+    Workers are kept for later tasks, and there can be more of them than tasks run at once; what an idle one
+    holds counts against its executor.
+    """
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    """Free memory of Arrow's pool and of the C library goes back to the system, where that is possible."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def text_runs(batches, column: str = "text", limit: int = RUN_BYTES):
     """The batches cut into runs of rows with about ``limit`` bytes in ``column`` at most.
 

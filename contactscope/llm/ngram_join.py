@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from contactscope.llm.common import (
     components,
     forest,
+    give_back,
+    lean,
     mixed,
     stored,
     text_runs,
@@ -95,7 +97,7 @@ def _frequent(docs: DataFrame, n: int):
     total = docs.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20))
     sample = docs.where(draw < math.ceil((1 << 20) * min(1.0, SAMPLE_DOCS / max(total, 1))))
-    counts = sample.mapInArrow(_columns(n), "col bigint, n bigint").groupBy("col").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(lean(_columns(n)), "col bigint, n bigint").groupBy("col").agg(F.sum("n").alias("n"))
     top = counts.where(F.col("n") >= FREQUENT_DOCS).orderBy(F.desc("n"), "col").limit(FREQUENT_COLUMNS)
     found = top.collect()
     columns = np.array([r["col"] for r in found], np.int64).view(np.uint64)
@@ -335,16 +337,35 @@ def block_links(left: list, right: list | None, num: int, den: int, slice_column
     return forest(len(left) + len(right or []), found())
 
 
+def _arrays(column) -> list:
+    """The hashes of each row of a binary column, without a copy of them."""
+    import numpy as np
+    import pyarrow as pa
+
+    out = []
+    for chunk in column.chunks:
+        kind = np.int64 if pa.types.is_large_binary(chunk.type) else np.int32
+        _, places, data = chunk.buffers()
+        if not len(chunk):
+            continue
+        ends = np.frombuffer(places, kind)[chunk.offset : chunk.offset + len(chunk) + 1]
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            out.append(np.frombuffer(data, np.uint64, (b - a) // 8, a) if b > a else np.empty(0, np.uint64))
+    return out
+
+
 def _links(num: int, den: int, slice_columns: int, block_rows: int):
-    def run(frame):
+    def run(table):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
+        hashes = _arrays(table.column("row"))
+        frame = table.select(["family", "own", "one", "two", "cls"]).to_pandas()
         found = []
         for _, block in frame.groupby(["family", "one", "two"]):
             block = block.drop_duplicates("cls")
             cls = block["cls"].to_numpy()
-            rows = [np.frombuffer(h, np.uint64) for h in block["row"]]
+            rows = [hashes[at] for at in block.index]
             first = (block["own"] == block["one"]).to_numpy()
             cut = int(first.sum())
             if cut == len(rows):
@@ -356,7 +377,8 @@ def _links(num: int, den: int, slice_columns: int, block_rows: int):
             else:
                 continue
             found += [(cls[x], cls[y]) for x, y in pairs]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="object")
+        give_back()
+        return pa.table([pa.array([link[side] for link in found], pa.string()) for side in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -425,15 +447,15 @@ def jaccard_classes(
     )
     frequent = spark.sparkContext.broadcast(_frequent(docs, n))  # bounded by FREQUENT_COLUMNS
     rows = stored(
-        docs.mapInArrow(_sizes(n), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint"), "ngram-rows"
+        docs.mapInArrow(lean(_sizes(n)), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint"), "ngram-rows"
     )
     # Candidates: classes that share an offer, each tied to the smallest one. Offers are sorted, not
     # grouped, so that a task streams over its part.
-    offered = docs.mapInArrow(_offered(n, num, den, frequent), "offer bigint, d1 bigint, b bigint")
+    offered = docs.mapInArrow(lean(_offered(n, num, den, frequent)), "offer bigint, d1 bigint, b bigint")
     spread = F.coalesce("offer", F.xxhash64("d1"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     offered = offered.repartition(parts, spread).sortWithinPartitions("offer", "d1")
-    star = stored(offered.mapInArrow(_tied, "a bigint, b bigint").distinct(), "ngram-candidates")
+    star = stored(offered.mapInArrow(lean(_tied), "a bigint, b bigint").distinct(), "ngram-candidates")
     family = components(star, "ngram-families").select(F.col("node").alias("d1"), F.col("root").alias("family"))
     cls = F.concat(F.hex("d1"), F.lit(":"), F.hex("d2")).alias("cls")
     members = (
@@ -449,7 +471,7 @@ def jaccard_classes(
     n_chosen = chosen.count()
     wanted = chosen.select("cls", "class_id").hint(_by_size(n_chosen))
     texts = docs.join(wanted, F.col("doc_id") == F.col("class_id")).select("cls", "text")
-    sets = texts.mapInArrow(_rows(n), "cls string, row binary")
+    sets = texts.mapInArrow(lean(_rows(n)), "cls string, row binary")
     tiles = stored(_tile_tasks(chosen, num, den, block_rows), "ngram-tiles")
     by_size = _by_size(tiles.count())
     if by_size == "merge":  # the shuffle then reads a table, and a lost executor does not make the sets anew
@@ -461,7 +483,7 @@ def jaccard_classes(
     links = (
         placed.select(task.alias("task"), "family", "own", "one", "two", "cls", "row")
         .groupBy("task")
-        .applyInPandas(_links(num, den, SLICE_COLUMNS, block_rows), "a string, b string")
+        .applyInArrow(_links(num, den, SLICE_COLUMNS, block_rows), "a string, b string")
     )
     linked = components(stored(links, "ngram-links"), "ngram-components")
     named = linked.join(members.select("cls", "class_id"), F.col("node") == F.col("cls"))

@@ -23,6 +23,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contactscope.llm.common import lean, stored, text_runs
+
 MAX_ROWS = 20_000
 MAX_TERMS = 2_000
 LEAST_WEIGHT = 3.0  # log-odds of a lexicon term
@@ -160,8 +162,6 @@ def fit(
     """Learn the lexicon and the curve; what comes to the driver is bounded by the parameters."""
     import numpy as np
 
-    from contactscope.llm.common import stored
-
     sample = stored(_sampled(docs, labels, max_rows), "toxicity-sample")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
@@ -220,7 +220,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         import pyarrow as pa
 
         measure = _matcher(lexicon)
-        for batch in batches:
+        for batch in text_runs(batches):
             got = [measure(t) for t in batch.column("text").to_pylist()]
             total, words = [g[0] for g in got], [g[1] for g in got]
             z = np.clip(_features(total, words).reshape(-1, 3) @ np.array(lexicon.curve), -30, 30)
@@ -236,7 +236,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     return docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
-    ).mapInArrow(run, "doc_id bigint, score double, weight double, n_words bigint")
+    ).mapInArrow(lean(run), "doc_id bigint, score double, weight double, n_words bigint")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
@@ -261,9 +261,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
         import pyarrow as pa
 
         measure = _matcher(lexicon)
-        for batch in batches:
+        for batch in text_runs(batches):
             got = [measure(t) for t in batch.column("text").to_pylist()]
             z = _features([g[0] for g in got], [g[1] for g in got]).reshape(-1, 3) @ np.array(lexicon.curve)
             yield batch.filter(pa.array(z < 0.0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
