@@ -28,6 +28,7 @@ LEVELS = 12  # each level of refinement has cells a quarter as wide; the last on
 ROUNDS = 8
 TASK_ROWS = 16_384
 STEP_ROWS = 256  # rows compared with all cells at once
+OPEN_CELLS = 1 << 18  # open cells that a task gathers before it passes rows on; a step can add more
 
 
 def _cell(width: float | None) -> Column:
@@ -64,7 +65,7 @@ def _first_pass(cells: dict, sizes: np.ndarray, threshold: float):
         for batch in batches:
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             own = batch.column("c").to_numpy()
-            low, high, scale, opened = [], [], [], []
+            low, high, scale, opened, begin = [], [], [], [], 0
             for at in range(0, len(x), STEP_ROWS):
                 part, mine = x[at : at + STEP_ROWS], own[at : at + STEP_ROWS]
                 square = np.maximum((part**2).sum(axis=1)[:, None] + lengths - 2 * part @ means.T, 0)
@@ -81,18 +82,23 @@ def _first_pass(cells: dict, sizes: np.ndarray, threshold: float):
                 high.append(np.add.reduceat(np.where(wide, 0, most), cuts, axis=1))
                 scale.append(size)
                 opened += [ids[w] for w in wide]
-            yield pa.record_batch(
-                [
-                    batch.column("id"),
-                    batch.column("c"),
-                    batch.column("x"),
-                    _lists(np.concatenate(low)),
-                    _lists(np.concatenate(high)),
-                    pa.array(np.concatenate(scale)),
-                    pa.array(opened, pa.list_(pa.int64())),
-                ],
-                ["id", "c", "x", "low", "high", "scale", "opened"],
-            )
+                end = at + len(part)
+                if end < len(x) and sum(map(len, opened)) < OPEN_CELLS:
+                    continue
+                rows = batch.slice(begin, end - begin)
+                yield pa.record_batch(
+                    [
+                        rows.column("id"),
+                        rows.column("c"),
+                        rows.column("x"),
+                        _lists(np.concatenate(low)),
+                        _lists(np.concatenate(high)),
+                        pa.array(np.concatenate(scale)),
+                        pa.array(opened, pa.list_(pa.int64())),
+                    ],
+                    ["id", "c", "x", "low", "high", "scale", "opened"],
+                )
+                low, high, scale, opened, begin = [], [], [], [], end
 
     return run
 

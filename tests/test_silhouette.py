@@ -47,3 +47,22 @@ def test_edges(spark):
     assert (two.silhouette, two.n) == (1.0, 4)
     same = silhouette.euclidean_silhouette(table(spark, points[:2], [1, 2])).first()
     assert (same.silhouette, same.low, same.high) == (0.0, 0.0, 0.0)
+
+
+def test_open_cells_leave_in_small_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    count, rows = 600, 3000
+    cells = {
+        "c": np.sort(rng.integers(0, 3, count)), "cell": np.arange(count), "n": np.ones(count),
+        "m": rng.normal(size=(count, 2)), "v": np.ones(count),
+    }
+    x = pa.array(rng.normal(size=(rows, 2)).tolist(), pa.list_(pa.float64()))
+    batch = pa.record_batch([pa.array(range(rows)), pa.array([i % 3 for i in range(rows)], pa.int32()), x], ["id", "c", "x"])
+    got = list(silhouette._first_pass(cells, np.bincount(cells["c"]), 0.0)([batch]))
+    assert sum(b.num_rows for b in got) == rows and pa.Table.from_batches(got)["id"].to_pylist() == list(range(rows))
+    assert pa.Table.from_batches(got)["x"].to_pylist() == x.to_pylist()
+    assert all(len(o) == count for b in got for o in b["opened"])
+    most = max(len(b["opened"].flatten()) for b in got)
+    assert most <= silhouette.OPEN_CELLS + silhouette.STEP_ROWS * count  # all 1.8 million at once before
