@@ -25,11 +25,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contactscope.llm.common import ranked, stored
+from contactscope.llm.common import lean, ranked, stored, text_runs
 from contactscope.llm.tokens import VOCABULARY, batch_encoder
 
 CAPACITY = 1024
 END_ID = 2
+ENCODE_BYTES = 1 << 20  # of text encoded at once; that takes several times the text
 GROUPS = 256
 SMALL = 64  # pieces up to this length are placed last, by best fit
 
@@ -42,7 +43,7 @@ def _pieces(capacity: int, end_id: int, vocabulary: str):
         import pyarrow as pa
 
         encode = batch_encoder(vocabulary)
-        for batch in batches:
+        for batch in text_runs(batches, limit=ENCODE_BYTES):
             ids, offsets = encode(batch.column("text"))
             size = np.diff(offsets) + 1
             n = -(-size // capacity)
@@ -51,7 +52,7 @@ def _pieces(capacity: int, end_id: int, vocabulary: str):
             first = size - (n - 1) * capacity
             start = np.where(piece == 0, 0, first[doc] + (piece - 1) * capacity)
             length = np.where(piece == 0, first[doc], capacity)
-            raw = memoryview(ids.astype("<u4").tobytes())
+            raw = memoryview(ids.astype("<u4", copy=False).view(np.uint8))
             end = np.array([end_id], "<u4").tobytes()
             crc = np.empty(len(doc), np.int64)
             for k, (d, at, long) in enumerate(zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)):
@@ -81,7 +82,7 @@ def pieces(
     return docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
     ).mapInArrow(
-        _pieces(capacity, end_id, vocabulary),
+        lean(_pieces(capacity, end_id, vocabulary)),
         "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint",
     )
 

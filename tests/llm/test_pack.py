@@ -88,3 +88,33 @@ def test_plans_place_each_rank_once(seed):
     assert all(v <= (k[0] if k[0] >= 0 else 1024) for k, v in room.items())
     assert all(k[1] < (rooms[k[0]] if k[0] >= 0 else new) for k in room)
     assert sum(hi - lo for _, lo, hi, *_ in rows) == sum(small.values())
+
+
+def test_texts_are_encoded_in_bounded_runs(monkeypatch):
+    import pyarrow as pa
+
+    from contactscope.llm import pack as module
+
+    rng = random.Random(3)
+    texts = [None, "", *(" ".join(f"w{rng.randrange(500)}" for _ in range(rng.randrange(9000))) for _ in range(400))]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    assert sum(len(t or "") for t in texts) > 1.5 * module.ENCODE_BYTES
+    make, sizes = module.batch_encoder, []
+
+    def recorded(vocabulary):
+        encode = make(vocabulary)
+        return lambda texts: sizes.append(sum(len(t or "") for t in texts.to_pylist())) or encode(texts)
+
+    monkeypatch.setattr(module, "batch_encoder", recorded)
+    got = [r for b in module._pieces(1024, 2, module.VOCABULARY)([batch]) for r in b.to_pylist()]
+    assert len(sizes) > 1 and max(sizes) <= module.ENCODE_BYTES
+    ids, offsets = make(module.VOCABULARY)(batch.column("text"))
+    want = []
+    for k in range(len(texts)):
+        row = [*ids[offsets[k] : offsets[k + 1]].tolist(), 2]
+        at = 0
+        for n, end in enumerate(range(len(row) % 1024 or 1024, len(row) + 1, 1024)):
+            crc = zlib.crc32(np.array(row[at:end], "<u4").tobytes())
+            want.append({"doc_id": k, "piece": n, "start": at, "length": end - at, "ids_crc32": crc})
+            at = end
+    assert got == want
