@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import bisect
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactscope.llm.common import RUN_BYTES, mixed, stored, text_runs, window_hashes, word_hasher
@@ -41,6 +41,7 @@ REQUESTS = 256  # slices that are cut from one copy of a text
 FLUSH_ROWS = 4096  # chains that a task gathers before it passes them on
 MARGIN = 16  # words fetched on either side of a chain at first; more where an extension needs them
 BAND, FEW_EDITS = 16, 64  # diagonals beside the corners', edits: where a long part is tried first
+TOGETHER, FEW = 4096, 8  # single anchors extended at once; fewer are extended one by one
 BIT_WORDS = 4096  # words up to which a row of the alignment is one number
 RESUME = 6  # words that must agree after a skip
 #: Words skipped in one text and the other where a chain is extended, short skips first.
@@ -386,6 +387,12 @@ def _extended(a, b, core, inner: int, min_words: int, min_identity: float, ends)
     if any(more and out_of for more, out_of in zip(ends, (left[2], right[2], left[3], right[3]), strict=True)):
         return None
     wide = (lo - left[0], hi + right[0], src_lo - left[1], src_hi + right[1])
+    return _whole(a, b, core, wide, inner, min_words, min_identity)
+
+
+def _whole(a, b, core, wide, inner: int, min_words: int, min_identity: float) -> list[tuple[int, ...]]:
+    """The run of blocks with its extension ``wide``, or else without, if that is a passage."""
+    lo, hi, src_lo, src_hi = core
     for s, t, u, v in dict.fromkeys((wide, core)):
         long = max(t - s, v - u)
         if long < min_words:
@@ -401,7 +408,10 @@ def _extended(a, b, core, inner: int, min_words: int, min_identity: float, ends)
 
 
 def _aligned(k: int, min_words: int, min_identity: float):
-    """The passages of each chain of a unit, whose words are there once."""
+    """The passages of each chain of a unit, whose words are there once.
+
+    Most chains are single anchors; those of a batch are extended together, ``TOGETHER`` at a time.
+    """
 
     def run(batches):
         import numpy as np
@@ -411,27 +421,73 @@ def _aligned(k: int, min_words: int, min_identity: float):
 
         def rows(out):
             names = ["chain", "total", "cut", "parts"]
-            kinds = (pa.string(), pa.int64(), pa.bool_(), kind)
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), kind)
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), kinds, strict=True)], names)
 
+        def flat(column):
+            column = column.cast(pa.large_binary())
+            ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            data = column.buffers()[2]
+            words = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]].view(np.uint32)
+            return words, (ends - ends[0]) // 4
+
+        def row(chain, got, at, src_at):
+            named = [
+                {"matched": m, "lo": s + at, "hi": t + at, "src_lo": u + src_at, "src_hi": v + src_at}
+                for s, t, u, v, m in got
+            ]
+            return chain, sum(g[-1] for g in got), False, named
+
         out = []
         for batch in batches:
-            for row in range(batch.num_rows):
-                unit = batch.slice(row, 1).to_pylist()[0]
-                a, b = np.frombuffer(unit["words"], np.uint32), np.frombuffer(unit["src_words"], np.uint32)
-                at, src_at = unit["from"], unit["src_from"]
-                ends = (at > 0, unit["more"], src_at > 0, unit["src_more"])
-                for c in unit["chains"]:
-                    x, y = np.array(c["xs"]) - at, np.array(c["ys"]) - src_at
-                    got = parts(a, b, x, y, k, min_words, min_identity, ends)
-                    if got is None:
-                        out.append((c["chain"], 0, True, []))
-                    elif got:
-                        named = [
-                            {"matched": m, "lo": s + at, "hi": t + at, "src_lo": u + src_at, "src_hi": v + src_at}
-                            for s, t, u, v, m in got
-                        ]
-                        out.append((c["chain"], sum(g[-1] for g in got), False, named))
+            if not batch.num_rows:
+                continue
+            (a, a_at), (b, b_at) = flat(batch.column("words")), flat(batch.column("src_words"))
+            here, src_here, more, src_more = (
+                batch.column(c).to_numpy(zero_copy_only=False) for c in ("from", "src_from", "more", "src_more")
+            )
+            each = batch.column("chains").flatten()
+            owner = np.repeat(np.arange(batch.num_rows), batch.column("chains").value_lengths().to_numpy())
+            names, xs, ys = (each.field(c) for c in ("chain", "xs", "ys"))
+            names, count = names.to_numpy(), xs.value_lengths().to_numpy()
+            ends = np.cumsum(count)
+            xs, ys = (v.flatten().to_numpy().astype(np.int64) for v in (xs, ys))
+            single = np.flatnonzero(count == 1)
+            for part in np.split(single, range(TOGETHER, len(single), TOGETHER)):
+                u = owner[part]
+                x, y = xs[ends[part] - 1] - here[u], ys[ends[part] - 1] - src_here[u]
+                n, m = np.diff(a_at)[u], np.diff(b_at)[u]
+                fits = np.flatnonzero((x >= 0) & (y >= 0) & (x + k <= n) & (y + k <= m))
+                for j in range(k):
+                    fits = fits[a[a_at[u[fits]] + x[fits] + j] == b[b_at[u[fits]] + y[fits] + j]]
+                part, u, x, y, n, m = (v[fits] for v in (part, u, x, y, n, m))
+                i, j = a_at[u] + x, b_at[u] + y
+                left = _reach_all(a, b, i - 1, j - 1, x, y, -1)
+                right = _reach_all(a, b, i + k, j + k, n - x - k, m - y - k, 1)
+                cut = (here[u] > 0) & left[2] | more[u] & right[2] | (src_here[u] > 0) & left[3] | src_more[u] & right[3]
+                out += [(c, 0, True, []) for c in names[part[cut]].tolist()]
+                long = k + np.maximum(left[0] + right[0], left[1] + right[1])
+                kept = np.flatnonzero(~cut & (long >= min_words))
+                places = (v[kept].tolist() for v in (names[part], u, x, y, left[0], right[0], left[1], right[1]))
+                for name, d, p, q, s, t, v, w in zip(*places, strict=True):
+                    wide = (p - s, p + k + t, q - v, q + k + w)
+                    texts = a[a_at[d] : a_at[d + 1]], b[b_at[d] : b_at[d + 1]]
+                    got = _whole(*texts, (p, p + k, q, q + k), wide, k, min_words, min_identity)
+                    if got:
+                        out.append(row(name, got, int(here[d]), int(src_here[d])))
+                if len(out) >= FLUSH_ROWS:
+                    yield rows(out)
+                    out = []
+            for c in np.flatnonzero(count != 1).tolist():
+                d, span = owner[c], slice(ends[c] - count[c], ends[c])
+                at, src_at = int(here[d]), int(src_here[d])
+                edges = (at > 0, bool(more[d]), src_at > 0, bool(src_more[d]))
+                texts = a[a_at[d] : a_at[d + 1]], b[b_at[d] : b_at[d + 1]]
+                got = parts(*texts, xs[span] - at, ys[span] - src_at, k, min_words, min_identity, edges)
+                if got is None:
+                    out.append((int(names[c]), 0, True, []))
+                elif got:
+                    out.append(row(int(names[c]), got, at, src_at))
                 if len(out) >= FLUSH_ROWS:
                     yield rows(out)
                     out = []
@@ -441,6 +497,75 @@ def _aligned(k: int, min_words: int, min_identity: float):
     return run
 
 
+def _together_all(a, b, i, j, n, step: int):
+    """``_together`` for many pairs of places: from i in ``a`` and j in ``b`` on, n words each way."""
+    import numpy as np
+
+    agreed, wrong, ran_out = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64), n == 0
+    live = np.flatnonzero(~ran_out)
+    live = live[a[i[live]] == b[j[live]]]
+    at, width = 0, 16
+    while len(live):
+        r = np.arange(at, at + width)
+        inside = r < n[live][:, None]
+        move = np.where(inside, r * step, 0)
+        same = (a[i[live][:, None] + move] == b[j[live][:, None] + move]) & inside
+        bad = np.cumsum(~same, axis=1) + wrong[live][:, None]
+        over = (bad * 5 > r + 1) & inside
+        stops = over.any(axis=1)
+        good = same & (r < np.where(stops, at + over.argmax(axis=1), at + width)[:, None])
+        some = good.any(axis=1)
+        agreed[live[some]] = at + width - good[some][:, ::-1].argmax(axis=1)
+        wrong[live] = bad[:, -1]
+        at += width
+        ended = ~stops & (n[live] <= at)
+        ran_out[live[ended]] = True
+        live = live[~stops & ~ended]
+        width = max(16, min(4 * width, 16 * TOGETHER // max(1, len(live))))
+    return agreed, ran_out
+
+
+def _reach_all(a, b, i, j, n, m, step: int):
+    """``_reach`` for many pairs of places: n words of ``a`` from i on, m words of ``b`` from j on."""
+    import numpy as np
+
+    far = RESUME + max(SKIPS)[0]
+    p, q = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+    out = np.zeros((2, len(i)), bool)
+    live = np.arange(len(i))
+    while len(live) >= FEW:
+        la, lb = n[live] - p[live], m[live] - q[live]
+        short = np.minimum(la, lb)
+        more, ran_out = _together_all(a, b, i[live] + step * p[live], j[live] + step * q[live], short, step)
+        out[:, live] |= ran_out & (np.stack([la, lb]) == short)
+        p[live] += more
+        q[live] += more
+        la, lb = la - more, lb - more
+        r = np.arange(far)
+        x = a[np.where(r < la[:, None], (i[live] + step * p[live])[:, None] + step * r, 0)]
+        y = b[np.where(r < lb[:, None], (j[live] + step * q[live])[:, None] + step * r, 0)]
+        open_ = np.ones(len(live), bool)
+        for s, t in SKIPS:
+            c = np.flatnonzero(open_ & (x[:, s] == y[:, t]) & (s + RESUME <= la) & (t + RESUME <= lb))
+            c = c[(x[c, s : s + RESUME] == y[c, t : t + RESUME]).all(axis=1)]
+            p[live[c]] += s
+            q[live[c]] += t
+            open_[c] = False
+        done = live[open_]
+        out[:, done] |= np.stack([n[done] - p[done], m[done] - q[done]]) < far
+        live = live[~open_]
+    for c in live.tolist():
+        at, to = i[c] + step * p[c], j[c] + step * q[c]
+        la, lb = n[c] - p[c], m[c] - q[c]
+        if step > 0:
+            got = _reach(a[at : at + la], b[to : to + lb])
+        else:
+            got = _reach(a[at + 1 - la : at + 1][::-1], b[to + 1 - lb : to + 1][::-1])
+        p[c], q[c] = p[c] + got[0], q[c] + got[1]
+        out[:, c] |= got[2:]
+    return p, q, *out
+
+
 def _together(a, b) -> tuple[int, bool]:
     """How far two runs of words go on side by side, and whether words ran out before more than every
     fifth word so far differed."""
@@ -495,7 +620,7 @@ def _units(chains_: DataFrame) -> DataFrame:
     """
     near = [F.floor(F.col(c) / RANGE).alias(f"_{c}") for c in ("lo", "src_lo")]
     return chains_.groupBy("doc_id", "src_id", *near).agg(
-        F.min("chain").alias("unit"),
+        F.min("chain").cast("string").alias("unit"),
         F.collect_list(F.struct("chain", "xs", "ys")).alias("chains"),
         *[f(c).alias(c) for f, c in ((F.min, "lo"), (F.max, "hi"), (F.min, "src_lo"), (F.max, "src_hi"))],
     ).drop("_lo", "_src_lo")
@@ -528,13 +653,12 @@ def passages(
     # Most seeds are in one document only; one sorted shuffle tells them, and they are not stored.
     seeds = docs.mapInArrow(_seeds(k, window, min_words), kind).repartition("seed").sortWithinPartitions("seed", "doc_id")
     met = stored(seeds.mapInArrow(_shared, kind), "passage-shared")
-    place = F.struct(F.col("doc_id").alias("src_id"), F.col("at").alias("src_at"))
+    # Dealt by the seed once: the first place of a seed, of it with the next one, and of it with the run.
     tied = met
     for level, more in (("one", []), ("two", ["pair"]), ("long", ["run"])):
-        rows = met.where(f"{more[0]} <> 0") if more else met
-        source = rows.groupBy("seed", *more).agg(F.min(place).alias(level), F.max("doc_id").alias("top"))
-        source = source.where(f"{level}.src_id < top").drop("top")
-        tied = tied.join(source, ["seed", *more], "left")
+        rows = Window.partitionBy("seed", *more).orderBy("doc_id", "at").rowsBetween(Window.unboundedPreceding, 0)
+        place = F.struct(F.first("doc_id").over(rows).alias("src_id"), F.first("at").over(rows).alias("src_at"))
+        tied = tied.withColumn(level, F.when(F.col(more[0]) != 0, place) if more else place)
     ties = F.explode(F.array_distinct(F.array("one", "two", "long")))
     anchors = tied.select("doc_id", ties.alias("s"), "at").where("s is not null and s.src_id <> doc_id")
     anchors = stored(anchors.select("doc_id", "s.src_id", "at", "s.src_at").distinct(), "passage-anchors")
@@ -547,8 +671,8 @@ def passages(
             "doc_id bigint, src_id bigint, lo bigint, hi bigint, src_lo bigint, src_hi bigint, xs array<int>, ys array<int>",
         )
     )
-    chain = F.md5(F.concat_ws(":", "doc_id", "src_id", "lo", "src_lo", "hi", "src_hi").cast("binary"))
-    found = stored(found.withColumn("chain", chain), "passage-chains")
+    # The table is stored, so that its row numbers stay.
+    found = stored(found.withColumn("chain", F.monotonically_increasing_id()), "passage-chains")
     part = "struct<matched: bigint, lo: bigint, hi: bigint, src_lo: bigint, src_hi: bigint>"
     best, todo, margin = None, found, MARGIN
     while True:
@@ -558,7 +682,7 @@ def passages(
         two = slices.where("side = 1").select("unit", *[F.col(c).alias(f"src_{c}") for c in ("from", "words", "more")])
         both = units.select("unit", "chains").join(one, "unit").join(two, "unit")
         aligned = both.mapInArrow(
-            _aligned(k, min_words, min_identity), f"chain string, total bigint, cut boolean, parts array<{part}>"
+            _aligned(k, min_words, min_identity), f"chain bigint, total bigint, cut boolean, parts array<{part}>"
         )
         aligned = aligned.groupBy("chain")
         aligned = aligned.agg(F.max(F.struct("total", "parts")).alias("b"), F.max("cut").alias("cut"))

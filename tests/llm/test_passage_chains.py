@@ -267,3 +267,58 @@ def test_texts_serve_many_requests(spark, monkeypatch):
     assert rows.count() <= 20
     words = rows.mapInArrow(passage_chains._sliced(0), passage_chains.WORDS).collect()
     assert len(words) == 80 and {(r.side, r["from"], len(r.words), r.more) for r in words} == {(0, 0, 8, True), (1, 1, 8, False)}
+
+
+def test_places_extended_together_equal_single_ones():
+    from contactscope.llm.passage_chains import _reach, _reach_all
+
+    rng = np.random.default_rng(12)
+    for kinds, size in ((3, 300), (40, 3000), (40, 20_000)):
+        a = rng.integers(0, kinds, size).astype(np.uint32)
+        keep = rng.random(size) > 0.06
+        b = np.where(rng.random(size) > 0.06, a, kinds)[keep].astype(np.uint32)
+        i = rng.integers(0, len(b), 400)
+        j = np.minimum(len(b) - 1, np.where(rng.random(400) < 0.8, np.cumsum(keep)[i] - 1, rng.integers(0, len(b), 400)).clip(0))
+        right = _reach_all(a, b, i, j, len(a) - i, len(b) - j, 1)
+        left = _reach_all(a, b, i - 1, j - 1, i, j, -1)
+        for c in range(400):
+            assert tuple(v[c] for v in right) == _reach(a[i[c] :], b[j[c] :])
+            assert tuple(v[c] for v in left) == _reach(a[: i[c]][::-1], b[: j[c]][::-1])
+
+
+def test_single_anchors_are_extended_together(monkeypatch):
+    import pyarrow as pa
+
+    from contactscope.llm import passage_chains
+
+    rng = np.random.default_rng(13)
+    words = np.tile(rng.integers(0, 1 << 32, 40, dtype=np.uint32), 50)
+    other = np.append(words[:40], rng.integers(0, 1 << 32, 40, dtype=np.uint32))
+    chain = [{"chain": c, "xs": [40 * c], "ys": [0]} for c in range(50)] + [{"chain": 50, "xs": [1, 9], "ys": [0, 9]}]
+    unit = {"unit": "0", "chains": chain, "from": 0, "words": words.tobytes(), "more": False}
+    unit |= {"src_from": 0, "src_words": other.tobytes(), "src_more": False}
+    calls, plain = [], passage_chains._reach
+    monkeypatch.setattr(passage_chains, "_reach", lambda a, b: calls.append(1) or plain(a, b))
+    batch = pa.RecordBatch.from_pylist([unit])
+    got = [r for b in passage_chains._aligned(4, 30, 0.8)([batch.slice(0, 0), batch]) for r in b.to_pylist()]
+    for r in got[:50]:
+        at = 40 * r["chain"]
+        assert not r["cut"] and r["parts"] == [{"matched": 40, "lo": at, "hi": at + 40, "src_lo": 0, "src_hi": 40}]
+    assert [r["chain"] for r in got[:50]] == list(range(50)) and len(calls) <= 20
+
+
+def test_first_places_take_one_shuffle_of_the_shared_seeds(spark, monkeypatch):
+    from contactscope.llm import passage_chains
+
+    plans, store = {}, passage_chains.stored
+
+    def record(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return store(df, name)
+
+    monkeypatch.setattr(passage_chains, "stored", record)
+    docs = [(k, " ".join(f"w{k}.{j}" if j < 40 else f"same{j}" for j in range(80))) for k in range(6)]
+    got = passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.src_id, r.lo, r.hi) for r in got} == {(k, 0, 40, 80) for k in range(1, 6)}
+    shuffles = [x for x in plans["passage-anchors"].splitlines() if "Exchange " in x]
+    assert len(shuffles) <= 2 and "Join" not in plans["passage-anchors"]
