@@ -43,6 +43,7 @@ MARGIN = 16  # words fetched on either side of a chain at first; more where an e
 BAND, FEW_EDITS = 16, 64  # diagonals beside the corners', edits: where a long part is tried first
 TOGETHER, FEW = 4096, 8  # single anchors extended at once; fewer are extended one by one
 BIT_WORDS = 4096  # words up to which a row of the alignment is one number
+BIT_TABLE = 1 << 28  # bits of the table of a longer row's distinct words, beyond which it is not made
 RESUME = 6  # words that must agree after a skip
 #: Words skipped in one text and the other where a chain is extended, short skips first.
 SKIPS = sorted(((s, t) for s in range(5) for t in range(5) if s + t), key=sum)
@@ -297,7 +298,7 @@ def common_words(a, b) -> int:
     b = b[np.isin(b, a)]
     if len(b) == 0:
         return head + tail
-    if len(a) > BIT_WORDS:  # row by row; the tables of the other way would grow with the square
+    if len(a) > BIT_WORDS and len(a) * len(np.unique(a)) > BIT_TABLE:  # row by row; the table would be too large
         row = np.zeros(len(a) + 1, np.int64)
         for word in b:
             row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (a == word)))

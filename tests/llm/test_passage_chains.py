@@ -322,3 +322,23 @@ def test_first_places_take_one_shuffle_of_the_shared_seeds(spark, monkeypatch):
     assert {(r.doc_id, r.src_id, r.lo, r.hi) for r in got} == {(k, 0, 40, 80) for k in range(1, 6)}
     shuffles = [x for x in plans["passage-anchors"].splitlines() if "Exchange " in x]
     assert len(shuffles) <= 2 and "Join" not in plans["passage-anchors"]
+
+
+def test_long_alignments_are_bitwise_where_the_table_is_small(monkeypatch):
+    import time
+
+    from contactscope.llm import passage_chains
+
+    rng = np.random.default_rng(14)
+    a = rng.integers(0, 300, 9000).astype(np.uint32)
+    b = np.where(rng.random(9000) > 0.1, a, 300)[rng.random(9000) > 0.1].astype(np.uint32)
+    began = time.process_time()
+    fast = common_words(a, b)
+    middle = time.process_time()
+    monkeypatch.setattr(passage_chains, "BIT_WORDS", 3)
+    monkeypatch.setattr(passage_chains, "BIT_TABLE", 0)
+    assert common_words(a, b) == fast
+    assert middle - began < 0.7 * (time.process_time() - middle)
+    for _ in range(200):
+        x, y = ([int(v) for v in rng.integers(0, 9, rng.integers(0, 40))] for _ in range(2))
+        assert common_words(np.array(x, np.uint32), np.array(y, np.uint32)) == lcs(x, y)
