@@ -11,13 +11,17 @@ transpose holds the overlaps. Only blocks of it that can hold a link are compute
    in a bounded sample are left out of the ranges. That only moves work: a row with so many empty
    ranges that the bound could rest on them offers its first ``a - ceil(a * num / den) + 1`` columns
    (a: its size; frequent columns last), of which two such linking rows share one.
-3. Within a row block the product is accumulated over slices of columns. After each slice the
+3. Row blocks grow faster than the input, since few rows that agree on a range link. So rows are compared by
+   parity sketches first: bit i tells whether an odd number of columns falls on i. Sketches differ in no more
+   bits than the rows differ in columns, so no link is lost; a sketch has one to two bits a column, where a row has 64. Row blocks
+   are closed anew over the pairs that are left, and only rows in these go on.
+4. Within a row block the product is accumulated over slices of columns. After each slice the
    pairs that cannot reach their least overlap any more, given the sizes that remain, are
    discarded. Blocks of more than ``BLOCK_ROWS`` rows are tasks of their own. Those with more than
    ``TILE_COLUMNS`` entries for each of them are cut into bands of sizes, of which only neighbours can link, and
    bands into tiles of so many entries; pairs of tiles are separate tasks. A row travels once for
    every tile it is compared with, so tiles are large; a task takes them in parts, ordered by size.
-4. A task returns a spanning forest of its links, never all pairs; links are closed into components.
+5. A task returns a spanning forest of its links, never all pairs; links are closed into components.
 
 Defined results: null text counts as empty; an empty row links with nothing; repeated rows and
 repeated ids are rows of one class; the component of a row without an id is that of its class, and
@@ -50,6 +54,9 @@ BLOCK_ROWS = 1024  # rows of one product's side, and about the rows of small blo
 TILE_COLUMNS = 1024  # entries of one tile's side (8 bytes each), times BLOCK_ROWS
 PART_COLUMNS = 256  # entries of one product's side, times BLOCK_ROWS; a longer row is taken alone
 SLICE_COLUMNS = 4096
+SKETCH_BITS = 64  # of a sketch, at least
+SKETCH_TILE, SKETCH_PART = 4096, 1024  # as TILE_COLUMNS and PART_COLUMNS, where sketches are compared
+SLICE_BYTES = 2048  # of sketches
 SAMPLE_DOCS = 8_000  # about; documents in which frequent columns are looked for
 FREQUENT_DOCS = 8  # a column in so many of them is frequent
 FREQUENT_COLUMNS = 1 << 18  # at most, the most frequent ones
@@ -297,41 +304,107 @@ def tile_links(left: list, right: list | None, num: int, den: int, slice_columns
     yield from forest(len(rows), zip(x.tolist(), (y if same else y + cut).tolist(), strict=True))
 
 
-def _parts(rows: list, block_rows: int) -> list:
-    """Runs of places of ``rows``, by size, with a bounded number of rows and entries each."""
+def sketch(h):
+    """The row's size, and its parity sketch: a power of two of bits, as many as columns or more."""
     import numpy as np
 
-    sizes = np.array([len(r) for r in rows], np.int64)
+    bits = max(SKETCH_BITS, 1 << (len(h) - 1).bit_length())
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.append(np.uint64(len(h)), np.packbits(odd.astype(np.uint8)).view(np.uint64))
+
+
+def sketch_links(left: list, right: list | None, num: int, den: int, slice_bytes: int):
+    """A spanning forest of the pairs that can link by their sketches, as ``tile_links`` has it of the links.
+
+    Sketches of each side have one width; the wider ones are folded: of columns that fall on one bit, the parity stays.
+    """
+    import numpy as np
+
+    same = right is None
+    width = min(len(left[0]), len((right or left)[0])) - 1
+
+    def folded(rows):
+        table = np.stack([r[1:] for r in rows])
+        while table.shape[1] > width:
+            half = table.shape[1] // 2
+            table = table[:, :half] ^ table[:, half:]
+        return np.ascontiguousarray(table).view(np.uint8)
+
+    def bits(table, at):
+        return np.unpackbits(table[:, at : at + slice_bytes], axis=1).astype(np.float32)
+
+    a = np.array([int(r[0]) for r in left])
+    b = a if same else np.array([int(r[0]) for r in right])
+    total = a[:, None] + b[None, :]
+    most = total * (den - num) // (den + num)  # columns in which a linking pair can differ
+    alive = np.abs(a[:, None] - b[None, :]) <= most
+    if same:
+        alive &= np.arange(len(a))[:, None] < np.arange(len(a))[None, :]
+    one = folded(left)
+    two = one if same else folded(right)
+    differ = np.zeros(total.shape, np.int64)
+    for at in range(0, width * 8, slice_bytes):
+        if not alive.any():
+            return
+        x = bits(one, at)
+        y = x if same else bits(two, at)
+        both = (x @ y.T).astype(np.int64)
+        differ += x.sum(axis=1).astype(np.int64)[:, None] + y.sum(axis=1).astype(np.int64)[None, :] - 2 * both
+        alive &= differ <= most
+    x, y = np.nonzero(alive)
+    yield from forest(
+        len(a) if same else len(a) + len(b), zip(x.tolist(), (y if same else y + len(a)).tolist(), strict=True)
+    )
+
+
+def _parts(rows: list, block_rows: int, columns: int = 0, size=len) -> list:
+    """Runs of places of ``rows``, by size, with a bounded number of rows and entries and one width of sketches each."""
+    import numpy as np
+
+    sizes = np.array([size(r) for r in rows], np.int64)
     order = np.argsort(sizes, kind="stable")
     ends = np.cumsum(sizes[order])
+    widths = np.array([len(rows[k]) for k in order]) if size is not len else np.zeros(len(order), np.int64)
     out, at = [], 0
     while at < len(order):
         start = int(ends[at - 1]) if at else 0
-        to = int(np.searchsorted(ends, start + block_rows * PART_COLUMNS, side="right"))
+        to = int(np.searchsorted(ends, start + block_rows * (columns or PART_COLUMNS), side="right"))
+        to = min(to, int(np.searchsorted(widths, widths[at], side="right")))
         to = max(at + 1, min(to, at + block_rows))
         out.append(order[at:to])
         at = to
     return out
 
 
-def block_links(left: list, right: list | None, num: int, den: int, slice_columns: int, block_rows: int):
-    """``tile_links`` in parts of bounded size; parts whose sizes are too far apart to link are not compared."""
+def block_links(
+    left: list, right: list | None, num: int, den: int, slice_columns: int, block_rows: int, sketches: bool = False
+):
+    """``tile_links`` in parts of bounded size; parts whose sizes are too far apart to link are not compared.
+
+    With ``sketches`` the rows are sketches, ``slice_columns`` is in bytes of them, and ``sketch_links`` is used.
+    """
+    links, size = (sketch_links, lambda r: int(r[0])) if sketches else (tile_links, len)
+    columns = SKETCH_PART if sketches else PART_COLUMNS
 
     def near(a: list, b: list) -> bool:
         """Whether a row of ``a`` and one of ``b``, both by size, can link."""
-        return len(a[-1]) * den >= len(b[0]) * num and len(b[-1]) * den >= len(a[0]) * num
+        return size(a[-1]) * den >= size(b[0]) * num and size(b[-1]) * den >= size(a[0]) * num
 
-    ours = [(at, [left[k] for k in at]) for at in _parts(left, block_rows)]
-    theirs = [] if right is None else [(at + len(left), [right[k] for k in at]) for at in _parts(right, block_rows)]
+    ours = [(at, [left[k] for k in at]) for at in _parts(left, block_rows, columns, size)]
+    theirs = (
+        []
+        if right is None
+        else [(at + len(left), [right[k] for k in at]) for at in _parts(right, block_rows, columns, size)]
+    )
 
     def found():
         for i, (at, rows) in enumerate(ours):
             if right is None:
-                for x, y in tile_links(rows, None, num, den, slice_columns):
+                for x, y in links(rows, None, num, den, slice_columns):
                     yield int(at[x]), int(at[y])
             for at2, rows2 in ours[i + 1 :] if right is None else theirs:
                 if near(rows, rows2):
-                    for x, y in tile_links(rows, rows2, num, den, slice_columns):
+                    for x, y in links(rows, rows2, num, den, slice_columns):
                         yield int(at[x]), int(at2[y - len(rows)])
 
     return forest(len(left) + len(right or []), found())
@@ -354,7 +427,7 @@ def _arrays(column) -> list:
     return out
 
 
-def _links(num: int, den: int, slice_columns: int, block_rows: int):
+def _links(num: int, den: int, slice_columns: int, block_rows: int, sketches: bool = False):
     def run(table):
         import numpy as np
         import pyarrow as pa
@@ -369,11 +442,11 @@ def _links(num: int, den: int, slice_columns: int, block_rows: int):
             first = (block["own"] == block["one"]).to_numpy()
             cut = int(first.sum())
             if cut == len(rows):
-                pairs = block_links(rows, None, num, den, slice_columns, block_rows)
+                pairs = block_links(rows, None, num, den, slice_columns, block_rows, sketches)
             elif cut:
                 order = np.argsort(~first, kind="stable")
                 cls, rows = cls[order], [rows[k] for k in order]
-                pairs = block_links(rows[:cut], rows[cut:], num, den, slice_columns, block_rows)
+                pairs = block_links(rows[:cut], rows[cut:], num, den, slice_columns, block_rows, sketches)
             else:
                 continue
             found += [(cls[x], cls[y]) for x, y in pairs]
@@ -383,8 +456,8 @@ def _links(num: int, den: int, slice_columns: int, block_rows: int):
     return run
 
 
-def _rows(n: int):
-    """The rows of the classes' own documents; other texts under a repeated id are left out."""
+def _rows(n: int, sketches: bool):
+    """The rows of the classes' own documents, or their sketches; other texts under a repeated id are left out."""
 
     def run(batches):
         import pyarrow as pa
@@ -393,16 +466,16 @@ def _rows(n: int):
             keys = ["{:X}:{:X}".format(*(k % (1 << 64) for k in _set_key(r))) for r in rows]
             own = [k for k, c in enumerate(cls.to_pylist()) if keys[k] == c]
             yield pa.RecordBatch.from_arrays(
-                [cls.take(pa.array(own, pa.int64())), pa.array([rows[k].tobytes() for k in own], pa.binary())],
+                [cls.take(pa.array(own, pa.int64())), pa.array([(sketch(rows[k]) if sketches else rows[k]).tobytes() for k in own], pa.binary())],
                 ["cls", "row"],
             )
 
     return run
 
 
-def _tile_tasks(chosen: DataFrame, num: int, den: int, block_rows: int) -> DataFrame:
+def _tile_tasks(chosen: DataFrame, num: int, den: int, block_rows: int, columns: int = TILE_COLUMNS) -> DataFrame:
     """cls, family, its own tile, and the pair of tiles (one, two) of each task it takes part in."""
-    most = block_rows * TILE_COLUMNS
+    most = block_rows * columns
     size = [F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("entries")]
     many = chosen.join(chosen.groupBy("family").agg(*size), "family")
     # Sizes of a linking pair differ by at most one band.
@@ -433,6 +506,33 @@ def _by_size(rows: int) -> str:
     return "broadcast" if rows <= BROADCAST_ROWS else "merge"
 
 
+def _compared(
+    docs: DataFrame, chosen: DataFrame, n: int, num: int, den: int, block_rows: int, sketches: bool
+) -> DataFrame:
+    """(a, b): classes of the families that link, or with ``sketches`` that can, as spanning forests of the tasks."""
+    n_chosen = chosen.count()
+    wanted = chosen.select("cls", "class_id").hint(_by_size(n_chosen))
+    texts = docs.join(wanted, F.col("doc_id") == F.col("class_id")).select("cls", "text")
+    sets = texts.mapInArrow(lean(_rows(n, sketches)), "cls string, row binary")
+    kind = "sketch" if sketches else "set"
+    tiles = _tile_tasks(chosen, num, den, block_rows, SKETCH_TILE if sketches else TILE_COLUMNS)
+    tiles = stored(tiles, f"ngram-{kind}-tiles")
+    by_size = _by_size(tiles.count())
+    if by_size == "merge":  # the shuffle then reads a table, and a lost executor does not make the sets anew
+        sets = stored(sets, f"ngram-{kind}s")
+    placed = sets.join(tiles.hint(by_size), "cls")
+    tasks = max(1, n_chosen // block_rows)
+    small = F.pmod(F.xxhash64("family"), F.lit(tasks)).cast("string")
+    task = F.when(F.col("large"), F.concat_ws("|", "family", "one", "two")).otherwise(small)
+    step = SLICE_BYTES if sketches else SLICE_COLUMNS
+    links = (
+        placed.select(task.alias("task"), "family", "own", "one", "two", "cls", "row")
+        .groupBy("task")
+        .applyInArrow(_links(num, den, step, block_rows, sketches), "a string, b string")
+    )
+    return stored(links, f"ngram-{kind}-links")
+
+
 def jaccard_classes(
     docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
@@ -468,24 +568,12 @@ def jaccard_classes(
     )
     members = stored(members, "ngram-classes")
     chosen = members.where("family is not null").select("cls", "class_id", "n_shingles", "family")
-    n_chosen = chosen.count()
-    wanted = chosen.select("cls", "class_id").hint(_by_size(n_chosen))
-    texts = docs.join(wanted, F.col("doc_id") == F.col("class_id")).select("cls", "text")
-    sets = texts.mapInArrow(lean(_rows(n)), "cls string, row binary")
-    tiles = stored(_tile_tasks(chosen, num, den, block_rows), "ngram-tiles")
-    by_size = _by_size(tiles.count())
-    if by_size == "merge":  # the shuffle then reads a table, and a lost executor does not make the sets anew
-        sets = stored(sets, "ngram-sets")
-    placed = sets.join(tiles.hint(by_size), "cls")
-    tasks = max(1, n_chosen // block_rows)
-    small = F.pmod(F.xxhash64("family"), F.lit(tasks)).cast("string")
-    task = F.when(F.col("large"), F.concat_ws(":", "family", "one", "two")).otherwise(small)
-    links = (
-        placed.select(task.alias("task"), "family", "own", "one", "two", "cls", "row")
-        .groupBy("task")
-        .applyInArrow(_links(num, den, SLICE_COLUMNS, block_rows), "a string, b string")
-    )
-    linked = components(stored(links, "ngram-links"), "ngram-components")
+    # Rows that can link by their sketches are row blocks of their own; only they travel as sets.
+    near = components(_compared(docs, chosen, n, num, den, block_rows, sketches=True), "ngram-near")
+    chosen = chosen.drop("family").join(near.withColumnRenamed("root", "family"), F.col("cls") == F.col("node"))
+    chosen = stored(chosen.drop("node"), "ngram-chosen")
+    links = _compared(docs, chosen, n, num, den, block_rows, sketches=False)
+    linked = components(links, "ngram-components")
     named = linked.join(members.select("cls", "class_id"), F.col("node") == F.col("cls"))
     lowest = named.groupBy("root").agg(F.min("class_id").alias("component"))
     named = named.join(lowest, "root").select("cls", "component")

@@ -173,3 +173,52 @@ def test_hashing_and_product_hold_little_beside_their_input():
     table = pa.table(fixed | {"cls": [str(i) for i in range(count)], "row": pa.chunked_array(chunks, pa.binary())})
     found = _links(8, 10, 64, 1024)(table.slice(1))
     assert found.to_pylist() == [{"a": "4", "b": "100"}]
+
+
+def test_sketches_lose_no_link():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for num, den in ((8, 10), (90, 100), (1, 2)):
+        rows = []
+        for size in [1, 2, 5, 30, 63, 64, 65, 120, 130, 300, 520, 20_000]:
+            base = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+            for _ in range(6):
+                kept = rng.choice(base, rng.integers(max(1, size * num // den), size + 1), replace=False)
+                rows.append(np.unique(np.append(kept, rng.integers(0, 1 << 63, rng.integers(0, 2 + size // 8), dtype=np.uint64))))
+        rng.shuffle(rows := np.array(rows, object))
+        small = [ngram_join.sketch(r) for r in rows]
+        assert all((r[1:].nbytes * 8) & (r[1:].nbytes * 8 - 1) == 0 and int(r[0]) == len(h) for r, h in zip(small, rows, strict=True))
+        links = 0
+        for cut in (None, 30):
+            left, right = (small, None) if cut is None else (small[:cut], small[cut:])
+            got = list(ngram_join.block_links(left, right, num, den, 32, 9, sketches=True))
+            parent = list(range(len(rows)))
+            for a, b in got:
+                a, b = parent[a], parent[b]
+                parent = [a if p == b else p for p in parent]
+            for x in range(len(rows)):
+                for y in range(x):
+                    both = len(np.intersect1d(rows[x], rows[y]))
+                    if (cut is None or y < cut <= x) and den * both >= num * (len(rows[x]) + len(rows[y]) - both):
+                        assert parent[x] == parent[y], (num, den, len(rows[x]), len(rows[y]))
+                        links += 1
+            assert len(got) < 80  # of 72 rows: a forest
+        assert links
+
+
+def test_rows_that_only_agree_on_a_range_do_not_travel_as_sets(spark, monkeypatch):
+    """Each shares most of its words with the next one: row blocks, but no links. All their sets went to the tasks."""
+    tables = {}
+
+    def stored(df, name, keep=ngram_join.stored):
+        return tables.setdefault(name, keep(df, name))
+
+    monkeypatch.setattr(ngram_join, "stored", stored)
+    texts = [" ".join(f"w{25 * k + i}" for i in range(150)) for k in range(40)]
+    rows = [*enumerate(texts), (100, texts[7] + " and more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_classes(docs, 3, 90, 100).collect()}
+    assert got == {k: k for k, _ in rows} | {100: 7}
+    assert tables["ngram-classes"].where("family is not null").count() > 30
+    assert tables["ngram-set-tiles"].select("cls").distinct().count() == 2
