@@ -12,7 +12,7 @@ from contactscope.sources.tables import materialise
 #: Bytes of text that one vectorised step takes; a longer text is taken alone.
 STEP_BYTES = 1 << 18
 #: Bytes of text in one run of ``text_runs``.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 1 << 20
 #: Rows in one bucket of ``ranked``, about.
 BUCKET_ROWS = 1024
 

@@ -60,7 +60,7 @@ SLICE_BYTES = 2048  # of sketches
 SAMPLE_DOCS = 8_000  # about; documents in which frequent columns are looked for
 FREQUENT_DOCS = 8  # a column in so many of them is frequent
 FREQUENT_COLUMNS = 1 << 18  # at most, the most frequent ones
-FLUSH_ROWS = 500_000  # offers that a task gathers before it passes them on
+FLUSH_ROWS = 200_000  # offers that a task gathers before it passes them on
 
 
 def _incidence(n: int, extra: str):

@@ -222,3 +222,20 @@ def test_rows_that_only_agree_on_a_range_do_not_travel_as_sets(spark, monkeypatc
     assert got == {k: k for k, _ in rows} | {100: 7}
     assert tables["ngram-classes"].where("family is not null").count() > 30
     assert tables["ngram-set-tiles"].select("cls").distinct().count() == 2
+
+
+def test_a_worker_holds_little_beside_its_batch():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    words = " ".join(f"w{i}" for i in range(700))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array([f"{k} {words}" for k in range(3000)])], ["doc_id", "text"])
+    none = type("Sent", (), {"value": (np.empty(0, np.uint64), np.empty(0, np.int64))})
+    for run in (ngram_join._sizes(5), ngram_join._columns(5), ngram_join._offered(5, 8, 10, none)):
+        tracemalloc.start()
+        assert sum(b.num_rows for b in run([batch])) > 1000
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 35e6, peak  # runs of 4 MB of text and 500,000 offers
