@@ -1,8 +1,11 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 
-from contactscope.llm.embedding_dedup import near_duplicates, tile_pairs, unit
+from contactscope.llm.embedding_dedup import Forest, near_duplicates, tile_pairs, unit
 from contactscope.llm.queries import QUERIES
+from contactscope.sources.tables import shared_folder
 
 SCHEMA = "vec_id long, embedding array<float>, weight int, key string"
 
@@ -57,6 +60,59 @@ def test_odd_vectors_copies_and_clusters(spark, tile_rows):
     assert plain(near_duplicates(df, 0.9, tile_rows=tile_rows, sample_rows=200)) == brute(rows, 0.9)
 
 
+def _on_disk(spark):
+    """Bytes of each shuffle file and of each file in the shared folder."""
+    local = [d.toString() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    found = [f for d in local for f in Path(d).rglob("shuffle_*")]
+    found += [f for f in Path(shared_folder(spark).removeprefix("file:")).rglob("*") if f.is_file()]
+    return {f: f.stat().st_size for f in found}
+
+
+def test_disk_follows_the_input_not_the_pairs_of_tiles(spark):
+    rng = np.random.default_rng(2)
+    values = rng.normal(size=(4000, 64)).astype(np.float32)
+    values[2000:2100] = values[:100] + 0.01
+    df = spark.createDataFrame([(k, v, 1, "c") for k, v in enumerate(values.tolist())], SCHEMA)
+    before = _on_disk(spark)
+    got = plain(near_duplicates(df, 0.9, tile_rows=32))
+    made = sum(size for f, size in _on_disk(spark).items() if f not in before)
+    near = unit(values) @ unit(values).T >= 0.9
+    assert got == sorted(((k, int(near[k].sum()) - 1, int(near[k].argmax()), bool(near[k].argmax() == k)) for k in range(4000)), key=str)
+    assert near.sum() == 4200
+    # 125 tiles meet in 7,875 pairs; files and columns have some bytes of their own.
+    assert made < 3 * values.nbytes + 1_000_000
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_equal_vectors_meet_in_one_cell_whatever_their_batch(spark, kind):
+    rng = np.random.default_rng(4)
+    values = rng.normal(size=(601, 24)).astype(np.float32).tolist()
+    rows = [(k * 3 + c, values[k]) for c in range(3) for k in range(len(values))]
+    rows = [rows[k] for k in rng.permutation(len(rows))]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(7)
+    got = near_duplicates(df, 0.9, tile_rows=16)
+    assert {tuple(r) for r in got.select("n_links", "class_size").distinct().collect()} == {(2, 3)}
+    assert got.where("component_id = vec_id - vec_id % 3 and kept = (vec_id % 3 = 0)").count() == len(rows)
+
+
+def test_forest_spans_its_links():
+    rng = np.random.default_rng(6)
+    i, j = rng.integers(0, 300, size=(2, 400))
+    tree = Forest(300)
+    for k in range(0, 400, 37):
+        tree.add(i[k : k + 37], j[k : k + 37])
+        tree.take()
+    a, b = tree.edges()
+    parts = []
+    for x, y in ((i, j), (a, b)):
+        label = np.arange(300)
+        for _ in range(300):
+            np.minimum.at(label, x, label[y])
+            np.minimum.at(label, y, label[x])
+        parts.append(label)
+    assert (parts[0] == parts[1]).all() and len(a) == 300 - len(np.unique(parts[0]))
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
